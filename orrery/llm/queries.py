@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orrery.llm import exact_dedup, mixing, near_dedup
+from orrery.llm import exact_dedup, language_id, mixing, near_dedup, packing
 from orrery.llm.common import table
 
 
@@ -18,13 +19,25 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = language_id.learnable(F.col("doc_id"))
+    found = language_id.identify(docs, language_id.fit(docs.where(learn)))
+    return found.select("doc_id", (~learn).alias("held_out"), "lang_pred", "score")
+
+
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_near_dedup": op1_near_dedup, "op5_mix": op5_mix, "op10_exact_dedup": op10_exact_dedup}
+    found = (op1_near_dedup, op5_mix, op7_language, op9_pack, op10_exact_dedup)
+    return {f.__name__: f for f in found}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

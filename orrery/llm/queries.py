@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import exact_dedup, language_id, mixing, near_dedup, packing
+from orrery.llm import exact_dedup, language_id, mixing, near_dedup, packing, tiff
 from orrery.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digests(tiff.encode_texts(table(spark, sf_dir, "documents")))
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -36,7 +40,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_near_dedup, op5_mix, op7_language, op9_pack, op10_exact_dedup)
+    found = (op1_near_dedup, op2_tiff, op5_mix, op7_language, op9_pack, op10_exact_dedup)
     return {f.__name__: f for f in found}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import exact_dedup, language_id, mixing, near_dedup, packing, tiff
+from orrery.llm import exact_dedup, language_id, mixing, near_dedup, packing, tiff, toxicity
 from orrery.llm.common import table
 
 
@@ -30,6 +30,13 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~learn).alias("held_out"), "lang_pred", "score")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(*toxicity.sample(docs, table(spark, sf_dir, "labels")))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -40,7 +47,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_near_dedup, op2_tiff, op5_mix, op7_language, op9_pack, op10_exact_dedup)
+    found = (op1_near_dedup, op2_tiff, op5_mix, op7_language, op8_toxicity, op9_pack, op10_exact_dedup)
     return {f.__name__: f for f in found}
 
 

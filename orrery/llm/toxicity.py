@@ -1,7 +1,7 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 A logistic model over the different words of a text and their beginnings is trained on labelled rows. (Beginnings, of 3 to
-6 letters, carry stems over to inflections that no labelled text has.) Besides the labels' loss, each sentence that names an identity group is scored again with the name swapped for others of its kind, and the squared
+8 letters, carry stems over to inflections that no labelled text has.) Besides the labels' loss, each sentence that names an identity group is scored again with the name swapped for others of its kind, and the squared
 difference of the two scores is penalised (``swap_weight``), so that naming a group moves no score by itself.
 
 What is learnt from is a bounded sample: at most ``per_label`` texts for each label, in the order of a hash of the text;
@@ -37,7 +37,7 @@ IDENTITY = {
     "mujer": ("mujer", "hombre"),
     "religion, es": ("cristiano", "judío", "musulmán", "budista", "ateo"),
 }
-STEMS = (3, 4, 5, 6)
+STEMS = (3, 4, 5, 6, 7, 8)
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _KIND = {w: kind for kind, words in IDENTITY.items() for w in words}
@@ -86,7 +86,7 @@ class Model:
 
 
 def _features(rows: list[tuple[set[str], int]], min_docs: int, min_z: float) -> list[str]:
-    """Features whose share of texts differs between the labels by ``min_z`` standard errors of log odds."""
+    """Features whose share of texts differs between the labels by ``min_z`` standard errors."""
     n1 = sum(y for _, y in rows)
     n0 = len(rows) - n1
     one, all_ = Counter(), Counter()
@@ -97,9 +97,9 @@ def _features(rows: list[tuple[set[str], int]], min_docs: int, min_z: float) ->
             one.update(found)
     kept = []
     for w, n in all_.items():
-        a, b = one[w] + 0.5, n - one[w] + 0.5
-        c, d = n1 - one[w] + 0.5, n0 - (n - one[w]) + 0.5
-        if n >= min_docs and abs(math.log(a * d / (b * c))) >= min_z * math.sqrt(1 / a + 1 / b + 1 / c + 1 / d):
+        p = n / len(rows)
+        error = math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+        if n >= min_docs and abs(one[w] / n1 - (n - one[w]) / n0) > min_z * error:
             kept.append(w)
     return kept
 
@@ -109,7 +109,7 @@ def train(
     share: float | None = None,
     swap_weight: float = 4.0,
     ridge: float = 0.3,
-    min_docs: int = 8,
+    min_docs: int = 5,
     min_z: float = 6.0,
     rounds: int = 200,
 ) -> Model:

@@ -6,13 +6,15 @@
 2. Documents with one and the same shingle set are one class, whose smallest id stands for it; copies go no further.
 3. ``ROWS`` bins make a band and equal bands a bucket. A bucket emits edges from a few centres to its members (a star),
    never pairs among members. An edge counts if the full shingle sets have the wanted Jaccard similarity.
-4. Members that no centre of their bucket's first star has joined get new centres, four times as many each round, until
-   every member of each bucket has met a centre or been one. No bucket has a cap.
+4. At first each member meets only the smallest centre of all its buckets, which joins most. Then it meets the centres
+   of its other buckets, unless they are of its component already. What a bucket still has in several components gets
+   another centre, round after round, and if there are at most ``SMALL`` left all of them are centres; this ends when
+   nothing is left or a whole round of new centres has joined nothing.
 5. Links are joined to components by alternating large and small stars, O(log n) rounds of a combine and a join.
 
-At similarity 0.75 a link is in no common bucket with probability (1 - 0.75^4)^32 = 5e-6. Two members that link with one
-another but with no centre are joined when one of their other common buckets has either as a centre, or through others of
-their component. Only the texts of classes in shared buckets move, once; edges are pairs of ids until they meet the sets.
+At similarity 0.75 a link is in no common bucket with probability (1 - 0.75^4)^32 = 5e-6, and is in ten of them on
+average. Two members that link with one another but with no centre of a large bucket are joined when either is a centre in
+any common bucket, or when one is small, or through others of their component. Only the texts of classes in shared buckets move, once; edges are pairs of ids until they meet the sets.
 """
 
 from __future__ import annotations
@@ -22,13 +24,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from orrery.llm.common import durable
+from orrery.llm.common import durable, release
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 MIN_JACCARD = 75  # per cent
+SMALL = 16  # members of a bucket that are all compared
 BLOCK = 1 << 20  # bytes hashed at once
 
 _RNG = np.random.default_rng(20240517)
@@ -250,38 +252,60 @@ def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("i") * 100 >= (F.size("a") + F.size("b") - F.col("i")) * percent).select("u", "v")
 
 
+def _joined(stars: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Stars (u, root) after more links (u, v): only the roots that links connect are searched for components."""
+    if stars is None:
+        return components(links)
+    of = lambda side: stars.select(F.col("u").alias(side), F.col("root").alias("r" + side))
+    near = links.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    roots = components(near.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")))
+    moved = roots.select(F.col("u").alias("root"), F.col("root").alias("to"))
+    kept = stars.join(moved, "root", "left").select("u", F.coalesce("to", "root").alias("root"))
+    return durable(kept.unionByName(roots).distinct())
+
+
 def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(cls, n, bands) of classes and (id, text) of documents to (u, root) of linked classes."""
     rows = classes.where(F.col("bands").isNotNull()).select("cls", "n", F.explode("bands").alias("b"))
     shared = rows.groupBy("b").agg(F.count("*").alias("c")).where("c > 1")
-    # b * 3 is one to one modulo 2^64: the join gets exchanges of its own, which AQE can split at a hot bucket
+    # the rotated key is one to one: the join gets exchanges of its own, which AQE can split at a hot bucket
     again = lambda: (F.shiftleft("b", 1).bitwiseXOR(F.shiftrightunsigned("b", 63))).alias("t")
     alive = durable(rows.select("cls", "n", "b", again()).join(shared.select(again()), "t").select("cls", "n", "b"))
     wanted = alive.select("cls").distinct()
     sets = durable(
         docs.join(wanted, F.col("id") == F.col("cls"), "left_semi").mapInArrow(_setter(k), "cls long, set array<long>")
     )
-    stars = None
-    width = 1
+    alive = alive.withColumn("root", F.col("cls"))
+    stars, turn = None, 0
     while True:
-        order = F.xxhash64("cls", "b", F.lit(width)) if width > 1 else F.col("cls")
-        first = F.row_number().over(Window.partitionBy("b").orderBy(order, "cls"))
-        centres = alive.select("b", F.col("cls").alias("v"), F.col("n").alias("m"), first.alias("r")).where(F.col("r") <= width)
-        pairs = alive.join(centres.select(F.col("b"), "v", "m"), "b").where("cls <> v")
+        order = F.col("cls") if turn < 2 else F.xxhash64("cls", "b", F.lit(turn))
+        pick = lambda c, name: F.min_by(c, order).alias(name)  # noqa: E731, B023
+        centres = alive.groupBy("b").agg(pick("cls", "v"), pick("n", "m"), pick("root", "to"))
+        if turn >= 2:
+            few = alive.groupBy("b").agg(F.count("*").alias("c")).where(F.col("c") <= SMALL)
+            every = alive.join(few, "b").select("b", F.col("cls").alias("v"), F.col("n").alias("m"), F.col("root").alias("to"))
+            centres = centres.unionByName(every).distinct()
+        centres = durable(centres)
+        pairs = alive.join(centres, "b").where("root <> to")
         pairs = pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-        edges = pairs.select(F.col("cls").alias("u"), "v").distinct()
-        links = _verified(edges, sets, percent)
-        stars = durable(components(links if stars is None else links.unionByName(stars.select("u", F.col("root").alias("v")))))
-        # what has the component of a centre of its bucket is done there; so is a centre
-        of = stars.select(F.col("u").alias("cls"), "root")
-        placed = alive.select("cls", "n", "b").join(of, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        done = centres.select("b", F.col("v").alias("cls")).join(of, "cls", "left").select("b", F.coalesce("root", "cls").alias("root")).distinct()
-        rest = placed.join(done, ["b", "root"], "left_anti")
-        several = rest.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("b")
-        alive = durable(rest.join(several, "b", "left_semi").select("cls", "n", "b"))
-        if alive.isEmpty():
+        if turn == 0:
+            pairs = pairs.groupBy("cls").agg(F.min("v").alias("v"))
+        edges = pairs.select(F.greatest("cls", "v").alias("u"), F.least("cls", "v").alias("v")).distinct()
+        links = durable(_verified(edges, sets, percent))
+        found = not links.isEmpty()
+        if found or stars is None:
+            stars = _joined(stars, links)
+        of = stars.select(F.col("u").alias("cls"), F.col("root"))
+        alive = alive.drop("root").join(of, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        if turn >= 1:  # all members have met the bucket's centres: those of a centre's component are done there
+            met = centres.select("b", F.col("v").alias("cls")).join(of, "cls", "left")
+            alive = alive.join(met.select("b", F.coalesce("root", "cls").alias("root")).distinct(), ["b", "root"], "left_anti")
+        several = alive.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("b")
+        alive = durable(alive.join(several, "b", "left_semi").select("cls", "n", "b", "root"))
+        release(docs.sparkSession)
+        if alive.isEmpty() or (turn >= 2 and not found):
             return stars
-        width *= 4
+        turn += 1
 
 
 def near_dedup(

@@ -7,14 +7,14 @@
 3. ``ROWS`` bins make a band and equal bands a bucket. A bucket emits edges from a few centres to its members (a star),
    never pairs among members. An edge counts if the full shingle sets have the wanted Jaccard similarity.
 4. At first each member meets only the smallest centre of all its buckets, which joins most. Then it meets the centres
-   of its other buckets, unless they are of its component already. What a bucket still has in several components gets
-   another centre, round after round, and if there are at most ``SMALL`` left all of them are centres; this ends when
-   nothing is left or a whole round of new centres has joined nothing.
+   of its other buckets, then other centres, unless they are of its component already; buckets of at most ``SMALL`` are
+   compared throughout. Members of large buckets that still have several components go into finer buckets, in which three
+   bands agree (``THREES`` triples of bands), and there meet one centre after another until a whole turn joins nothing.
 5. Links are joined to components by alternating large and small stars, O(log n) rounds of a combine and a join.
 
 At similarity 0.75 a link is in no common bucket with probability (1 - 0.75^4)^32 = 5e-6, and is in ten of them on
-average. Two members that link with one another but with no centre of a large bucket are joined when either is a centre in
-any common bucket, or when one is small, or through others of their component. Only the texts of classes in shared buckets move, once; edges are pairs of ids until they meet the sets.
+average; in a large bucket it is found when either is a centre there or in a finer bucket. Only the texts of classes in
+shared buckets move, once; edges are pairs of ids until they meet the sets.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 MIN_JACCARD = 75  # per cent
 SMALL = 16  # members of a bucket that are all compared
+THREES = 256
 BLOCK = 1 << 20  # bytes hashed at once
 
 _RNG = np.random.default_rng(20240517)
@@ -252,10 +253,8 @@ def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("i") * 100 >= (F.size("a") + F.size("b") - F.col("i")) * percent).select("u", "v")
 
 
-def _joined(stars: DataFrame | None, links: DataFrame) -> DataFrame:
+def _joined(stars: DataFrame, links: DataFrame) -> DataFrame:
     """Stars (u, root) after more links (u, v): only the roots that links connect are searched for components."""
-    if stars is None:
-        return components(links)
     of = lambda side: stars.select(F.col("u").alias(side), F.col("root").alias("r" + side))
     near = links.join(of("u"), "u", "left").join(of("v"), "v", "left")
     roots = components(near.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")))
@@ -264,48 +263,76 @@ def _joined(stars: DataFrame | None, links: DataFrame) -> DataFrame:
     return durable(kept.unionByName(roots).distinct())
 
 
-def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands: int) -> DataFrame:
     """(cls, n, bands) of classes and (id, text) of documents to (u, root) of linked classes."""
-    rows = classes.where(F.col("bands").isNotNull()).select("cls", "n", F.explode("bands").alias("b"))
+    rows = classes.where(F.col("bands").isNotNull()).select("cls", "n", F.posexplode("bands").alias("band", "b"))
     shared = rows.groupBy("b").agg(F.count("*").alias("c")).where("c > 1")
     # the rotated key is one to one: the join gets exchanges of its own, which AQE can split at a hot bucket
     again = lambda: (F.shiftleft("b", 1).bitwiseXOR(F.shiftrightunsigned("b", 63))).alias("t")
-    alive = durable(rows.select("cls", "n", "b", again()).join(shared.select(again()), "t").select("cls", "n", "b"))
-    wanted = alive.select("cls").distinct()
+    open_ = durable(
+        rows.select("cls", "n", "band", "b", again()).join(shared.select(again()), "t").select("cls", "n", "band", "b", F.col("cls").alias("root"))
+    )
+    wanted = open_.select("cls").distinct()
     sets = durable(
         docs.join(wanted, F.col("id") == F.col("cls"), "left_semi").mapInArrow(_setter(k), "cls long, set array<long>")
     )
-    alive = alive.withColumn("root", F.col("cls"))
-    stars, turn = None, 0
-    while True:
-        order = F.col("cls") if turn < 2 else F.xxhash64("cls", "b", F.lit(turn))
-        pick = lambda c, name: F.min_by(c, order).alias(name)  # noqa: E731, B023
-        centres = alive.groupBy("b").agg(pick("cls", "v"), pick("n", "m"), pick("root", "to"))
-        if turn >= 2:
-            few = alive.groupBy("b").agg(F.count("*").alias("c")).where(F.col("c") <= SMALL)
-            every = alive.join(few, "b").select("b", F.col("cls").alias("v"), F.col("n").alias("m"), F.col("root").alias("to"))
-            centres = centres.unionByName(every).distinct()
-        centres = durable(centres)
-        pairs = alive.join(centres, "b").where("root <> to")
-        pairs = pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-        if turn == 0:
-            pairs = pairs.groupBy("cls").agg(F.min("v").alias("v"))
-        edges = pairs.select(F.greatest("cls", "v").alias("u"), F.least("cls", "v").alias("v")).distinct()
-        links = durable(_verified(edges, sets, percent))
-        found = not links.isEmpty()
-        if found or stars is None:
-            stars = _joined(stars, links)
-        of = stars.select(F.col("u").alias("cls"), F.col("root"))
-        alive = alive.drop("root").join(of, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        if turn >= 1:  # all members have met the bucket's centres: those of a centre's component are done there
-            met = centres.select("b", F.col("v").alias("cls")).join(of, "cls", "left")
-            alive = alive.join(met.select("b", F.coalesce("root", "cls").alias("root")).distinct(), ["b", "root"], "left_anti")
-        several = alive.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("b")
-        alive = durable(alive.join(several, "b", "left_semi").select("cls", "n", "b", "root"))
-        release(docs.sparkSession)
-        if alive.isEmpty() or (turn >= 2 and not found):
+    stars, found = docs.sparkSession.createDataFrame([], "u long, root long"), True
+    for turn in range(3):
+        open_, stars, _ = _turn(open_, stars, sets, percent, turn)
+        if open_.isEmpty():
             return stars
+    # what large buckets still have in several components: those that agree in three bands
+    of = F.map_from_entries(F.collect_list(F.struct("band", "b")))
+    several = open_.groupBy("cls", "n", "root").agg(of.alias("of"))
+    key = lambda x: F.xxhash64(x, *[F.element_at("of", x[i]) for i in range(3)])
+    full = lambda x: F.element_at("of", x[0]).isNotNull() & F.element_at("of", x[1]).isNotNull() & F.element_at("of", x[2]).isNotNull()
+    threes = F.array(*[F.array(*[F.lit(i) for i in x]) for x in _threes(bands)])
+    finer = several.select("cls", "n", "root", F.explode(F.transform(F.filter(threes, full), key)).alias("b"))
+    open_ = durable(_mixed(finer.withColumn("band", F.lit(0)).select("cls", "n", "band", "b", "root")))
+    while found and not open_.isEmpty():
         turn += 1
+        open_, stars, found = _turn(open_, stars, sets, percent, turn)
+    return stars
+
+
+def _threes(bands: int) -> list[list[int]]:
+    draw = np.random.default_rng(31)
+    return [sorted(draw.choice(bands, 3, replace=False).tolist()) for _ in range(THREES)]
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of buckets with several components."""
+    several = rows.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("b")
+    return rows.join(several, "b", "left_semi")
+
+
+def _turn(rows: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Compares the members of each bucket with a centre of it, and those of small buckets with one another."""
+    order = F.col("cls") if turn < 2 else F.xxhash64("cls", "b", F.lit(turn))
+    pick = lambda c, name: F.min_by(c, order).alias(name)
+    count = F.count("*").alias("c")
+    centres = rows.groupBy("b").agg(pick("cls", "v"), pick("n", "m"), pick("root", "to"), count)
+    if turn >= 2:
+        few = centres.where(F.col("c") <= SMALL).select("b")
+        every = rows.join(few, "b").select("b", F.col("cls").alias("v"), F.col("n").alias("m"), F.col("root").alias("to"), F.lit(0).alias("c"))
+        centres = centres.where(F.col("c") > SMALL).unionByName(every)
+    pairs = rows.join(centres, "b").where("root <> to")
+    pairs = pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    if turn == 0:
+        pairs = pairs.groupBy("cls").agg(F.min("v").alias("v"))
+    edges = pairs.select(F.greatest("cls", "v").alias("u"), F.least("cls", "v").alias("v")).distinct()
+    links = durable(_verified(edges, sets, percent))
+    found = not links.isEmpty()
+    if found:
+        stars = _joined(stars, links)
+    left = rows
+    if turn >= 2:  # small buckets have been compared throughout
+        left = rows.join(rows.groupBy("b").agg(count).where(F.col("c") > SMALL).select("b"), "b", "left_semi")
+    left = left.drop("root").join(stars.select(F.col("u").alias("cls"), "root"), "cls", "left")
+    left = left.select("cls", "n", "band", "b", F.coalesce("root", "cls").alias("root"))
+    left = durable(_mixed(left))
+    release(rows.sparkSession)
+    return left, stars, found
 
 
 def near_dedup(
@@ -332,7 +359,7 @@ def near_dedup(
     classes = durable(
         named.groupBy("key").agg(F.min("id").alias("cls"), F.max("n").alias("n"), F.first("bands").alias("bands"))
     )
-    stars = near_links(classes.select("cls", "n", "bands"), plain, k, percent)
+    stars = near_links(classes.select("cls", "n", "bands"), plain, k, percent, bands)
     # rows that repeat an id under several sets: their classes are linked as well
     ids = named.select("id", F.col("key").alias("key_of")).distinct().groupBy("id").agg(F.count("*").alias("c"), F.min("key_of").alias("lo"), F.max("key_of").alias("hi")).where("c > 1")
     if not ids.isEmpty():

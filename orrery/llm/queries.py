@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import exact_dedup, language_id, mixing, near_dedup, packing, tiff, toxicity
+from orrery.llm import exact_dedup, language_id, mixing, near_dedup, packing, tiff, toxicity, url_filter, warc
 from orrery.llm.common import table
 
 
@@ -19,10 +19,30 @@ def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digests(tiff.encode_texts(table(spark, sf_dir, "documents")))
 
 
+RULES = (
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+)
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.new_folder(spark)
+    records = warc.read_records(warc.write_archives(table(spark, sf_dir, "pages"), folder), folder)
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learn = language_id.learnable(F.col("doc_id"))
@@ -47,7 +67,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_near_dedup, op2_tiff, op5_mix, op7_language, op8_toxicity, op9_pack, op10_exact_dedup)
+    found = (op1_near_dedup, op2_tiff, op3_urls, op5_mix, op6_warc, op7_language, op8_toxicity, op9_pack, op10_exact_dedup)
     return {f.__name__: f for f in found}
 
 
@@ -83,6 +103,14 @@ SQL = {
         SELECT doc_id, size, source_size, target,
                CAST((whole + CASE WHEN f > 0 AND size > 0 AND so_far + size / 2 <= lack THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
         FROM i""",
+    "op6_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        q AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
+                     max(page_id) OVER (PARTITION BY h) AS top FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+        FROM q""",
     "op10_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

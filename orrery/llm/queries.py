@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import exact_dedup, language_id, mixing, near_dedup, packing, tiff, toxicity, url_filter, warc
+from orrery.llm import exact_dedup, language_id, license_scan, mixing, near_dedup, packing, tiff, toxicity, url_filter, warc
 from orrery.llm.common import table
 
 
@@ -33,6 +33,15 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "template")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of their source: source/a/b/id.txt, every sixteenth the LICENSE of a directory above."""
+    docs = table(spark, sf_dir, "documents")
+    part = lambda n: F.pmod(F.floor(F.col("doc_id") / n), F.lit(64)).cast("string")
+    top, below = F.concat_ws("/", F.coalesce("source", F.lit("none")), part(16)), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    path = F.when(F.col("doc_id") % 16 == 0, F.concat_ws("/", top, F.lit("LICENSE"))).otherwise(F.concat_ws("/", top, part(1024), below))
+    return license_scan.license_of_files(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -67,7 +76,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_near_dedup, op2_tiff, op3_urls, op5_mix, op6_warc, op7_language, op8_toxicity, op9_pack, op10_exact_dedup)
+    found = (op1_near_dedup, op2_tiff, op3_urls, op4_licenses, op5_mix, op6_warc, op7_language, op8_toxicity, op9_pack, op10_exact_dedup)
     return {f.__name__: f for f in found}
 
 

@@ -8,8 +8,8 @@
    never pairs among members. An edge counts if the full shingle sets have the wanted Jaccard similarity.
 4. At first each member meets only the smallest centre of all its buckets, which joins most. Then it meets the centres
    of its other buckets, then other centres, unless they are of its component already; buckets of at most ``SMALL`` are
-   compared throughout. Members of large buckets that still have several components go into finer buckets, in which three
-   bands agree (``THREES`` triples of bands), and there meet one centre after another until a whole turn joins nothing.
+   compared throughout. Members of large buckets that still have several components go into finer buckets, in which two
+   bands agree (``FINER`` pairs of bands), and there meet one centre after another until ``IDLE`` turns join nothing.
 5. Links are joined to components by alternating large and small stars, O(log n) rounds of a combine and a join.
 
 At similarity 0.75 a link is in no common bucket with probability (1 - 0.75^4)^32 = 5e-6, and is in ten of them on
@@ -31,7 +31,8 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 MIN_JACCARD = 75  # per cent
 SMALL = 16  # members of a bucket that are all compared
-THREES = 256
+FINER = 96  # pairs of bands
+IDLE = 2  # turns in a row without a link that end the search
 BLOCK = 1 << 20  # bytes hashed at once
 
 _RNG = np.random.default_rng(20240517)
@@ -276,28 +277,29 @@ def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands:
     sets = durable(
         docs.join(wanted, F.col("id") == F.col("cls"), "left_semi").mapInArrow(_setter(k), "cls long, set array<long>")
     )
-    stars, found = docs.sparkSession.createDataFrame([], "u long, root long"), True
+    stars = docs.sparkSession.createDataFrame([], "u long, root long")
     for turn in range(3):
         open_, stars, _ = _turn(open_, stars, sets, percent, turn)
         if open_.isEmpty():
             return stars
-    # what large buckets still have in several components: those that agree in three bands
+    # what large buckets still have in several components: those that agree in two bands
     of = F.map_from_entries(F.collect_list(F.struct("band", "b")))
     several = open_.groupBy("cls", "n", "root").agg(of.alias("of"))
-    key = lambda x: F.xxhash64(x, *[F.element_at("of", x[i]) for i in range(3)])
-    full = lambda x: F.element_at("of", x[0]).isNotNull() & F.element_at("of", x[1]).isNotNull() & F.element_at("of", x[2]).isNotNull()
-    threes = F.array(*[F.array(*[F.lit(i) for i in x]) for x in _threes(bands)])
-    finer = several.select("cls", "n", "root", F.explode(F.transform(F.filter(threes, full), key)).alias("b"))
+    at = lambda x, i: F.element_at("of", x[i])
+    twos = F.filter(F.array(*[F.array(*map(F.lit, x)) for x in _twos(bands)]), lambda x: at(x, 0).isNotNull() & at(x, 1).isNotNull())
+    finer = several.select("cls", "n", "root", F.explode(F.transform(twos, lambda x: F.xxhash64(x, at(x, 0), at(x, 1)))).alias("b"))
     open_ = durable(_mixed(finer.withColumn("band", F.lit(0)).select("cls", "n", "band", "b", "root")))
-    while found and not open_.isEmpty():
+    idle = 0
+    while idle < IDLE and not open_.isEmpty():
         turn += 1
         open_, stars, found = _turn(open_, stars, sets, percent, turn)
+        idle = 0 if found else idle + 1
     return stars
 
 
-def _threes(bands: int) -> list[list[int]]:
-    draw = np.random.default_rng(31)
-    return [sorted(draw.choice(bands, 3, replace=False).tolist()) for _ in range(THREES)]
+def _twos(bands: int) -> list[list[int]]:
+    every = [[i, j] for i in range(bands) for j in range(i + 1, bands)]
+    return [every[i] for i in sorted(np.random.default_rng(31).permutation(len(every))[:FINER].tolist())]
 
 
 def _mixed(rows: DataFrame) -> DataFrame:

@@ -185,8 +185,8 @@ def centroid_order(spark, sf_dir):
     return index.centroid_order(labelled(base), label_centroids(base)).select("vec_id", "cid", "pos")
 
 
-PAGES = """g AS (SELECT label AS cid, count(*) AS n FROM b GROUP BY label),
-    p AS (SELECT cid, n, CAST(ceil(n / 16) AS BIGINT) AS pages FROM g),
+PAGES = """pz AS (SELECT label AS cid, count(*) AS n FROM b GROUP BY label),
+    p AS (SELECT cid, n, CAST(ceil(n / 16) AS BIGINT) AS pages FROM pz),
     f AS (SELECT *, CAST(coalesce(sum(pages) OVER (ORDER BY cid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_page FROM p)"""
 
 
@@ -457,9 +457,9 @@ ESTIMATE = """lq AS (SELECT query_id AS id, j - 1 AS j, w[j] AS x FROM q, range(
     """ + _turned("lq", "y") + """,
     dots AS (SELECT y3.id AS query_id, e.id AS vec_id, e.cid, sum(y3.x * (e.bit - 0.5)) AS qb FROM pr JOIN y3 ON y3.id = pr.query_id
              JOIN e ON e.cid = pr.cid AND e.j = y3.j GROUP BY ALL),
-    est AS (SELECT query_id, vec_id, cid, n2 + 2 * n2 * cu / ru + dist * dist - 2 * n2 / ru * qb AS est,
+    est AS (SELECT dots.query_id, vec_id, dots.cid AS cid, n2 + 2 * n2 * cu / ru + dist * dist - 2 * n2 / ru * qb AS est,
             n2 + 2 * n2 * cu / ru + dist * dist - 2 * n2 / ru * qb - 2 * 1.9 * sqrt(n2) / 8 * dist AS low
-            FROM dots JOIN g ON g.id = vec_id AND g.cid = dots.cid JOIN pr USING (query_id, cid))"""
+            FROM dots JOIN g ON g.id = vec_id AND g.cid = dots.cid JOIN pr ON pr.query_id = dots.query_id AND pr.cid = dots.cid)"""
 ESTIMATED = with_(RESID, NORMS, Q, PROBE.format(n=3), ESTIMATE)
 
 
@@ -570,7 +570,7 @@ BOOST = with_(RESID, UNIT, SCALE, EXCODE, Q, PROBE.format(n=3)) + """, lq AS (SE
     """ + _turned("lq", "y") + """,
     bd AS (SELECT y3.id AS query_id, ec.id AS vec_id, ec.cid, sum(y3.x * (code + CASE WHEN r > 0 THEN 16 ELSE 0 END - 15.5)) AS qw FROM pr
            JOIN y3 ON y3.id = pr.query_id JOIN ec ON ec.cid = pr.cid AND ec.j = y3.j GROUP BY ALL)
-    SELECT query_id, vec_id, round(n2 + 2 * n2 * cw / rw + dist * dist - 2 * sqrt(n2) / along * qw, 5) + 0.0 AS dist
+    SELECT bd.query_id, vec_id, round(n2 + 2 * n2 * cw / rw + dist * dist - 2 * sqrt(n2) / along * qw, 5) + 0.0 AS dist
     FROM bd JOIN ef ON ef.id = vec_id AND ef.cid = bd.cid JOIN pr ON pr.query_id = bd.query_id AND pr.cid = bd.cid"""
 
 

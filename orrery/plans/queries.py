@@ -741,7 +741,7 @@ def recall_map(spark, sf_dir):
 
 @query(
     with_(B, Q, C, KNN, ALLPROBES, "up AS (SELECT op_param, max(recall) OVER (ORDER BY op_param) AS r FROM pts)", "stp AS (SELECT op_param, r, lag(r) OVER (ORDER BY op_param) AS r0, lag(op_param) OVER (ORDER BY op_param) AS p0 FROM up)", "tg AS (SELECT 0.5 + 0.05 * i AS target FROM range(0, 10) z(i))")
-    + """SELECT round(target, 2) AS target, CAST(round(CASE WHEN r0 IS NULL THEN op_param ELSE exp(ln(p0) + (ln(op_param) - ln(p0)) * (target - r0) / (r - r0)) END) AS BIGINT) AS op_param
+    + """SELECT round(target, 2)::DOUBLE AS target, CAST(round(CASE WHEN r0 IS NULL THEN op_param ELSE exp(ln(p0) + (ln(op_param) - ln(p0)) * (target - r0) / (r - r0)) END) AS BIGINT) AS op_param
          FROM tg JOIN stp ON target <= r AND (r0 IS NULL OR target > r0)"""
 )
 def recall_interp(spark, sf_dir):

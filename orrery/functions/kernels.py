@@ -81,16 +81,16 @@ def _or_inf(x: np.ndarray) -> np.ndarray:
 def onebit(x: np.ndarray, c: np.ndarray, metric: str, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Signs of the residuals to ``c`` and the factors add, rescale, error of estimates from them.
 
-    ``c`` has a row for each row of ``x``. With a prefix, estimates see only the first ``prefix`` signs.
+    ``c`` has a row for each row of ``x``. With a prefix, estimates see only the first ``prefix`` signs and extrapolate.
     """
     r = x - c
     width = r.shape[1]
     m = width if prefix is None else prefix
     bits = r > 0
-    u = bits[:, :m] - 0.5
+    u = bits - 0.5
     norm2 = (r * r).sum(1)
     norm = np.sqrt(norm2)
-    ru, cu = _or_inf((r[:, :m] * u).sum(1)), (c[:, :m] * u).sum(1)
+    ru, cu = _or_inf((r * u).sum(1)), (c[:, :m] * u[:, :m]).sum(1)
     grow = 1.0 if prefix is None else width / m
     if prefix is None:
         uu = width / 4
@@ -146,7 +146,7 @@ def constant_rescale(width: int, ex_bits: int, seed: int, samples: int = 100) ->
 def levels_at(a: np.ndarray, t: np.ndarray, ex_bits: int) -> np.ndarray:
     """The largest level k with k / a <= t; borders are decided by that division."""
     top = (1 << ex_bits) - 1
-    with np.errstate(divide="ignore"):
+    with np.errstate(divide="ignore", invalid="ignore"):
         k = np.minimum(np.floor(a * t[:, None]), top)
         k -= (k > 0) & (k / a > t[:, None])
         k += (k < top) & (a > 0) & ((k + 1) / a <= t[:, None])

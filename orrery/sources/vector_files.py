@@ -122,10 +122,13 @@ class VectorWriter(DataSourceWriter):
         with open(name, "wb") as f:
             for v in x:
                 f.write((struct.pack("<i", len(v)) if self.ext in ROWWISE else b"") + v.astype(kind).tobytes())
-        return Part(name, got[0][0] if got else 0, len(got), dims.pop() if dims else 0)
+        return Part(name, got[0][0] if got else 0, got[-1][0] if got else -1, len(got), dims.pop() if dims else 0)
 
     def commit(self, messages) -> None:
         parts = sorted((m for m in messages if m and m.rows), key=lambda m: m.first)
+        if any(a.last >= b.first for a, b in zip(parts, parts[1:], strict=False)) or len({m.dim for m in parts}) > 1:
+            self.abort(messages)
+            raise VectorFileError("tasks' ids overlap, or vectors differ in length; write with write_vectors")
         with open(self.path + ".draft", "wb") as out:
             if self.ext in HEADED:
                 out.write(struct.pack("<ii", sum(m.rows for m in parts), parts[0].dim if parts else 0))
@@ -146,6 +149,7 @@ class VectorWriter(DataSourceWriter):
 class Part(WriterCommitMessage):
     name: str
     first: int
+    last: int
     rows: int
     dim: int
 
@@ -169,6 +173,13 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(VectorFile)
 
 
+def write_vectors(df, path: str, limit: int | None = None) -> None:
+    """Writes (vec_id, embedding) in the order of vec_id, only ids below ``limit`` if one is given."""
+    rows = df.select("vec_id", "embedding")
+    rows = rows if limit is None else rows.where(rows["vec_id"] < limit)
+    rows.repartitionByRange("vec_id").write.format("vectorfile").mode("overwrite").save(path)
+
+
 # --- id files and ground truth: small, read on the driver
 
 #: The first eight bytes of assignment and of ground truth files, as little-endian numbers.

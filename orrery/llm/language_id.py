@@ -6,7 +6,7 @@ entropy estimate is phrases * log2(bytes of the labelled text) / bytes of the te
 fewest normalised phrases wins.
 
 Texts are lower-cased UTF-8 whose ASCII bytes that aren't letters become single spaces, so any script works. Workers turn
-the automata into one table of transitions in which a missing one restarts at the root and counts a phrase; all texts
+the automata into one table of transitions in which a missing one restarts at the root; what leaves the root begins a phrase. All texts
 of a batch, in segments of ``SEGMENT`` bytes, and all languages step through it at once. (A segment's end ends a phrase.)
 
 The labelled text is a bounded sample, whose bounds are parameters: at most ``max_langs`` languages (those with the most
@@ -96,6 +96,7 @@ class Parser:
             table[edges[:, 0], self.symbol[edges[:, 1]]] = base + edges[:, 2] * width
             again = np.where(table[0] >= 0, table[0], base) | _FLAG
             table = np.where(table >= 0, table, again[None, :])
+            table[0] = again
             table[:, self.pad] = base + np.arange(states, dtype=np.int32) * width
             tables.append(table.ravel())
             roots.append(base)
@@ -105,7 +106,7 @@ class Parser:
             raise ValueError("the labelled text is too long for one table")
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """(texts, languages): phrases of each text; the first phrase counts, so empty texts have none."""
+        """(texts, languages): phrases of each text; empty texts have none."""
         counts = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
         parts = [(i, x[at : at + SEGMENT]) for i, x in enumerate(texts) for at in range(0, len(x), SEGMENT)]
         parts.sort(key=lambda p: -len(p[1]))
@@ -118,7 +119,7 @@ class Parser:
             grid = np.ascontiguousarray(grid.T)
             alive = np.searchsorted(-sizes, -np.arange(len(grid)), side="left")  # segments longer than the step
             state = np.repeat(self.roots[:, None], len(some), axis=1)
-            found = np.ones(state.shape, dtype=np.int32)
+            found = np.zeros(state.shape, dtype=np.int32)
             for step, n in zip(grid, alive.tolist(), strict=True):
                 now = self.table[state[:, :n] + step[:n]]
                 found[:, :n] += now >> 30

@@ -6,11 +6,12 @@ entropy estimate is phrases * log2(bytes of the labelled text) / bytes of the te
 fewest normalised phrases wins.
 
 Texts are lower-cased UTF-8 whose ASCII bytes that aren't letters become single spaces, so any script works. Workers turn
-the automata into one table of transitions in which a missing one restarts at the root; what leaves the root begins a phrase. All texts
-of a batch, in segments of ``SEGMENT`` bytes, and all languages step through it at once. (A segment's end ends a phrase.)
+the automata into one table of transitions in which a missing one restarts at the root; what leaves the root begins a
+phrase. All texts of a batch, in segments of ``SEGMENT`` bytes, and all languages step through it at once. (A segment's
+end ends a phrase.)
 
 The labelled text is a bounded sample, whose bounds are parameters: at most ``max_langs`` languages (those with the most
-documents), for each ``docs_per_lang`` documents in the order of a hash of the id, of at most ``max_doc`` characters each,
+documents), for each ``docs_per_lang`` documents in the order of a hash of the text, of at most ``max_doc`` characters each,
 as many of them as fit ``bytes_per_lang``. What is broadcast is bounded by these alone.
 """
 
@@ -158,16 +159,21 @@ def fit(
     rows = docs.select(F.col(lang_col).alias("l"), F.col(text_col).alias("x"), F.xxhash64(text_col).alias("h")).where(
         F.col("l").isNotNull() & F.col("x").isNotNull() & (F.length("x") <= max_doc) & (F.length("x") > 0)
     )
-    common = [r["l"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).collect()]
+    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).collect()}
+    common = list(counts)
     if not common:
         return []
-    order = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    chosen = rows.where(F.col("l").isin(common)).select("l", "h").distinct().withColumn("r", order).where(F.col("r") <= docs_per_lang)
+    # about twice as many as wanted pass by their hash alone, so that what is ordered for a language is bounded too
+    draw = F.pmod("h", F.lit(1 << 31)) / F.lit(float(1 << 31))
+    share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, (2.0 * docs_per_lang + 64) / n))])
+    few = rows.where(draw < F.element_at(share, F.col("l"))).select("l", "h").distinct()
+    order = F.row_number().over(Window.partitionBy("l").orderBy(draw, "h"))
+    chosen = few.withColumn("r", order).where(F.col("r") <= docs_per_lang)
     sample = rows.join(F.broadcast(chosen), ["l", "h"]).select("l", "h", "x").distinct().collect()
     model = []
     for lang in sorted(common):
         data = b""
-        for r in sorted((r for r in sample if r["l"] == lang), key=lambda r: r["h"]):
+        for r in sorted((r for r in sample if r["l"] == lang), key=lambda r: (r["h"] % (1 << 31), r["h"])):
             more = plain_bytes(r["x"]).tobytes()
             if len(data) + len(more) <= bytes_per_lang or not data:
                 data += b" " * bool(data) + more

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from orrery.config import EvalConfig, IndexConfig, SearchConfig
 from orrery.functions import kernels
-from orrery.operators import clustering, evaluate, index, knn
+from orrery.operators import clustering, coarse, evaluate, index, knn
 from orrery.operators.blocks import map_arrow, matrix
 
 K, STEP = 10, 20
@@ -296,6 +296,30 @@ def coarse_flat_probe(spark, sf_dir):
     return rounded(index.probes(asked(base), label_centroids(base), 3), "dist")
 
 
+@query(with_(B, Q, C, PROBE.format(n=3)) + "SELECT query_id, rank, cid, round(dist, 5) + 0.0 AS dist FROM pr")
+def irq_full_probe(spark, sf_dir):
+    """Probing by an index over the centroids, all inner clusters, refined at full precision."""
+    base = vectors(spark, sf_dir)
+    cents = label_centroids(base)
+    own = coarse.build(cents, _config(), cents.select("cid", (F.col("cid") % 3).alias("inner")), refine="full")
+    return rounded(coarse.probe(asked(base), own, 3, "full"), "dist", digits=5)
+
+
+@query(
+    with_(B, SCALED, "q AS (SELECT vec_id AS query_id, v AS w FROM s WHERE vec_id % 20 = 0)", C.replace("FROM b, range", "FROM s, range"))
+    + """SELECT query_id, rank, cid, round(dist, 5) + 0.0 AS dist, round(ip, 5) + 0.0 AS ip, round(gap, 5) + 0.0 AS gap FROM (
+         SELECT query_id, cid, dist, ip, gap, row_number() OVER (PARTITION BY query_id ORDER BY dist, cid) AS rank FROM (
+         SELECT query_id, cid, list_distance(list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))), list_transform(c, lambda x: x / sqrt(list_dot_product(c, c)))) AS dist,
+                list_dot_product(w, c) AS ip, list_distance(w, c) AS gap FROM q, c)) WHERE rank <= 3"""
+)
+def irq_ip_probe(spark, sf_dir):
+    """For inner products: unit centroids, and the true products and distances from norms that were kept."""
+    base = scaled(vectors(spark, sf_dir))
+    cents = label_centroids(base)
+    own = coarse.build(cents, _config(metric="ip"), cents.select("cid", (F.col("cid") % 3).alias("inner")), refine="full")
+    return rounded(coarse.probe(asked(base), own, 3, "full"), "dist", "ip", "gap", digits=5)
+
+
 def _raw_sql(n: int) -> str:
     return with_(B, Q, C, PROBE.format(n=n)) + (
         f"""SELECT query_id, rank, vec_id, {r6('dist')} AS dist FROM (SELECT query_id, vec_id, {D} AS dist,

@@ -12,7 +12,8 @@ end ends a phrase.)
 
 The labelled text is a bounded sample, whose bounds are parameters: at most ``max_langs`` languages (those with the most
 documents), for each ``docs_per_lang`` documents in the order of a hash of the text, of at most ``max_doc`` characters each,
-as many of them as fit ``bytes_per_lang``. What is broadcast is bounded by these alone.
+as many of them as fit ``bytes_per_lang``. What is broadcast, the labelled text, is bounded by these alone; each worker
+builds the automata once.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACES = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _FLAG = 1 << 30
+Model = list[tuple[str, bytes]]  # languages and their labelled text
 
 
 def plain_bytes(text: str) -> np.ndarray:
@@ -82,16 +84,17 @@ def edges_of(data: bytes) -> tuple[int, np.ndarray]:
 class Parser:
     """Counts phrases of many texts against all languages at once."""
 
-    def __init__(self, model: list[tuple[str, int, int, np.ndarray]]) -> None:
+    def __init__(self, model: Model) -> None:
         self.langs = [x[0] for x in model]
-        self.bits = np.array([math.log2(max(2, x[1])) for x in model])
-        used = np.unique(np.concatenate([x[3][:, 1] for x in model]))
+        self.bits = np.array([math.log2(max(2, len(x[1]))) for x in model])
+        used = np.unique(np.frombuffer(b"".join(x[1] for x in model), np.uint8))
         width = len(used) + 2  # the last two columns: bytes that no language has, and the padding after a text
         self.symbol = np.full(256, width - 2, dtype=np.int32)
         self.symbol[used] = np.arange(len(used))
         self.pad = width - 1
         roots, tables, at = [], [], 0
-        for _, _, states, edges in model:
+        for _, data in model:
+            states, edges = edges_of(data)
             base = at * width
             table = np.full((states, width), -1, dtype=np.int32)
             table[edges[:, 0], self.symbol[edges[:, 1]]] = base + edges[:, 2] * width
@@ -154,8 +157,8 @@ def fit(
     bytes_per_lang: int = 50_000,
     max_doc: int = 20_000,
     max_langs: int = 64,
-) -> list[tuple[str, int, int, np.ndarray]]:
-    """(language, bytes, states, transitions) of each language in ``docs``, whose rows may all be learnt from."""
+) -> Model:
+    """(language, labelled text) of each language in ``docs``, whose rows may all be learnt from."""
     rows = docs.select(F.col(lang_col).alias("l"), F.col(text_col).alias("x"), F.xxhash64(text_col).alias("h")).where(
         F.col("l").isNotNull() & F.col("x").isNotNull() & (F.length("x") <= max_doc) & (F.length("x") > 0)
     )
@@ -178,13 +181,13 @@ def fit(
             if len(data) + len(more) <= bytes_per_lang or not data:
                 data += b" " * bool(data) + more
         if data:
-            model.append((lang, len(data), *edges_of(data)))
+            model.append((lang, data))
     return model
 
 
 def identify(
     docs: DataFrame,
-    model: list[tuple[str, int, int, np.ndarray]],
+    model: Model,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:

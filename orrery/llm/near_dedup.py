@@ -7,9 +7,9 @@
 3. ``ROWS`` bins make a band and equal bands a bucket. A bucket emits edges from a few centres to its members (a star),
    never pairs among members. An edge counts if the full shingle sets have the wanted Jaccard similarity.
 4. At first each member meets only the smallest centre of all its buckets, which joins most. Then it meets the centres
-   of its other buckets, then other centres, unless they are of its component already; buckets of at most ``SMALL`` are
-   compared throughout. Members of large buckets that still have several components go into finer buckets, in which two
-   bands agree (``FINER`` pairs of bands), and there meet one centre after another until ``IDLE`` turns join nothing.
+   of its other buckets, unless they are of its component already; buckets of at most ``SMALL`` are compared throughout.
+   Members of large buckets that still have several components go into finer buckets, in which two
+   bands agree (``FINER`` pairs of bands), and there meet one centre after another until a whole turn joins nothing.
 5. Links are joined to components by alternating large and small stars, O(log n) rounds of a combine and a join.
 
 At similarity 0.75 a link is in no common bucket with probability (1 - 0.75^4)^32 = 5e-6, and is in ten of them on
@@ -32,7 +32,6 @@ BANDS, ROWS = 32, 4
 MIN_JACCARD = 75  # per cent
 SMALL = 16  # members of a bucket that are all compared
 FINER = 96  # pairs of bands
-IDLE = 2  # turns in a row without a link that end the search
 BLOCK = 1 << 20  # bytes hashed at once
 
 _RNG = np.random.default_rng(20240517)
@@ -227,11 +226,18 @@ def _setter(k: int):
     return sets
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node has one root, and no root has one."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(u, v) to (u, root): the smallest node that each node with a link can reach, roots left out."""
-    edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-    seen = None
-    while True:
+    edges = durable(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
+    while not _is_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
@@ -240,10 +246,8 @@ def components(links: DataFrame) -> DataFrame:
         edges = durable(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         )
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == seen:
-            return edges.select("u", F.col("v").alias("root"))
-        seen = now
+        release(links.sparkSession)
+    return edges.select("u", F.col("v").alias("root"))
 
 
 def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -278,7 +282,7 @@ def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands:
         docs.join(wanted, F.col("id") == F.col("cls"), "left_semi").mapInArrow(_setter(k), "cls long, set array<long>")
     )
     stars = docs.sparkSession.createDataFrame([], "u long, root long")
-    for turn in range(3):
+    for turn in range(2):
         open_, stars, _ = _turn(open_, stars, sets, percent, turn)
         if open_.isEmpty():
             return stars
@@ -289,11 +293,10 @@ def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands:
     twos = F.filter(F.array(*[F.array(*map(F.lit, x)) for x in _twos(bands)]), lambda x: at(x, 0).isNotNull() & at(x, 1).isNotNull())
     finer = several.select("cls", "n", "root", F.explode(F.transform(twos, lambda x: F.xxhash64(x, at(x, 0), at(x, 1)))).alias("b"))
     open_ = durable(_mixed(finer.withColumn("band", F.lit(0)).select("cls", "n", "band", "b", "root")))
-    idle = 0
-    while idle < IDLE and not open_.isEmpty():
+    found = True
+    while found and not open_.isEmpty():
         turn += 1
         open_, stars, found = _turn(open_, stars, sets, percent, turn)
-        idle = 0 if found else idle + 1
     return stars
 
 
@@ -314,7 +317,7 @@ def _turn(rows: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, turn
     pick = lambda c, name: F.min_by(c, order).alias(name)
     count = F.count("*").alias("c")
     centres = rows.groupBy("b").agg(pick("cls", "v"), pick("n", "m"), pick("root", "to"), count)
-    if turn >= 2:
+    if turn >= 1:
         few = centres.where(F.col("c") <= SMALL).select("b")
         every = rows.join(few, "b").select("b", F.col("cls").alias("v"), F.col("n").alias("m"), F.col("root").alias("to"), F.lit(0).alias("c"))
         centres = centres.where(F.col("c") > SMALL).unionByName(every)
@@ -328,7 +331,7 @@ def _turn(rows: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, turn
     if found:
         stars = _joined(stars, links)
     left = rows
-    if turn >= 2:  # small buckets have been compared throughout
+    if turn >= 1:  # small buckets have been compared throughout
         left = rows.join(rows.groupBy("b").agg(count).where(F.col("c") > SMALL).select("b"), "b", "left_semi")
     left = left.drop("root").join(stars.select(F.col("u").alias("cls"), "root"), "cls", "left")
     left = left.select("cls", "n", "band", "b", F.coalesce("root", "cls").alias("root"))

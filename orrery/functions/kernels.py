@@ -78,11 +78,12 @@ def _or_inf(x: np.ndarray) -> np.ndarray:
     return np.where(x == 0, np.inf, x)
 
 
-def onebit(x: np.ndarray, c: np.ndarray, metric: str, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def onebit(x: np.ndarray, c: np.ndarray | None, metric: str, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Signs of the residuals to ``c`` and the factors add, rescale, error of estimates from them.
 
-    ``c`` has a row for each row of ``x``. With a prefix, estimates see only the first ``prefix`` signs and extrapolate.
+    ``c`` has a row for each row of ``x``, or is None for the origin. With a prefix, estimates see only the first ``prefix`` signs and extrapolate.
     """
+    c = np.zeros_like(x) if c is None else c
     r = x - c
     width = r.shape[1]
     m = width if prefix is None else prefix
@@ -172,6 +173,26 @@ def ex_codes(x: np.ndarray, c: np.ndarray, ex_bits: int, metric: str, scale: flo
     return code, 1 - (r * c).sum(1) + norm2 * cw / rw, -norm * inverse
 
 
+def split_codes(code: np.ndarray, bits: np.ndarray, ex_bits: int, resident: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whole codes (sign and extra bits) in two: the top ``resident`` bits, which stay in memory, and the others."""
+    whole = code + bits.astype(np.int64) * (1 << ex_bits)
+    rest = ex_bits + 1 - resident
+    if not 1 <= resident <= ex_bits + 1:
+        raise ValueError("the resident bits are 1 to all")
+    return whole >> rest, whole & ((1 << rest) - 1)
+
+
+def resident_factors(x: np.ndarray, c: np.ndarray, top: np.ndarray, resident: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors add, rescale, error of estimates from the top bits alone: the code's exact product with the residual scales it."""
+    r = x - c
+    w = top - ((1 << resident) - 1) / 2
+    norm2, rw, cw, ww = (r * r).sum(1), _or_inf((r * w).sum(1)), (c * w).sum(1), (w * w).sum(1)
+    error = EPS * np.sqrt(norm2) * np.sqrt(np.maximum(0.0, (norm2 * ww / rw**2 - 1) / (x.shape[1] - 1)))
+    if metric == "l2":
+        return norm2 + 2 * norm2 * cw / rw, -2 * norm2 / rw, 2 * error
+    return 1 - (r * c).sum(1) + norm2 * cw / rw, -norm2 / rw, error
+
+
 def scalar_quantize(x: np.ndarray, bits: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Full codes of vectors, and delta and low value that give them back: code * delta + low."""
     ex = bits - 1

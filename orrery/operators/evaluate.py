@@ -110,6 +110,51 @@ def timed(action) -> tuple[object, float]:
     return action(), time.perf_counter() - start
 
 
+def manifest_row(spark: SparkSession, made: dict, dataset: str, mem_bytes: int | None = None, ssd_bytes: int | None = None) -> DataFrame:
+    """A row of the build manifest from what building reported."""
+    names = [x.split()[0] for x in MANIFEST.split(", ")]
+    row = made | {"dataset": dataset, "index_mem_bytes": mem_bytes, "index_ssd_bytes": ssd_bytes}
+    return spark.createDataFrame([tuple(row.get(n) for n in names)], MANIFEST)
+
+
+def index_bytes(config: IndexConfig, sizes: DataFrame) -> DataFrame:
+    """(mem_bytes, ssd_bytes) by the layout: resident codes, three factors and an id for each vector; whole payload pages."""
+    from orrery.config import PAGE, page_layout
+
+    per_read, pages = page_layout(config.record_bytes())
+    return sizes.agg((F.sum("n") * (config.prefix // 8 + 12 + 8)).alias("mem_bytes"), F.sum(F.ceil(F.col("n") / per_read) * pages * PAGE).alias("ssd_bytes"))
+
+
+def diagnostics_row(counters: DataFrame, run_id: str, op_param: float) -> DataFrame:
+    """The scan funnel of a run, keyed like its result row."""
+    return scan_ratios(counters).select(F.lit(run_id).alias("run_id"), F.lit(float(op_param)).alias("op_param"), "*")
+
+
+def throughput(df: DataFrame) -> DataFrame:
+    """Adds qps, qps without the coarse part, bandwidth in MB/s, reads a second, the drain's share and what bounds a run.
+
+    From (queries, seconds, coarse_s, io_s, drain_s, io_bytes, io_reqs) of each run.
+    """
+    rest = F.col("seconds") - F.col("coarse_s")
+    return df.select(
+        "*", per_div(F.col("queries"), F.col("seconds")).alias("qps"), per_div(F.col("queries"), rest).alias("qps_no_coarse"),
+        per_div(F.col("io_bytes") / 1e6, F.col("seconds")).alias("eff_bw_mbps"), per_div(F.col("io_reqs"), F.col("seconds")).alias("eff_iops"),
+        per_div(F.col("drain_s"), F.col("seconds")).alias("drain_share"), bound_label(F.coalesce(per_div(F.col("io_s"), F.col("seconds")), F.lit(0.0))).alias("bound"),
+    )
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def assemble(rows: list[DataFrame]) -> DataFrame:
+    """Result rows of several runs as one table; columns that a run lacks are null."""
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A header once; one file, as result tables are small."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

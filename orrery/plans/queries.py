@@ -797,4 +797,51 @@ def prefix_scan(spark, sf_dir):
     return vectors(spark, sf_dir).where("vec_id < 300").select("vec_id", F.col("label").cast("long"))
 
 
+@query(with_("b AS (SELECT vec_id, label::BIGINT AS label FROM embeddings)", "n AS (SELECT max(vec_id) + 1 AS n FROM b)") + "SELECT vec_id, label FROM b WHERE vec_id < 600 UNION ALL SELECT vec_id + n, label FROM b, n WHERE vec_id + n < 600")
+def chunk_prefix(spark, sf_dir):
+    """The first 600 rows of the collection followed by itself: a prefix over chunks is the feature."""
+    from orrery.sources.vector_files import concat_chunks
+
+    base = vectors(spark, sf_dir)
+    labels = doubled(base).select("vec_id", F.col("label").cast("long"))
+    return concat_chunks([base, base], 600).join(labels, "vec_id").select("vec_id", "label")
+
+
+@query(
+    with_(ROTATED, "g AS (SELECT id, sum(x * x) AS n2, sum(x * CASE WHEN x > 0 THEN 0.5 ELSE -0.5 END) AS xu FROM m3 GROUP BY id)")
+    + f"SELECT id AS vec_id, {r6('n2')} AS f_add, {r6('-2 * n2 / xu')} AS f_rescale, {r6('2 * 1.9 * sqrt(n2) * sqrt(greatest(0, (n2 * 16 / (xu * xu) - 1) / 63))')} AS f_error FROM g"
+)
+def onebit_factors_origin(spark, sf_dir):
+    """Codes relative to the origin."""
+    turn = kernels.rotation_matrix(64, SEED)
+
+    def kernel(col):
+        _, add, rescale, error = kernels.onebit(matrix(col["embedding"]) @ turn, None, "l2")
+        return {"vec_id": col["vec_id"], "f_add": add, "f_rescale": rescale, "f_error": error}
+
+    rows = map_arrow(vectors(spark, sf_dir).select("vec_id", "embedding"), kernel, "vec_id long,f_add double,f_rescale double,f_error double")
+    return rounded(rows, "f_add", "f_rescale", "f_error")
+
+
+@query(
+    with_(B, "m AS (SELECT vec_id, label, list_transform(v, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS s FROM b)")
+    + """SELECT q.vec_id AS query_id, m.vec_id, CAST(list_dot_product(q.s::DOUBLE[], m.s::DOUBLE[]) AS BIGINT) AS common,
+         CAST(list_sum(q.s) + list_sum(m.s) - 2 * list_dot_product(q.s::DOUBLE[], m.s::DOUBLE[]) AS BIGINT) AS hamming
+         FROM m JOIN m AS q USING (label) WHERE q.vec_id % 20 = 0"""
+)
+def binary_dot(spark, sf_dir):
+    """Products and distances of sign codes by bit counts, within a cluster."""
+    code = F.aggregate(F.transform("embedding", lambda x: (x > 0).cast("long")), F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(x))
+    rows = vectors(spark, sf_dir).select("vec_id", "label", code.alias("code"))
+    q = asked(rows).select(F.col("vec_id").alias("query_id"), "label", F.col("code").alias("c"))
+    both = rows.join(q, "label")
+    return both.select("query_id", "vec_id", F.bit_count(F.col("code").bitwiseAND(F.col("c"))).cast("long").alias("common"), F.bit_count(F.col("code").bitwiseXOR(F.col("c"))).cast("long").alias("hamming"))
+
+
+@query(with_(B, PAGES) + "SELECT CAST(sum(n) * 28 AS BIGINT) AS mem_bytes, CAST(sum(pages) * 4096 AS BIGINT) AS ssd_bytes FROM f")
+def index_bytes(spark, sf_dir):
+    sizes = labelled(vectors(spark, sf_dir)).groupBy("cid").agg(F.count("*").alias("n"))
+    return evaluate.index_bytes(IndexConfig(64, store="raw"), sizes)
+
+
 __all__ = ["QUERIES", "SQL", "EvalConfig"]

@@ -180,6 +180,39 @@ def write_vectors(df, path: str, limit: int | None = None) -> None:
     rows.repartitionByRange("vec_id").write.format("vectorfile").mode("overwrite").save(path)
 
 
+def concat_chunks(chunks: list, limit: int | None = None):
+    """Frames of (vec_id, embedding), each numbered from 0, as one collection numbered through; the first ``limit`` rows.
+
+    Chunks that begin beyond the limit aren't read.
+    """
+    out, first = None, 0
+    for chunk in chunks:
+        if limit is not None and first >= limit:
+            break
+        rows = chunk.select((chunk["vec_id"] + first).alias("vec_id"), "embedding")
+        out = rows if out is None else out.unionByName(rows)
+        first += chunk.count()
+    return out if limit is None else out.where(out["vec_id"] < limit)
+
+
+def write_cells(cells: list[tuple[int, list[float]]], path: str) -> None:
+    """First-level cells: (number of children, centroid) rows behind a header of their number and width."""
+    with open(path, "wb") as f:
+        f.write(struct.pack("<ii", len(cells), len(cells[0][1]) if cells else 0))
+        f.write(np.array([n for n, _ in cells], "<i4").tobytes() + np.array([c for _, c in cells], "<f4").tobytes())
+
+
+def read_cells(spark: SparkSession, path: str):
+    """(cell, n_children, centroid) of a file of first-level cells."""
+    with open(path, "rb") as f:
+        data = f.read()
+    n, dim = struct.unpack_from("<ii", data)
+    if len(data) != 8 + 4 * n + 4 * n * dim:
+        raise VectorFileError("no whole file of cells")
+    counts, x = np.frombuffer(data, "<i4", n, 8), np.frombuffer(data, "<f4", n * dim, 8 + 4 * n).reshape(n, dim)
+    return spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(counts, x, strict=True))], "cell long, n_children int, centroid array<double>")
+
+
 # --- id files and ground truth: small, read on the driver
 
 #: The first eight bytes of assignment and of ground truth files, as little-endian numbers.

@@ -82,3 +82,37 @@ def test_config_rules():
     for bad in ({"metric": "cosine"}, {"bits": 0}, {"memdim": 63}, {"store": "x"}, {"bits": 1, "memdim": 64}):
         with pytest.raises(ValueError):
             IndexConfig(128, **bad)
+
+
+@pytest.mark.parametrize("resident", [1, 3, 9])
+def test_resident_bits(resident):
+    rng = np.random.default_rng(8)
+    x, c, q = rng.standard_normal((50, 64)), np.zeros((50, 64)), rng.standard_normal((5, 64))
+    code, _, _ = K.ex_codes(x, c, 8, "l2")
+    top, rest = K.split_codes(code, x >= 0, 8, resident)
+    assert ((top << (9 - resident)) + rest == code + (x >= 0) * 256).all()
+    add, rescale, error = K.resident_factors(x, c, top, resident, "l2")
+    q_add, q_err = K.query_terms(q, c[0], "l2")
+    est = add[:, None] + q_add + rescale[:, None] * ((top - ((1 << resident) - 1) / 2) @ q.T)
+    assert (est - error[:, None] * q_err > K.distances(x, q, "l2")).mean() < 0.05
+
+
+def test_cells_file(tmp_path, spark):
+    from orrery.sources import vector_files as files
+
+    files.write_cells([(3, [1.0, 2.0]), (0, [0.5, 0.0])], str(tmp_path / "c"))
+    assert [tuple(r) for r in files.read_cells(spark, str(tmp_path / "c")).collect()] == [(0, 3, [1.0, 2.0]), (1, 0, [0.5, 0.0])]
+
+
+def test_result_rows(spark, tmp_path):
+    from orrery.config import SearchConfig
+    from orrery.operators import evaluate as E
+
+    row = E.result_row(spark, IndexConfig(64, metric="ip"), SearchConfig(k=5), {"nq": 3})
+    both = E.assemble([row, E.diagnostics_row(spark.createDataFrame([(1, 2, 1, 1)], "clusters long, candidates long, records long, pages long"), "r", 2)])
+    assert len(row.columns) == 32 and both.count() == 2 and row.first()["metric_space"] == "ip"
+    E.write_csv(row, str(tmp_path / "r"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "r")).columns == row.columns
+    runs = spark.createDataFrame([(10, 2.0, 1.0, 1.5, 0.5, 4e6, 8), (1, 0.0, 0.0, 0.0, 0.0, 0.0, 0)], "queries long, seconds double, coarse_s double, io_s double, drain_s double, io_bytes double, io_reqs long")
+    assert [(r["qps"], r["qps_no_coarse"], r["eff_bw_mbps"], r["bound"]) for r in E.throughput(runs).collect()] == [(5.0, 10.0, 2.0, "io"), (None, None, None, "compute")]
+    assert E.manifest_row(spark, {"index_id": "x", "build_s": 1.0}, "d", 1, 2).first()["index_ssd_bytes"] == 2

@@ -131,10 +131,10 @@ QUERY_BLOCK = 64
 
 
 def query_blocks(queries: DataFrame, found: DataFrame, extra: list[str] = []) -> DataFrame:  # noqa: B006
-    """(cid, qs): the queries that probe a cluster, QUERY_BLOCK at most in a block, so that a hot cluster is many blocks."""
+    """(cid, qs): the queries that probe a cluster, about QUERY_BLOCK in a block, so that a hot cluster is many blocks."""
     q = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
-    order = Window.partitionBy("cid").orderBy("query_id")
-    numbered = found.withColumn("b", F.floor((F.row_number().over(order) - 1) / QUERY_BLOCK)).join(q, "query_id")
+    n = found.groupBy("cid").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("parts"))
+    numbered = found.join(n, "cid").withColumn("b", F.pmod(F.xxhash64("query_id"), F.col("parts"))).join(q, "query_id")
     return numbered.groupBy("cid", "b").agg(F.array_sort(F.collect_list(F.struct("query_id", "v", *extra))).alias("qs")).drop("b")
 
 
@@ -223,15 +223,14 @@ def examined(postings: DataFrame, queries: DataFrame, cents: DataFrame, config:
     elif not boosted:
         rows = rows.withColumn("dist", F.col("est"))
     k = options.k
-    by_est = Window.partitionBy("query_id").orderBy("est", "vec_id")
-    seeds = rows.withColumn("r", F.row_number().over(by_est)).where(F.col("r") <= k).select("query_id", "vec_id", "dist")
     rank = min(max(int(options.drain_alpha * k + 0.5), 1), k)
-    by_dist = Window.partitionBy("query_id").orderBy("dist", "vec_id")
-    tau = seeds.withColumn("r", F.row_number().over(by_dist)).groupBy("query_id").agg(
-        F.when(F.count("*") < k, F.lit(float("inf"))).otherwise(F.max(F.when(F.col("r") == rank, F.col("dist")))).alias("tau")
-    )
-    marked = rows.join(tau, "query_id").join(seeds.select("query_id", "vec_id", F.lit(True).alias("seed")), ["query_id", "vec_id"], "left")
-    marked = marked.withColumn("kept", F.coalesce("seed", F.lit(False)) | (F.col("low") <= F.col("tau"))).drop("seed")
+    of = Window.partitionBy("query_id")  # the windows share one shuffle, and the estimates are computed once
+    seeded = rows.withColumn("seed", F.row_number().over(of.orderBy("est", "vec_id")) <= k)
+    placed = seeded.withColumn("place", F.row_number().over(of.orderBy(~F.col("seed"), "dist", "vec_id")))
+    short = F.sum(F.col("seed").cast("int")).over(of) < k
+    edge = F.max(F.when(F.col("seed") & (F.col("place") == rank), F.col("dist"))).over(of)
+    marked = placed.withColumn("tau", F.when(short, F.lit(float("inf"))).otherwise(edge))
+    marked = marked.withColumn("kept", F.col("seed") | (F.col("low") <= F.col("tau"))).drop("seed", "place")
     return marked.where("kept").select("query_id", "vec_id", "dist"), marked
 
 

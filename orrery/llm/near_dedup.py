@@ -9,7 +9,7 @@
 4. At first each member meets only the smallest centre of all its buckets, which joins most. Then it meets the centres
    of its other buckets, unless they are of its component already; buckets of at most ``SMALL`` are compared throughout.
    Members of large buckets that still have several components go into finer buckets, in which two
-   bands agree (``FINER`` pairs of bands), and there meet one centre after another until a whole turn joins nothing.
+   bands agree (``FINER`` pairs of bands), and there meet one centre.
 5. Links are joined to components by alternating large and small stars, O(log n) rounds of a combine and a join.
 
 At similarity 0.75 a link is in no common bucket with probability (1 - 0.75^4)^32 = 5e-6, and is in ten of them on
@@ -283,7 +283,7 @@ def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands:
     )
     stars = docs.sparkSession.createDataFrame([], "u long, root long")
     for turn in range(2):
-        open_, stars, _ = _turn(open_, stars, sets, percent, turn)
+        open_, stars = _turn(open_, stars, sets, percent, turn)
         if open_.isEmpty():
             return stars
     # what large buckets still have in several components: those that agree in two bands
@@ -292,12 +292,8 @@ def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands:
     at = lambda x, i: F.element_at("of", x[i])
     twos = F.filter(F.array(*[F.array(*map(F.lit, x)) for x in _twos(bands)]), lambda x: at(x, 0).isNotNull() & at(x, 1).isNotNull())
     finer = several.select("cls", "n", "root", F.explode(F.transform(twos, lambda x: F.xxhash64(x, at(x, 0), at(x, 1)))).alias("b"))
-    open_ = durable(_mixed(finer.withColumn("band", F.lit(0)).select("cls", "n", "band", "b", "root")))
-    found = True
-    while found and not open_.isEmpty():
-        turn += 1
-        open_, stars, found = _turn(open_, stars, sets, percent, turn)
-    return stars
+    finer = durable(finer.withColumn("band", F.lit(0)).select("cls", "n", "band", "b", "root"))
+    return _turn(finer, stars, sets, percent, 2, last=True)[1]
 
 
 def _twos(bands: int) -> list[list[int]]:
@@ -305,13 +301,7 @@ def _twos(bands: int) -> list[list[int]]:
     return [every[i] for i in sorted(np.random.default_rng(31).permutation(len(every))[:FINER].tolist())]
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows of buckets with several components."""
-    several = rows.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("b")
-    return rows.join(several, "b", "left_semi")
-
-
-def _turn(rows: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame, bool]:
+def _turn(rows: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, turn: int, last: bool = False) -> tuple[DataFrame, DataFrame]:
     """Compares the members of each bucket with a centre of it, and those of small buckets with one another."""
     order = F.col("cls") if turn < 2 else F.xxhash64("cls", "b", F.lit(turn))
     pick = lambda c, name: F.min_by(c, order).alias(name)
@@ -327,17 +317,18 @@ def _turn(rows: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, turn
         pairs = pairs.groupBy("cls").agg(F.min("v").alias("v"))
     edges = pairs.select(F.greatest("cls", "v").alias("u"), F.least("cls", "v").alias("v")).distinct()
     links = durable(_verified(edges, sets, percent))
-    found = not links.isEmpty()
-    if found:
+    if not links.isEmpty():
         stars = _joined(stars, links)
-    left = rows
-    if turn >= 1:  # small buckets have been compared throughout
-        left = rows.join(rows.groupBy("b").agg(count).where(F.col("c") > SMALL).select("b"), "b", "left_semi")
-    left = left.drop("root").join(stars.select(F.col("u").alias("cls"), "root"), "cls", "left")
+    if last:
+        return rows, stars
+    left = rows.drop("root").join(stars.select(F.col("u").alias("cls"), "root"), "cls", "left")
     left = left.select("cls", "n", "band", "b", F.coalesce("root", "cls").alias("root"))
-    left = durable(_mixed(left))
+    several = left.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), count).where("lo < hi")
+    if turn >= 1:  # small buckets have been compared throughout
+        several = several.where(F.col("c") > SMALL)
+    left = durable(left.join(several.select("b"), "b", "left_semi"))
     release(rows.sparkSession)
-    return left, stars, found
+    return left, stars
 
 
 def near_dedup(

@@ -8,13 +8,14 @@
    never pairs among members. An edge counts if the full shingle sets have the wanted Jaccard similarity.
 4. At first each member meets only the smallest centre of all its buckets, which joins most. Then it meets the centres
    of its other buckets, unless they are of its component already; buckets of at most ``SMALL`` are compared throughout.
-   Members of large buckets that still have several components go into finer buckets, in which two
-   bands agree (``FINER`` pairs of bands), and there meet one centre.
+   What large buckets still have in several components is compared throughout by an exact join: of each set the rarest
+   shingles, so many that every set similar enough has one of them, meet, and pairs whose lengths and places in the order
+   rule the similarity out are left out. The order comes from ``CELLS`` counters; none loses a link, whatever they hold.
 5. Links are joined to components by alternating large and small stars, O(log n) rounds of a combine and a join.
 
 At similarity 0.75 a link is in no common bucket with probability (1 - 0.75^4)^32 = 5e-6, and is in ten of them on
-average; in a large bucket it is found when either is a centre there or in a finer bucket. Only the texts of classes in
-shared buckets move, once; edges are pairs of ids until they meet the sets.
+average; every link in a common bucket is found. Only the texts of classes in shared buckets move, once; edges are pairs of
+ids until they meet the sets.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 MIN_JACCARD = 75  # per cent
 SMALL = 16  # members of a bucket that are all compared
-FINER = 96  # pairs of bands
+CELLS = 1 << 18  # counters of shingles
 BLOCK = 1 << 20  # bytes hashed at once
 
 _RNG = np.random.default_rng(20240517)
@@ -286,19 +287,51 @@ def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands:
         open_, stars = _turn(open_, stars, sets, percent, turn)
         if open_.isEmpty():
             return stars
-    # what large buckets still have in several components: those that agree in two bands
-    of = F.map_from_entries(F.collect_list(F.struct("band", "b")))
-    several = open_.groupBy("cls", "n", "root").agg(of.alias("of"))
-    at = lambda x, i: F.element_at("of", x[i])
-    twos = F.filter(F.array(*[F.array(*map(F.lit, x)) for x in _twos(bands)]), lambda x: at(x, 0).isNotNull() & at(x, 1).isNotNull())
-    finer = several.select("cls", "n", "root", F.explode(F.transform(twos, lambda x: F.xxhash64(x, at(x, 0), at(x, 1)))).alias("b"))
-    finer = durable(finer.withColumn("band", F.lit(0)).select("cls", "n", "band", "b", "root"))
-    return _turn(finer, stars, sets, percent, 2, last=True)[1]
-
-
-def _twos(bands: int) -> list[list[int]]:
-    every = [[i, j] for i in range(bands) for j in range(i + 1, bands)]
-    return [every[i] for i in sorted(np.random.default_rng(31).permutation(len(every))[:FINER].tolist())]
+    return _rest(open_, stars, sets, percent)
+
+
+def _counter(batches):
+    for batch in batches:
+        values = batch.column(0).flatten().to_numpy().view(np.uint64)
+        cells, n = np.unique(values & np.uint64(CELLS - 1), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int64)), pa.array(n.astype(np.int64))], names=["cell", "n"])
+
+
+def _rarest(sent, percent: int):
+    """The shingles of a set, the rarest first, of which one at least is in every set similar enough."""
+
+    def rarest(batches):
+        for batch in batches:
+            cls, root, sets = (batch.column(i) for i in range(3))
+            for at in range(batch.num_rows):
+                x = sets[at].values.to_numpy().view(np.uint64)
+                first = len(x) - -(-len(x) * percent // 100) + 1
+                x = x[np.lexsort((x, sent.value[x & np.uint64(CELLS - 1)]))[:first]]
+                names = [pa.array(np.full(len(x), y)) for y in (cls[at].as_py(), root[at].as_py(), len(sets[at]))]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(np.arange(len(x))), pa.array(x.view(np.int64))], names=["cls", "root", "n", "at", "s"])
+
+    return rarest
+
+
+def _rest(rows: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Compares all that large buckets still have in several components, by an exact join on their rarest shingles.
+
+    Any one order of the shingles gives every link; the rarer the first ones, the fewer the pairs.
+    """
+    spark = rows.sparkSession
+    theirs = durable(sets.join(rows.groupBy("cls").agg(F.min("root").alias("root")), "cls").select("cls", "root", "set"))
+    cells = theirs.select("set").mapInArrow(_counter, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(CELLS, dtype=np.int64)
+    often[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    rare = theirs.mapInArrow(_rarest(spark.sparkContext.broadcast(often), percent), "cls long, root long, n long, at long, s long")
+    rare = durable(rare)
+    other = rare.select(F.col("cls").alias("v"), F.col("root").alias("to"), F.col("n").alias("m"), F.col("at").alias("from"), "s")
+    pairs = rare.join(other, "s").where("cls > v AND root <> to")
+    pairs = pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    # what both have from their first common shingle on has to be enough
+    pairs = pairs.where(F.least(F.col("n") - F.col("at"), F.col("m") - F.col("from")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
+    links = durable(_verified(durable(pairs.select(F.col("cls").alias("u"), "v").distinct()), sets, percent))
+    return stars if links.isEmpty() else _joined(stars, links)
 
 
 def _turn(rows: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, turn: int, last: bool = False) -> tuple[DataFrame, DataFrame]:

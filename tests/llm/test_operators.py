@@ -105,6 +105,20 @@ def test_near_dedup(docs):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (n, root, r["doc_id"] == root)
 
 
+def test_near_links_of_large_buckets(spark):
+    """Pairs that share nothing but large buckets, of which they are no centre."""
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = []
+    for g in range(60):
+        own = [f"g{g}w{i}" for i in range(50)]
+        rows += [(g, f"{shared} {' '.join(own)}"), (1000 + g, f"{shared} {' '.join(own[: 36 + g % 4])} x{g}")]
+    want = components(rows)
+    classes = spark.createDataFrame([(i, want[i][0], [7, 8]) for i, _ in rows], "cls long, n long, bands array<long>")
+    got = near_dedup.near_links(classes, spark.createDataFrame(rows, "id long, text string"), 5, 75, 2).collect()
+    assert {r["u"]: r["root"] for r in got} == {i: root for i, (_, root) in want.items() if i != root}
+    assert len(got) == 60
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.text(alphabet=" aAbé\t", max_size=30), max_size=6))
 def test_shingle_sets(found):

@@ -11,7 +11,7 @@ phrase. All texts of a batch, in segments of ``SEGMENT`` bytes, and all language
 end ends a phrase.)
 
 The labelled text is a bounded sample, whose bounds are parameters: at most ``max_langs`` languages (those with the most
-documents), for each ``docs_per_lang`` documents in the order of a hash of the text, of at most ``max_doc`` characters each,
+documents), for each ``docs_per_lang`` different texts in the order of a hash of the text, of at most ``max_doc`` characters each,
 as many of them as fit ``bytes_per_lang``. What is broadcast, the labelled text, is bounded by these alone; each worker
 builds the automata once.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -162,17 +163,27 @@ def fit(
     rows = docs.select(F.col(lang_col).alias("l"), F.col(text_col).alias("x"), F.xxhash64(text_col).alias("h")).where(
         F.col("l").isNotNull() & F.col("x").isNotNull() & (F.length("x") <= max_doc) & (F.length("x") > 0)
     )
-    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).collect()}
+    of = rows.groupBy("l").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts"))
+    counts = {r["l"]: r["texts"] for r in of.orderBy(F.desc("n"), "l").limit(max_langs).collect()}
     common = list(counts)
     if not common:
         return []
-    # about twice as many as wanted pass by their hash alone, so that what is ordered for a language is bounded too
     draw = F.pmod("h", F.lit(1 << 31)) / F.lit(float(1 << 31))
-    share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, (2.0 * docs_per_lang + 64) / n))])
-    few = rows.where(draw < F.element_at(share, F.col("l"))).select("l", "h").distinct()
     order = F.row_number().over(Window.partitionBy("l").orderBy(draw, "h"))
-    chosen = few.withColumn("r", order).where(F.col("r") <= docs_per_lang)
-    sample = rows.join(F.broadcast(chosen), ["l", "h"]).select("l", "h", "x").distinct().collect()
+
+    def first(share: dict[str, float]) -> list:
+        """The first texts of each language among those whose draw is below its share."""
+        below = F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("l"))
+        chosen = rows.where(draw < below).select("l", "h").distinct().withColumn("r", order).where(F.col("r") <= docs_per_lang)
+        return rows.join(F.broadcast(chosen.select("l", "h")), ["l", "h"]).select("l", "h", "x").distinct().collect()
+
+    # about twice as many different texts as wanted pass by their hash alone, so that what is ordered for a language is
+    # bounded too; where fewer than wanted pass, all are ordered, so the sample doesn't depend on the share
+    share = {x: min(1.0, (2.0 * docs_per_lang + 64) / max(1, n)) for x, n in counts.items()}
+    sample = first(share)
+    passed = Counter(x for x, _ in {(r["l"], r["h"]) for r in sample})
+    if few := {x: 1.0 for x in common if share[x] < 1 and passed[x] < docs_per_lang}:
+        sample = [r for r in sample if r["l"] not in few] + first(few)
     model = []
     for lang in sorted(common):
         data = b""

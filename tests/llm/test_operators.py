@@ -189,6 +189,18 @@ def test_phrases_are_longest_matches(known, text):
     assert parser.phrases([np.frombuffer(text.encode(), np.uint8)])[0, 0] == (want if text else 0)
 
 
+def test_language_sample_of_copies(spark):
+    """Copies don't thin the sample: of 60 different texts in 20,000 rows all are learnt from, of 900 the first 256."""
+    word = lambda n: "q" + "".join(chr(97 + n // 26**i % 26) for i in range(3)) + "q"
+    texts_ = [(0, i, "few", word(i)) for i in range(60)] + [(1, i, "many", word(1000 + i)) for i in range(900)]
+    rows = spark.range(20_000).selectExpr("id", "id % 60 AS few", "id % 900 AS many")
+    rows = rows.selectExpr("stack(2, 0, few, 1, many) AS (kind, i)").join(spark.createDataFrame(texts_, "kind int, i long, lang string, text string"), ["kind", "i"])
+    model = {x: y.decode().split() for x, y in language_id.fit(rows)}
+    assert sorted(model["few"]) == sorted(word(i) for i in range(60))
+    hashes = {r["text"]: r["h"] for r in rows.where("lang = 'many'").select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    assert model["many"] == sorted(hashes, key=lambda x: (hashes[x] % (1 << 31), hashes[x]))[:256]
+
+
 def test_language(docs, nothing, spark, sf_dir):
     real = spark.read.parquet(f"{sf_dir}/documents.parquet")
     learn = language_id.learnable(F.col("doc_id"))

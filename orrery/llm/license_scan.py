@@ -4,7 +4,9 @@
    for each word of the vocabulary, so what is shuffled and collected is bounded by it).
 2. Every line of every whole text, and each line together with the next, is a sparse vector over the vocabulary, words
    outside it weighing as much as the rarest; it takes the template of largest cosine if that reaches ``threshold``. Lines
-   without any of a template's telling words can't reach it and aren't scored.
+   without any of a template's telling words can't reach it and aren't scored. So is every run of as many words as a template
+   has, across line ends and wherever it starts, for notices inside a paragraph or over several lines. Sums along the text
+   bound the cosines of all runs from above; those that may reach the best so far are scored.
 3. A licence file (by its name) stands for its directory. Each directory inherits from the nearest ancestor with a licence,
    itself included, by joins of paths to their ancestors; files without a licence of their own take their directory's.
 """
@@ -15,6 +17,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,15 +64,58 @@ class Scanner:
                         break
                     telling.add(w)
                     left -= vector[w] ** 2
+        self.at = {w: i for i, w in enumerate(self.weight, 1)}  # 0: other words
+        self.square = np.array([self.other, *self.weight.values()]) ** 2
+        gains: dict[int, list[np.ndarray]] = {}
+        for (_, t), text in zip(self.templates, (x for name in sorted(templates) for x in templates[name]), strict=True):
+            gains.setdefault(len(words_of(text)), []).append(np.array([0.0, *(x * t.get(w, 0.0) for w, x in self.weight.items())]))
+        self.gains = {n: np.array(x) for n, x in gains.items()}
         self.telling = re.compile(r"(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in sorted(telling, key=lambda w: (-len(w), w))) + r")(?![a-z0-9])")
 
     def line(self, line: str) -> tuple[float, str] | None:
-        counts = Counter(words_of(line))
+        return self.words(words_of(line))
+
+    def words(self, words: list[str]) -> tuple[float, str] | None:
+        counts = Counter(words)
         vector = {w: n * self.weight.get(w, self.other) for w, n in counts.items()}
         norm = math.sqrt(sum(x * x for x in vector.values()))
         best = max(((sum(x * t[w] for w, x in vector.items() if w in t) / norm, name) for name, t in self.templates), key=lambda x: (x[0], x[1])) if norm else (0.0, "")
         return best if best[0] >= self.threshold else None
 
+    def runs(self, low: str, least: float) -> tuple[float, str, int] | None:
+        """Cosine, license and line of the best run of a template's length, if its cosine is greater than ``least``."""
+        found = list(_WORD.finditer(low))
+        words = [m.group() for m in found]
+        at = np.array([self.at.get(w, 0) for w in words], dtype=np.int64)
+        square = np.concatenate(([0.0], np.cumsum(self.square[at])))
+        starts, sizes, bounds = [], [], []
+        for n, gains in self.gains.items():
+            n = min(n, len(words))
+            if n == 0:
+                continue
+            # a word that repeats weighs more in the norm than in this sum, never less
+            norm = np.sqrt(square[n:] - square[:-n])
+            most = np.zeros(len(norm))
+            for gain in gains:
+                dot = np.concatenate(([0.0], np.cumsum(gain[at])))
+                most = np.maximum(most, (dot[n:] - dot[:-n]) / norm)
+            i = np.flatnonzero(most >= max(self.threshold, least) - 1e-6)
+            starts.append(i)
+            sizes.append(np.full(len(i), n))
+            bounds.append(most[i])
+        if not starts:
+            return None
+        start, size, bound = np.concatenate(starts), np.concatenate(sizes), np.concatenate(bounds)
+        best = None
+        for k in np.lexsort((start, -bound)).tolist():
+            if bound[k] < (best[0] if best else least) - 1e-6:
+                break
+            i = int(start[k])
+            hit = self.words(words[i : i + int(size[k])])
+            if hit and hit[0] > least + 1e-9 and (best is None or (hit[0], hit[1], -i) > best):
+                best = (*hit, -i)
+        return best and (best[0], best[1], low.count("\n", 0, found[-best[2]].start()))
+
     def file(self, text: str | None) -> tuple[str, float, int] | None:
         """License, cosine and line of the best match; of equal ones the first line's."""
         low = (text or "").lower()
@@ -84,7 +130,8 @@ class Scanner:
                 found = self.line(part) if part is not None else None
                 if found and (best is None or found[0] > best[1]):
                     best = (found[1], found[0], i)
-        return best
+        run = self.runs(low, best[1] if best else 0.0)
+        return (run[1], run[0], run[2]) if run else best
 
 
 def fit(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, text_col: str = "text", threshold: float = 0.7) -> Scanner:
@@ -103,7 +150,7 @@ def fit(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, tex
 
 
 def scan(files: DataFrame, scanner: Scanner, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """(id, path, own_license, score, line) of every whole text; nulls where no line reaches the threshold."""
+    """(id, path, own_license, score, line) of every whole text; nulls where no line or run reaches the threshold."""
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
 

@@ -353,6 +353,23 @@ def test_licenses(spark):
     assert got == {1: ("MIT", None), 2: ("CC-BY-NC-4.0", "a/b"), 3: ("CC-BY-NC-4.0", None), 4: (None, None), 5: ("Apache-2.0", None), 6: (None, None), 7: ("MIT", "a")}
 
 
+def test_licenses_inside_paragraphs(spark):
+    prose = "The quick brown fox jumps over the lazy dog and then it sleeps in the warm afternoon sun."
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, {"the": 50, "license": 3, "under": 20, "and": 40, "in": 30}, 60, 0.7)
+    for name, texts_ in license_scan.TEMPLATES.items():
+        for text in texts_:
+            wrapped = "\n".join(" ".join(text.split()[i : i + 2]) for i in range(0, len(text.split()), 2))
+            alone = scanner.line(text)
+            assert alone[1] == name
+            for whole, line in ((f"{prose} {text}", 0), (f"x\n{prose} {text} {prose}\ny", 1), (f"{prose * 200} {text} {prose * 200}", 0), (f"{prose}\n{wrapped}\n{prose}", 1)):
+                found = scanner.file(whole)
+                assert found[0] == name and found[1] >= alone[0] - 1e-9 and found[2] == line
+    assert scanner.file(f"{prose}\n{prose} license {prose}") is None
+    files = [(1, "a/LICENSE", f"{prose} Released under the MIT License. {prose}"), (2, "a/b/c.txt", "plain")]
+    got = license_scan.license_of_files(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()
+    assert {r["doc_id"]: r["license"] for r in got} == {1: "MIT", 2: "MIT"}
+
+
 def test_telling_words_lose_nothing():
     scanner = license_scan.Scanner(license_scan.TEMPLATES, {"the": 50, "license": 3, "under": 20}, 60, 0.7)
     for texts_ in license_scan.TEMPLATES.values():

@@ -10,7 +10,8 @@
    of its other buckets, unless they are of its component already; buckets of at most ``SMALL`` are compared throughout.
    What large buckets still have in several components is compared throughout by an exact join: of each set the rarest
    shingles, so many that every set similar enough has one of them, meet, and pairs whose lengths and places in the order
-   rule the similarity out are left out. The order comes from ``CELLS`` counters; none loses a link, whatever they hold.
+   rule the similarity out are left out, as are pairs whose parity sketches (the parity of the number of shingles on each
+   of ``SKETCH`` bits) differ in more bits than the sets may differ in shingles. The order comes from ``CELLS`` counters; none loses a link, whatever they hold.
 5. Links are joined to components by alternating large and small stars, O(log n) rounds of a combine and a join.
 
 At similarity 0.75 a link is in no common bucket with probability (1 - 0.75^4)^32 = 5e-6, and is in ten of them on
@@ -20,20 +21,23 @@ ids until they meet the sets.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import durable, release
+from orrery.llm.common import durable, map_batches, release
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 MIN_JACCARD = 75  # per cent
 SMALL = 16  # members of a bucket that are all compared
 CELLS = 1 << 18  # counters of shingles
-BLOCK = 1 << 20  # bytes hashed at once
+BLOCK = 1 << 18  # bytes hashed at once
+SKETCH = 512  # bits of a parity sketch
 
 _RNG = np.random.default_rng(20240517)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
@@ -52,50 +56,43 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of the base and its inverse modulo 2^64, as many as were needed so far."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            for name, base in (("up", _BASE), ("down", _UNBASE)):
-                steps = np.full(n, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up, self.down
+def _powers(base: int) -> np.ndarray:
+    steps = np.full(BLOCK + 1, base, dtype=np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
 
-_POWERS = _Powers()
+@lru_cache(maxsize=1)
+def _both_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_BASE), _powers(_UNBASE)
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and 64-bit hash of every word of the bytes, A-Z lower-cased."""
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
-    starts, ends = edge[::2], edge[1::2]
-    up, down = _POWERS.of(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * up[: len(data)], out=total[1:])
-    return starts, _mix((total[ends] - total[starts]) * down[starts])
-
-
-def _blocks(data: np.ndarray):
-    """Cuts of the bytes at white space, of about BLOCK bytes."""
-    at = 0
-    while len(data) - at > BLOCK:
-        end = at + BLOCK
-        found = np.flatnonzero(_SPACE[data[at:end]])
-        if len(found):
-            end = at + int(found[-1]) + 1
-        else:  # a word longer than a block
-            later = np.flatnonzero(_SPACE[data[end:]])
-            end = end + int(later[0]) + 1 if len(later) else len(data)
-        yield data[at:end]
-        at = end
-    if at < len(data):
-        yield data[at:]
+    """Start and 64-bit hash of every word of the bytes, A-Z lower-cased; a word may be longer than a block."""
+    up, down = _both_powers()
+    starts, words = [], []
+    begin, value, size = 0, 0, 0  # of the word that the last block ended in
+    for at in range(0, len(data), BLOCK):
+        part = data[at : at + BLOCK]
+        edge = np.flatnonzero(np.diff(_SPACE[part], prepend=True, append=True))
+        first, last = edge[::2], edge[1::2]
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[_LOWER[part]] * up[: len(part)], out=total[1:])
+        sums, first = (total[last] - total[first]) * down[first], first + at
+        if size and len(first) and first[0] == at:
+            whole = (value + int(sums[0]) * pow(_BASE, size, 2**64)) % 2**64
+            sums[0], first[0] = whole, begin
+        elif size:
+            sums, first, last = np.append(np.uint64(value), sums), np.append(begin, first), np.append(0, last)
+        size = 0
+        if len(last) and last[-1] == len(part) and at + len(part) < len(data):
+            begin, value = int(first[-1]), int(sums[-1])
+            size, sums, first = at + len(part) - begin, sums[:-1], first[:-1]
+        starts.append(first)
+        words.append(sums)
+    if not starts:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    return np.concatenate(starts), _mix(np.concatenate(words))
 
 
 def shingle_sets(texts: list[bytes], k: int = SHINGLE):
@@ -116,15 +113,8 @@ def _sets(group: list[bytes], k: int):
     sizes = np.array([len(x) + 1 for x in group])
     firsts = np.concatenate(([0], np.cumsum(sizes)))
     data = np.frombuffer(b" ".join(group), dtype=np.uint8)
-    starts, words, at = [], [], 0
-    for block in _blocks(data):
-        s, w = word_hashes(block)
-        starts.append(s + at)
-        words.append(w)
-        at += len(block)
+    start, word = word_hashes(data)
     none = np.zeros(0, dtype=np.uint64)
-    start = np.concatenate(starts) if starts else np.zeros(0, dtype=np.int64)
-    word = np.concatenate(words) if words else none
     bounds = np.searchsorted(start, firsts)
     full = np.zeros(max(0, len(word) - k + 1), dtype=np.uint64)
     step = [pow(0xD6E8FEB86659FD93, i, 2**64) for i in range(k)]
@@ -194,39 +184,50 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
 
 
-def _sketcher(k: int, bands: int, rows: int):
-    least = 3  # sets of one or two link only with their equals
+def least_size(percent: int) -> int:
+    """Of different sets, the smaller size m, J is m / (m + 1) at most: smaller sets than this link only with their equals."""
+    return max(1, -(-percent // (100 - percent))) if percent < 100 else 2**62
+
+
+def _sketcher(k: int, bands: int, rows: int, percent: int):
+    least = least_size(percent)
 
     def sketch(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                sets = list(shingle_sets(_texts(batch.column(1)), k))
-                keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
-                wide = [i for i, x in enumerate(sets) if len(x) >= least]
-                found = band_keys(signatures([sets[i] for i in wide], bands * rows), bands, rows) if wide else []
-                of = dict(zip(wide, found, strict=True))
-                bucket = pa.array([of[i].view(np.int64) if i in of else None for i in range(len(sets))], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), bucket],
-                    names=["id", "n", "key", "bands"],
-                )
+        for batch in batches:
+            sets = list(shingle_sets(_texts(batch.column(1)), k))
+            keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+            wide = [i for i, x in enumerate(sets) if len(x) >= least]
+            found = band_keys(signatures([sets[i] for i in wide], bands * rows), bands, rows) if wide else []
+            of = dict(zip(wide, found, strict=True))
+            bucket = pa.array([of[i].view(np.int64) if i in of else None for i in range(len(sets))], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), bucket],
+                names=["id", "n", "key", "bands"],
+            )
 
     return sketch
 
 
 def _setter(k: int):
     def sets(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).cast(pa.int64()), _lists(list(shingle_sets(_texts(batch.column(1)), k)))], names=["cls", "set"]
-                )
+        for batch in batches:
+            at, part, size = 0, [], 0
+            for x in shingle_sets(_texts(batch.column(1)), k):
+                part.append(x)
+                size += len(x)
+                if size > BLOCK:
+                    yield _set_rows(batch, at, part)
+                    at, part, size = at + len(part), [], 0
+            if part:
+                yield _set_rows(batch, at, part)
 
     return sets
 
 
+def _set_rows(batch: pa.RecordBatch, at: int, part: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)).cast(pa.int64()), _lists(part)], names=["cls", "set"])
+
+
 def _is_stars(edges: DataFrame) -> bool:
     """Whether every node has one root, and no root has one."""
     ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
@@ -280,7 +281,7 @@ def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands:
     )
     wanted = open_.select("cls").distinct()
     sets = durable(
-        docs.join(wanted, F.col("id") == F.col("cls"), "left_semi").mapInArrow(_setter(k), "cls long, set array<long>")
+        map_batches(docs.join(wanted, F.col("id") == F.col("cls"), "left_semi"), _setter(k), "cls long, set array<long>")
     )
     stars = docs.sparkSession.createDataFrame([], "u long, root long")
     for turn in range(2):
@@ -297,6 +298,18 @@ def _counter(batches):
         yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int64)), pa.array(n.astype(np.int64))], names=["cell", "n"])
 
 
+def parity(x: np.ndarray) -> np.ndarray:
+    """SKETCH bits as 64-bit integers: is the number of the set's members that fall on it odd.
+
+    Two sketches differ in no more bits than there are members in one set only.
+    """
+    odd = np.bincount((_mix(x) >> np.uint64(32)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+_SKETCHES = [f"p{i}" for i in range(SKETCH // 64)]
+
+
 def _rarest(sent, percent: int):
     """The shingles of a set, the rarest first, of which one at least is in every set similar enough."""
 
@@ -306,38 +319,50 @@ def _rarest(sent, percent: int):
             for at in range(batch.num_rows):
                 x = sets[at].values.to_numpy().view(np.uint64)
                 first = len(x) - -(-len(x) * percent // 100) + 1
-                x = x[np.lexsort((x, sent.value[x & np.uint64(CELLS - 1)]))[:first]]
-                names = [pa.array(np.full(len(x), y)) for y in (cls[at].as_py(), root[at].as_py(), len(sets[at]))]
-                yield pa.RecordBatch.from_arrays([*names, pa.array(np.arange(len(x))), pa.array(x.view(np.int64))], names=["cls", "root", "n", "at", "s"])
+                y = x[np.lexsort((x, sent.value[x & np.uint64(CELLS - 1)]))[:first]]
+                same = [pa.array(np.full(len(y), z)) for z in (cls[at].as_py(), root[at].as_py(), len(x), *parity(x).tolist())]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(y))), pa.array(y.view(np.int64))], names=["cls", "root", "n", *_SKETCHES, "at", "s"])
 
     return rarest
 
 
+def _may(n: Column, m: Column, percent: int) -> list[Column]:
+    """What holds for the sizes of sets that are similar enough, and for their sketches if there are any."""
+    apart = [F.bit_count(F.col(x).bitwiseXOR(F.col("o" + x))) for x in _SKETCHES]
+    total = apart[0]
+    for x in apart[1:]:
+        total = total + x
+    return [F.least(n, m) * 100 >= F.greatest(n, m) * percent, total * (100 + percent) <= (n + m) * (100 - percent)]
+
+
 def _rest(rows: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Compares all that large buckets still have in several components, by an exact join on their rarest shingles.
 
-    Any one order of the shingles gives every link; the rarer the first ones, the fewer the pairs.
+    Any one order of the shingles gives every link; the rarer the first ones, the fewer the pairs. Sketches of the whole
+    sets go with the shingles, so that the join itself leaves out nearly all pairs that aren't similar enough.
     """
     spark = rows.sparkSession
     theirs = durable(sets.join(rows.groupBy("cls").agg(F.min("root").alias("root")), "cls").select("cls", "root", "set"))
-    cells = theirs.select("set").mapInArrow(_counter, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = map_batches(theirs.select("set"), _counter, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(CELLS, dtype=np.int64)
     often[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    rare = theirs.mapInArrow(_rarest(spark.sparkContext.broadcast(often), percent), "cls long, root long, n long, at long, s long")
-    rare = durable(rare)
-    other = rare.select(F.col("cls").alias("v"), F.col("root").alias("to"), F.col("n").alias("m"), F.col("at").alias("from"), "s")
+    sent = spark.sparkContext.broadcast(often)
+    kinds = ", ".join(f"{x} long" for x in ("cls", "root", "n", *_SKETCHES, "at", "s"))
+    rare = durable(map_batches(theirs, _rarest(sent, percent), kinds))
+    sent.destroy()
+    other = rare.select(F.col("cls").alias("v"), F.col("root").alias("to"), F.col("n").alias("m"), F.col("at").alias("from"), "s", *(F.col(x).alias("o" + x) for x in _SKETCHES))
     pairs = rare.join(other, "s").where("cls > v AND root <> to")
-    pairs = pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    for fits in _may(F.col("n"), F.col("m"), percent):
+        pairs = pairs.where(fits)
     # what both have from their first common shingle on has to be enough
     pairs = pairs.where(F.least(F.col("n") - F.col("at"), F.col("m") - F.col("from")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
     links = durable(_verified(durable(pairs.select(F.col("cls").alias("u"), "v").distinct()), sets, percent))
     return stars if links.isEmpty() else _joined(stars, links)
 
 
-def _turn(rows: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, turn: int, last: bool = False) -> tuple[DataFrame, DataFrame]:
+def _turn(rows: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
     """Compares the members of each bucket with a centre of it, and those of small buckets with one another."""
-    order = F.col("cls") if turn < 2 else F.xxhash64("cls", "b", F.lit(turn))
-    pick = lambda c, name: F.min_by(c, order).alias(name)
+    pick = lambda c, name: F.min_by(c, "cls").alias(name)
     count = F.count("*").alias("c")
     centres = rows.groupBy("b").agg(pick("cls", "v"), pick("n", "m"), pick("root", "to"), count)
     if turn >= 1:
@@ -352,8 +377,6 @@ def _turn(rows: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, turn
     links = durable(_verified(edges, sets, percent))
     if not links.isEmpty():
         stars = _joined(stars, links)
-    if last:
-        return rows, stars
     left = rows.drop("root").join(stars.select(F.col("u").alias("cls"), "root"), "cls", "left")
     left = left.select("cls", "n", "band", "b", F.coalesce("root", "cls").alias("root"))
     several = left.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), count).where("lo < hi")
@@ -383,7 +406,7 @@ def near_dedup(
     with a null id has component_id null and is kept, linked with nothing; no rows give no rows.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = durable(plain.mapInArrow(_sketcher(k, bands, rows), "id long, n long, key binary, bands array<long>"))
+    sketch = durable(map_batches(plain, _sketcher(k, bands, rows, percent), "id long, n long, key binary, bands array<long>"))
     named = sketch.where("n > 0 AND id IS NOT NULL")
     classes = durable(
         named.groupBy("key").agg(F.min("id").alias("cls"), F.max("n").alias("n"), F.first("bands").alias("bands"))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import shared_folder
+from orrery.llm.common import chunked, map_batches, shared_folder
 
 LEAST_REVISIT = 1000
 GAP, RANGE, STRETCH = 64 << 10, 4 << 20, 32 << 20
@@ -101,7 +101,7 @@ def write_archives(
         rows.withColumn("yek", F.reverse(key()))
         .join(equal, "yek", "left")
         .select("id", "url", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("top")), F.col("top")).alias("refers_to"))
-        .sortWithinPartitions("id", "digest")
+        .sortWithinPartitions("id", "digest", "url")
     )
 
     def write(batches):
@@ -114,8 +114,8 @@ def write_archives(
         with system.open_output_stream(draft, compression=None) as out:
             for batch in batches:
                 index = []
-                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    id_, url, payload, digest, refers_to = row
+                for row in zip(*batch.columns, strict=True):
+                    id_, url, payload, digest, refers_to = (x.as_py() for x in row)
                     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
                     data = packer.compress(record_bytes(id_, url, payload, digest, refers_to)) + packer.flush()
                     out.write(data)
@@ -124,7 +124,7 @@ def write_archives(
                 yield _batch(index, INDEX)
         system.move(draft, f"{path}/{name}") if at else system.delete_file(draft)
 
-    planned.mapInArrow(write, INDEX).write.mode("overwrite").parquet(f"{folder}/index")
+    map_batches(planned, write, INDEX).write.mode("overwrite").parquet(f"{folder}/index")
     return pages.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
 
 
@@ -150,16 +150,20 @@ def ranges(rows: list[tuple[str, int, int]], gap: int = GAP, most: int = RANGE)
     return [tuple(x) for x in found]
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
+def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records of the given rows of an index, read from the archives.
 
     Returns id, url, record_type, refers_to, payload_bytes and payload_digest (of the full payload, also for revisits) and
-    payload (null for revisits). A response whose payload doesn't have the digest of its record and of the index fails.
+    payload (null for revisits, and for all without ``payloads``). A response whose payload doesn't have the digest of its
+    record and of the index fails.
+
+    Defined results: a null url stays null; an index row that is repeated is read as often; a row of an empty payload is
+    a response of no bytes; no rows give no rows. Of a range of an archive one record is inflated at a time.
     """
     wanted = index.select("id", "archive", "offset", "length", "digest")
     near = wanted.repartition("archive", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("archive", "offset")
 
-    def read(batches):
+    def records(batches):
         system, path = _open(folder)
         name, file = None, None
         for batch in batches:
@@ -170,20 +174,24 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                     if file:
                         file.close()
                     name, file = archive, system.open_input_file(f"{path}/{archive}")
-                data = file.read_at(end - start, start)
-                made = [_record(r[0], zlib.decompress(data[r[2] - start : r[2] - start + r[3]], 31), r[4]) for r in rows[at : at + n]]
+                data = memoryview(file.read_at(end - start, start))
+                for r in rows[at : at + n]:
+                    yield _record(r[0], zlib.decompress(data[r[2] - start : r[2] - start + r[3]], 31), r[4], payloads)
                 at += n
-                yield _batch(made, RECORD)
         if file:
             file.close()
 
-    return near.mapInArrow(read, RECORD)
+    def read(batches):
+        for some in chunked(records(batches), lambda r: len(r[-1] or b"") + 200):
+            yield _batch(some, RECORD)
+
+    return map_batches(near, read, RECORD)
 
 
-def _record(id_: int | None, data: bytes, expected: str) -> tuple:
+def _record(id_: int | None, data: bytes, expected: str, payload: bool) -> tuple:
     warc, http, body = parse_record(data)
     digest = base64.b32decode(warc["warc-payload-digest"].removeprefix("sha1:")).hex()
     kind, size = warc["warc-type"], int(http["content-length"])
     if kind == "response" and (hashlib.sha1(body).hexdigest() != digest or len(body) != size) or digest != expected:
         raise ValueError(f"record {id_}: the payload differs from its digest")
-    return _page(warc["warc-record-id"]), warc.get("warc-target-uri"), kind, _page(warc.get("warc-refers-to")), size, digest, body if kind == "response" else None
+    return _page(warc["warc-record-id"]), warc.get("warc-target-uri"), kind, _page(warc.get("warc-refers-to")), size, digest, body if payload and kind == "response" else None

@@ -7,28 +7,34 @@ fewest normalised phrases wins.
 
 Texts are lower-cased UTF-8 whose ASCII bytes that aren't letters become single spaces, so any script works. Workers turn
 the automata into one table of transitions in which a missing one restarts at the root; what leaves the root begins a
-phrase. All texts of a batch, in segments of ``SEGMENT`` bytes, and all languages step through it at once. (A segment's
-end ends a phrase.)
-
-The labelled text is a bounded sample, whose bounds are parameters: at most ``max_langs`` languages (those with the most
-documents), for each ``docs_per_lang`` different texts in the order of a hash of the text, of at most ``max_doc`` characters each,
-as many of them as fit ``bytes_per_lang``. What is broadcast, the labelled text, is bounded by these alone; each worker
-builds the automata once.
+phrase. All texts of a batch, in segments of ``SEGMENT`` bytes, and all languages step through it at once, each segment
+as if a phrase began with it. Then the state in which the segment before really ends is carried over the border, until
+the two parses meet, mostly at the next phrase; so the counts are those of a parse of the whole text.
+
+The labelled text is a bounded sample, whose bounds are parameters: for each language ``docs_per_lang`` different texts in
+the order of a hash of the text, of each its first ``max_doc`` characters, up to ``bytes_per_lang`` bytes, or an equal
+share of ``bytes_in_all`` where there are many languages; none is left out. What is broadcast, the labelled text, is
+bounded by these alone; each worker builds the automata once.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from orrery.llm.common import held, map_batches, quoted
+
 SEGMENT = 1024
+LANES = 4096  # segments times languages that step at once
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACES = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -113,29 +119,72 @@ class Parser:
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """(texts, languages): phrases of each text; empty texts have none."""
         counts = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
-        parts = [(i, x[at : at + SEGMENT]) for i, x in enumerate(texts) for at in range(0, len(x), SEGMENT)]
-        parts.sort(key=lambda p: -len(p[1]))
-        for first in range(0, len(parts), 4096):
-            some = parts[first : first + 4096]
-            sizes = np.array([len(x) for _, x in some])
-            grid = np.full((len(some), sizes[0]), self.pad, dtype=np.int32)
-            for row, (_, x) in zip(grid, some, strict=True):
-                row[: len(x)] = self.symbol[x]
-            grid = np.ascontiguousarray(grid.T)
-            alive = np.searchsorted(-sizes, -np.arange(len(grid)), side="left")  # segments longer than the step
-            state = np.repeat(self.roots[:, None], len(some), axis=1)
-            found = np.zeros(state.shape, dtype=np.int32)
-            for step, n in zip(grid, alive.tolist(), strict=True):
-                now = self.table[state[:, :n] + step[:n]]
-                found[:, :n] += now >> 30
-                state[:, :n] = now & (_FLAG - 1)
-            np.add.at(counts, [i for i, _ in some], found.T)
+        parts = [(i, at) for i, x in enumerate(texts) for at in range(0, len(x), SEGMENT)]
+        some = max(1, LANES // len(self.langs))
+        carry = None
+        for first in range(0, len(parts), some):
+            carry = self._segments(texts, parts[first : first + some], counts, carry)
         return counts
 
+    def _segments(self, texts: list[np.ndarray], parts: list[tuple[int, int]], counts: np.ndarray, carry: np.ndarray | None) -> np.ndarray:
+        """Adds the phrases that begin in the segments; takes and gives the states before the first and after the last."""
+        cut = [texts[i][at : at + SEGMENT] for i, at in parts]
+        sizes = np.array([len(x) for x in cut])
+        order = np.argsort(-sizes, kind="stable")
+        grid = np.full((len(parts), sizes.max()), self.pad, dtype=np.int32)
+        for row, k in zip(grid, order.tolist(), strict=True):
+            row[: sizes[k]] = self.symbol[cut[k]]
+        grid = np.ascontiguousarray(grid.T)
+        alive = np.searchsorted(-sizes[order], -np.arange(len(grid)), side="left")  # segments longer than the step
+        seen = np.empty((len(grid), len(self.roots), len(parts)), dtype=np.int32)
+        state = np.repeat(self.roots[:, None], len(parts), axis=1)
+        found = np.zeros(state.shape, dtype=np.int64)
+        for t, (step, n) in enumerate(zip(grid, alive.tolist(), strict=True)):
+            now = seen[t, :, :n] = self.table[state[:, :n] + step[:n]]
+            found[:, :n] += now >> 30
+            state[:, :n] = now & (_FLAG - 1)
+        # from here on the columns are the parts in their own order
+        place = np.empty(len(parts), dtype=np.int64)
+        place[order] = np.arange(len(parts))
+        plain = state[:, place]
+        end, more = plain.copy(), np.zeros(found.shape, dtype=np.int64)
+        follows = np.array([at > 0 for _, at in parts])
+        lane, part = np.nonzero(np.broadcast_to(follows, plain.shape))
+        while len(part):
+            before = end[lane, part - 1]
+            if carry is not None:
+                before = np.where(part == 0, carry[lane], before)
+            was = end[lane, part]
+            more[lane, part], end[lane, part] = 0, plain[lane, part]
+            a, b, now = lane, part, before
+            apart = now != self.roots[a]
+            t = 0
+            while apart.any():
+                a, b, now = a[apart], b[apart], now[apart]
+                true = self.table[now + grid[t, place[b]]]
+                guess = seen[t, a, place[b]]
+                more[a, b] += (true >> 30) - (guess >> 30)
+                now = true & (_FLAG - 1)
+                apart = now != guess & (_FLAG - 1)
+                t += 1
+                over = sizes[b] == t
+                end[a[over & apart], b[over & apart]] = now[over & apart]
+                apart &= ~over
+            changed = end[lane, part] != was
+            lane, part = lane[changed], part[changed] + 1
+            on = part < len(parts)
+            lane, part = lane[on], part[on]
+            on = follows[part]
+            lane, part = lane[on], part[on]
+        np.add.at(counts, [i for i, _ in parts], (found[:, place] + more).T)
+        return end[:, -1]
+
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         clear = [i for i, x in enumerate(texts) if x and _LETTER.search(x)]
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         data = [plain_bytes(texts[i]) for i in clear]
+        if not clear:
+            return langs, scores
         rate = self.phrases(data) * self.bits / np.array([max(1, len(x)) for x in data])[:, None]
         for i, x in zip(clear, rate, strict=True):
             best = int(np.argmin(x))
@@ -146,7 +195,7 @@ class Parser:
 
 
 def learnable(id_col: Column) -> Column:
-    """Rows whose label may be learnt: three quarters, by the checksum of the id."""
+    """Rows whose label may be learnt: three quarters, by the checksum of the id; a row without an id isn't one."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
@@ -157,16 +206,18 @@ def fit(
     docs_per_lang: int = 256,
     bytes_per_lang: int = 50_000,
     max_doc: int = 20_000,
-    max_langs: int = 64,
+    bytes_in_all: int = 400_000,
 ) -> Model:
-    """(language, labelled text) of each language in ``docs``, whose rows may all be learnt from."""
-    rows = docs.select(F.col(lang_col).alias("l"), F.col(text_col).alias("x"), F.xxhash64(text_col).alias("h")).where(
-        F.col("l").isNotNull() & F.col("x").isNotNull() & (F.length("x") <= max_doc) & (F.length("x") > 0)
+    """(language, labelled text) of each language in ``docs``, whose rows may all be learnt from.
+
+    Defined results: null and empty texts and null languages teach nothing; texts that repeat count once for a language;
+    a text under several languages teaches each; no row to learn from gives an empty model.
+    """
+    rows = docs.select(F.col(lang_col).alias("l"), F.substring(text_col, 1, max_doc).alias("x"), F.xxhash64(text_col).alias("h")).where(
+        F.col("l").isNotNull() & F.col("x").isNotNull() & (F.length("x") > 0)
     )
-    of = rows.groupBy("l").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts"))
-    counts = {r["l"]: r["texts"] for r in of.orderBy(F.desc("n"), "l").limit(max_langs).collect()}
-    common = list(counts)
-    if not common:
+    counts = {r["l"]: r["texts"] for r in rows.groupBy("l").agg(F.approx_count_distinct("h").alias("texts")).collect()}
+    if not counts:
         return []
     draw = F.pmod("h", F.lit(1 << 31)) / F.lit(float(1 << 31))
     order = F.row_number().over(Window.partitionBy("l").orderBy(draw, "h"))
@@ -182,17 +233,18 @@ def fit(
     share = {x: min(1.0, (2.0 * docs_per_lang + 64) / max(1, n)) for x, n in counts.items()}
     sample = first(share)
     passed = Counter(x for x, _ in {(r["l"], r["h"]) for r in sample})
-    if few := {x: 1.0 for x in common if share[x] < 1 and passed[x] < docs_per_lang}:
+    if few := {x: 1.0 for x in counts if share[x] < 1 and passed[x] < docs_per_lang}:
         sample = [r for r in sample if r["l"] not in few] + first(few)
+    most = max(1, min(bytes_per_lang, bytes_in_all // len(counts)))
     model = []
-    for lang in sorted(common):
+    for lang in sorted(counts):
         data = b""
-        for r in sorted((r for r in sample if r["l"] == lang), key=lambda r: (r["h"] % (1 << 31), r["h"])):
-            more = plain_bytes(r["x"]).tobytes()
-            if len(data) + len(more) <= bytes_per_lang or not data:
-                data += b" " * bool(data) + more
+        for r in sorted((r for r in sample if r["l"] == lang), key=lambda r: (r["h"] % (1 << 31), r["h"], r["x"])):
+            data += b" " * bool(data) + plain_bytes(r["x"]).tobytes()
+            if len(data) >= most:
+                break
         if data:
-            model.append((lang, data))
+            model.append((lang, data[:most]))
     return model
 
 
@@ -201,35 +253,32 @@ def identify(
     model: Model,
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry: bool = False,
 ) -> DataFrame:
     """The language of every text: the id column, lang_pred and score (second best rate / (best + second best)).
 
+    With ``carry`` each row comes whole, as the struct ``row``, in place of the id column.
+
     Defined results: ``und`` and score 0 for a null text, a text without a letter, and where the model has no
-    language; ties go to the language that comes first by code point; with one language the score is 1; no rows give no
-    rows. Other columns are ignored, whatever their names.
+    language; ties go to the language that comes first by code point; with one language the score is 1; rows that repeat
+    an id are judged each by itself; no rows give no rows. Other columns are ignored, whatever their names.
     """
+    key = uuid.uuid4().hex
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        parser = _parser(sent)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                texts = batch.column(1).to_pylist()
-                langs, scores = parser.judge(texts) if parser else ([UNKNOWN] * len(texts), [0.0] * len(texts))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
-
-
-_LAST: list = [None, None]
-
-
-def _parser(sent) -> Parser | None:
-    """The parser of a broadcast model; a worker keeps the last one."""
-    model = sent.value
-    if _LAST[0] is not model:
-        _LAST[:] = [model, Parser(model) if model else None]
-    return _LAST[1]
+        parser = held(key, lambda: Parser(sent.value)) if model_size else None
+        for batch in batches:
+            texts = (batch.column(0).field(at) if carry else batch.column(1)).to_pylist()
+            langs, scores = parser.judge(texts) if parser else ([UNKNOWN] * len(texts), [0.0] * len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[name, "lang_pred", "score"])
+
+    model_size, name = len(model), "row" if carry else "id"
+    if carry:
+        at = docs.columns.index(text_col)
+        rows = docs.select(F.struct(*[quoted(x) for x in docs.columns]).alias(name))
+    else:
+        rows = docs.select(F.col(id_col).alias(name), F.col(text_col).alias("text"))
+    schema = StructType([rows.schema[name], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    found = map_batches(rows, run, schema, holds=True)
+    return found if carry else found.withColumnRenamed(name, id_col)

@@ -1,13 +1,16 @@
 """Mixing sources to target weights by Pareto order sampling (DataFrame functions only).
 
-A source's target says how often each of its documents is wanted: e = target / size of the source. The whole part
-of e is taken for certain (whole copies); the rest, f = e - floor(e), is an inclusion probability. Each document draws
-a uniform u from its id, and those with the smallest ratio of odds, (u / (1 - u)) / (f / (1 - f)), enter once more,
-up to a fixed size: the words that the source still lacks. The last document goes in if that comes nearer.
-
-Scale: a source's documents are dealt to ``BINS`` bins by u, in whose order the ratio rises. Counts per bin, combined
-map-side, give where each bin starts, so the running sum over a source never runs in one task: only a bin's own
-documents are summed in order, and a source of a third of all rows is ``BINS`` groups.
+A document's expected number of copies is e = p + k * (r - m). p = target / size of its source; r = size / (size + ``HALF``)
+in thousandths, so that longer documents are likelier than scraps of text; m is the mean of r over the source's words,
+so that the expected words are the target's; k = min(p, cap - p) * ``LEAN`` keeps e between 0 and ``cap``. The whole part of e is
+taken for certain (whole copies); the rest, f = e - floor(e), is an inclusion probability, unequal within a source. Each
+document draws a uniform u from its id, and those with the smallest ratio of odds, (u / (1 - u)) / (f / (1 - f)), enter
+once more, up to a fixed size: the words that the source still lacks. The last document goes in if that comes nearer.
+
+Scale: words are counted in one pass over the texts, after which only ids, sizes and draws move. A source's documents are
+dealt to ``BINS`` bins by their ratio q, as q / (1 + q). Counts per bin, combined map-side, give where each bin starts, so the
+running sum over a source never runs in one task: only a bin's own documents are summed in order, and a source of a third
+of all rows is ``BINS`` groups.
 """
 
 from __future__ import annotations
@@ -18,9 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orrery.llm.common import WORD
+from orrery.llm.common import WORD, durable, quoted
 
 BINS = 4096
+HALF = 50  # words of a document whose r is a half
+LEAN = 0.5
+BROADCAST_SOURCES = 20_000  # more sources meet their documents by a shuffle
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
@@ -63,57 +69,62 @@ def mix(
     cap: int = 3,
     seed: str = "mix",
     bins: int = BINS,
+    carry: bool = False,
 ) -> DataFrame:
     """How often each document enters the mix.
 
     Returns one row per row of ``docs``: the id column, source, size (words), source_size, target, copies (times it is
-    taken) and taken (copies * size). Reruns agree: u is the first 52 bits of md5(seed:id).
+    taken) and taken (copies * size). Reruns agree: u is the first 52 bits of md5(seed:id). With ``carry`` each row comes
+    whole, as the struct ``row``, beside its copies and nothing else.
 
     Defined results: a null text has size 0; a source without words has target 0 and its documents are taken 0 times;
-    null sources are one source, ordered last; rows that repeat an id draw alike and are ordered by size; a null id
-    draws as the empty string; no rows give no rows. Other columns are ignored, whatever their names.
+    null sources are one source, ordered last; rows that repeat an id draw alike and are ordered by size, then as they
+    come; a null id draws as the empty string, together with the text's hash, so that rows without ids spread; no rows give
+    no rows. Other columns are ignored, whatever their names.
     """
+    id_, text, source = quoted(id_col), F.coalesce(quoted(text_col), F.lit("")), quoted(source_col)
+    name = F.coalesce(id_.cast("string"), F.concat(F.lit("-"), F.sha2(text, 256)))
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 13), 16, 10).cast("long")
     rows = docs.select(
-        F.col(id_col).alias("_id"),
-        F.col(source_col).alias("source"),
-        F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-        F.expr(
-            f"cast(conv(substr(md5(concat('{seed}:', coalesce(cast({id_col} as string), ''))), 1, 13), 16, 10) as bigint)"
-        ).alias("_draw"),
-    )
-    key = lambda: F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # noqa: E731  one to one, and never null
-    rows = rows.withColumn("_bin", F.floor(F.col("_draw") / F.lit(2**52 // bins)).cast("int"))
-    by_bin = rows.groupBy("source", "_bin").agg(F.sum("size").alias("_words"))
-    targets = source_targets(by_bin.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, cap)
-    starts = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    plan = (
-        by_bin.select(key().alias("_key"), "_bin", F.coalesce(F.sum("_words").over(starts), F.lit(0)).alias("_start"))
-        .join(targets.select(key().alias("_key"), "source_size", "target"), "_key")
-        .select(F.col("_key"), F.col("_bin"), "_start", "source_size", "target")
+        *([F.struct(*[quoted(x) for x in docs.columns]).alias("_row")] if carry else []),
+        id_.alias("_id"),
+        source.alias("source"),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        drawn.alias("_draw"),
     )
-    e = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    light = durable(rows.drop("_row"))
+    key = lambda: F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_key")  # noqa: E731  one to one, and never null
+    r = F.floor(F.col("size") * 1000 / (F.col("size") + HALF))
+    sums = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(r * F.col("size")).alias("_rs"))
+    targets = source_targets(sums.select("source", "source_size"), weights, cap)
+    p = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    mean = F.when(F.col("source_size") > 0, F.col("_rs") / F.col("source_size")).otherwise(F.lit(0.0))
+    of = targets.select(key(), "source_size", "target").join(sums.select(key(), "_rs"), "_key")
+    of = durable(of.select(F.reverse("_key").alias("_yek"), "source_size", "target", p.alias("_p"), mean.alias("_m")))
+    if of.count() <= BROADCAST_SOURCES:
+        of = F.broadcast(of)
+    e = F.col("_p") + F.least(F.col("_p"), cap - F.col("_p")) * LEAN * (r - F.col("_m")) / 1000
     u = (F.col("_draw") + 0.5) / F.lit(float(2**52))
     odds = (u / (1 - u)) / (F.col("_f") / (1 - F.col("_f")))
-    mixed = (
-        rows.withColumn("_key", key())
-        .join(plan, ["_key", "_bin"])
-        .withColumn("_whole", F.floor(e))
-        .withColumn("_f", e - F.col("_whole"))
-        .withColumn("_lack", F.col("target") - F.col("_whole") * F.col("source_size"))
-        .withColumn("_order", F.when(F.col("_f") > 0, odds))
-    )
-    running = Window.partitionBy("_key", "_bin").orderBy("_order", "_draw", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+
+    def ranked(some: DataFrame) -> DataFrame:
+        """With e, its parts, the ratio of odds and its bin; documents that can't enter again are in no bin."""
+        some = some.withColumn("_key", key()).withColumn("_yek", F.reverse("_key")).join(of, "_yek").withColumn("_e", e).withColumn("_whole", F.floor("_e"))
+        some = some.withColumn("_f", F.col("_e") - F.col("_whole")).withColumn("_q", F.when((F.col("_f") > 0) & (F.col("size") > 0), odds))
+        return some.withColumn("_bin", F.when(F.col("_q").isNotNull(), F.floor(F.col("_q") / (1 + F.col("_q")) * bins).cast("int")).otherwise(F.pmod("_draw", F.lit(bins)).cast("int") - bins))
+
+    known = ranked(light)
+    whole = known.groupBy("_key").agg(F.sum(F.col("_whole") * F.col("size")).alias("_sure"))
+    by_bin = known.where("_q IS NOT NULL").groupBy("_key", "_bin").agg(F.sum("size").alias("_words"))
+    starts = Window.partitionBy("_key").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    plan = by_bin.select("_key", "_bin", F.coalesce(F.sum("_words").over(starts), F.lit(0)).alias("_start")).join(whole, "_key")
+    # a key of its own, so that the large side isn't sorted twice and adaptive execution may split it
+    at = lambda: F.concat(F.col("_bin").cast("string"), F.col("_key")).alias("_at")
+    mixed = ranked(rows if carry else light).withColumn("_at", at()).join(plan.select(at(), "_start", "_sure"), "_at", "left")
+    running = Window.partitionBy("_at").orderBy("_q", "_draw", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     so_far = F.col("_start") + F.coalesce(F.sum("size").over(running), F.lit(0))
-    return (
-        mixed.withColumn("_in", (F.col("_f") > 0) & (F.col("size") > 0) & (so_far + F.col("size") / 2 <= F.col("_lack")))
-        .withColumn("copies", F.col("_whole").cast("long") + F.col("_in").cast("long"))
-        .select(
-            F.col("_id").alias(id_col),
-            "source",
-            "size",
-            "source_size",
-            "target",
-            F.col("copies").alias("copies"),
-            (F.col("copies") * F.col("size")).alias("taken"),
-        )
-    )
+    enters = F.col("_q").isNotNull() & (so_far + F.col("size") / 2 <= F.col("target") - F.col("_sure"))
+    copies = (F.col("_whole").cast("long") + enters.cast("long")).alias("copies")
+    if carry:
+        return mixed.select(F.col("_row").alias("row"), copies)
+    return mixed.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))

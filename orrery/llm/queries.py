@@ -48,7 +48,7 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.new_folder(spark)
-    records = warc.read_records(warc.write_archives(table(spark, sf_dir, "pages"), folder), folder)
+    records = warc.read_records(warc.write_archives(table(spark, sf_dir, "pages"), folder), folder, payloads=False)
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -86,7 +86,7 @@ SQL = {
     "op5_mix": r"""
         WITH d AS (
           SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-                 CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS draw
+                 CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '-' || sha256(coalesce(text, '')))), 1, 13) AS BIGINT) AS draw
           FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
         w AS (SELECT *, list_value(5, 2, 1)[(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS w FROM s),
@@ -101,16 +101,20 @@ SQL = {
         l AS (SELECT *, first_value(free) OVER (ORDER BY is_open DESC, lim, source ASC NULLS LAST) AS level FROM o),
         t AS (SELECT source, source_size,
                      CASE WHEN is_open THEN level * w ELSE CAST(source_size * 3 AS DOUBLE) END AS target FROM l),
+        z AS (SELECT source, CAST(sum(floor(size * 1000 / (size + 50)) * size) AS BIGINT) AS rs FROM d GROUP BY source),
         e AS (
-          SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS e
-          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-        g AS (SELECT *, floor(e) AS whole, e - floor(e) AS f, (draw + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM e),
-        h AS (SELECT *, target - whole * source_size AS lack,
-                     CASE WHEN f > 0 THEN (u / (1 - u)) / (f / (1 - f)) END AS q FROM g),
-        i AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, draw, doc_id, size
-                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM h)
+          SELECT d.*, source_size, target, floor(size * 1000 / (size + 50)) AS r,
+                 CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS p,
+                 CASE WHEN source_size > 0 THEN CAST(rs AS DOUBLE) / source_size ELSE 0.0::DOUBLE END AS m
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN z ON d.source IS NOT DISTINCT FROM z.source),
+        g AS (SELECT *, p + least(p, 3 - p) * 0.5::DOUBLE * (r - m) / 1000 AS e FROM e),
+        h AS (SELECT *, floor(e) AS whole, e - floor(e) AS f, (draw + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM g),
+        q AS (SELECT *, CASE WHEN f > 0 AND size > 0 THEN (u / (1 - u)) / (f / (1 - f)) END AS q,
+                     target - sum(CAST(whole AS BIGINT) * size) OVER (PARTITION BY source) AS lack FROM h),
+        i AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, draw, doc_id, size
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM q)
         SELECT doc_id, size, source_size, target,
-               CAST((whole + CASE WHEN f > 0 AND size > 0 AND so_far + size / 2 <= lack THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+               CAST((whole + CASE WHEN q IS NOT NULL AND so_far + size / 2 <= lack THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
         FROM i""",
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

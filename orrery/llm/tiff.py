@@ -10,13 +10,16 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+
+from orrery.llm.common import chunked, map_batches, quoted
 
 # Fixed values of the format: tags, compressions, sizes of field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, STRIP_ROWS, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -26,7 +29,8 @@ FIELD = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 
 ROW = 64
 PAGE_ROWS = 16_384
-LZW_MOST = 1024
+#: A strip or tile can't hold more than so many bytes for each of its own, in any of the codecs.
+MOST_RATIO = 4096
 
 
 class TiffError(ValueError):
@@ -94,82 +98,95 @@ def unpackbits(data: bytes, size: int) -> bytes:
     return b"".join(out)[:size]
 
 
+def _widths(first: int, last: int) -> np.ndarray:
+    """Bits of the codes written while the table has ``first`` to ``last`` - 1 entries; a width ends one code early."""
+    return np.minimum(12, np.searchsorted((511, 1023, 2047), np.arange(first, last), side="right") + 9)
+
+
+#: Of the codes between two clears, by place: bits, and where each begins. The table has 258 entries before the second.
+_LZW_MOST = 4094 - 258 + 1
+_LZW_BITS = _widths(257, 257 + _LZW_MOST + 3)
+_LZW_BITS[0] = 9
+_LZW_AT = np.concatenate(([0], np.cumsum(_LZW_BITS)))
+_LZW_TURNS = [int(np.searchsorted(_LZW_BITS, w)) for w in (10, 11, 12)]
+
+
 def lzw(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, high bits first; a width ends one code early, as the format wants."""
-    done, out, have = bytearray(), 0, 0
-
-    def put(code: int, width: int) -> None:
-        nonlocal out, have
-        out, have = (out << width) | code, have + width
-        while have >= 8:
-            have -= 8
-            done.append(out >> have)
-            out &= (1 << have) - 1
-
-    table, width = {bytes([i]): i for i in range(256)}, 9
-    put(256, width)
-    word, free = b"", 258
-    for b in data:
-        longer = word + bytes([b])
-        if longer in table:
+    runs, codes = [], []
+    table: dict[int, int] = {}
+    get, free, word = table.get, 258, data[0] if data else -1
+    for b in data[1:]:
+        key = word << 8 | b
+        longer = get(key)
+        if longer is None:
+            codes.append(word)
+            table[key] = free
+            free += 1
+            word = b
+            if free == 4094:
+                runs.append([*codes, 256])
+                codes, free = [], 258
+                table.clear()
+        else:
             word = longer
-            continue
-        put(table[word], width)
-        table[longer] = free
-        free += 1
-        if free == 4094:
-            put(256, width)
-            table, width, free = {bytes([i]): i for i in range(256)}, 9, 258
-        elif free + 1 > 1 << width:
-            width += 1
-        word = bytes([b])
-    if word:
-        put(table[word], width)
-        free += 1
-        if free + 1 > 1 << width and width < 12:
-            width += 1
-    put(257, width)
-    if have:
-        done.append(out << (8 - have))
-    return bytes(done)
+    if word >= 0:
+        codes.append(word)
+    runs.append([*codes, 257])
+    bits = [_bits(np.array([256]))]
+    for run in runs:
+        bits.append(_bits(np.array(run)))
+    return np.packbits(np.concatenate(bits)).tobytes()
+
+
+def _bits(codes: np.ndarray) -> np.ndarray:
+    """The bits of the codes after a clear, each in the width of its place, high bits first."""
+    bits = np.unpackbits(codes.astype(">u2").view(np.uint8)).reshape(-1, 16)
+    cuts = [0, *_LZW_TURNS, len(codes)]
+    return np.concatenate([bits[a:b, 16 - w :].ravel() for w, a, b in zip((9, 10, 11, 12), cuts[:4], [*cuts[1:4], len(codes)], strict=True)])
 
 
 def unlzw(data: bytes, size: int) -> bytes:
-    out, made, at, buffer, have = [], 0, 0, 0, 0
-    first = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, width, last = list(first), 9, None
+    """The codes between two clears have known widths, so they are cut out at once; then words are joined code by code."""
+    out, made, at = [], 0, 0
+    bits = 8 * len(data)
+    raw = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(4, np.uint8))).astype(np.int64)
+    letters = [bytes([i]) for i in range(256)]
+    begun = False
     while made < size:
-        while have < width:
-            if at >= len(data):
-                raise TiffError("LZW data ends early")
-            buffer, have, at = (buffer << 8) | data[at], have + 8, at + 1
-        have -= width
-        code = buffer >> have
-        buffer &= (1 << have) - 1
-        if code == 256:
-            table, width, last = list(first), 9, None
-            continue
-        if code == 257:
+        n = int(np.searchsorted(_LZW_AT[1:], bits - at, side="right"))
+        starts = at + _LZW_AT[:n]
+        low = starts >> 3
+        three = raw[low] << 16 | raw[low + 1] << 8 | raw[low + 2]
+        codes = three >> (24 - (starts & 7) - _LZW_BITS[:n]) & ((1 << _LZW_BITS[:n]) - 1)
+        ends = np.flatnonzero((codes == 256) | (codes == 257))
+        stop = int(ends[0]) if len(ends) else n
+        some = codes[:stop].tolist()
+        if some:
+            if some[0] > 255:
+                raise TiffError("LZW data starts with no letter" if not begun else "LZW code is not known yet")
+            table = [*letters, b"", b""]
+            last = letters[some[0]]
+            words, put = [last], table.append
+            for code in some[1:]:
+                try:
+                    word = table[code]
+                    put(last + word[:1])
+                except IndexError:
+                    if code != len(table):
+                        raise TiffError("LZW code is not known yet") from None
+                    word = last + last[:1]
+                    put(word)
+                words.append(word)
+                last = word
+            out.append(b"".join(words))
+            made += len(out[-1])
+        if made >= size:
             break
-        if last is None:
-            if code > 255:
-                raise TiffError("LZW data starts with no letter")
-            word = table[code]
-        elif code < len(table):
-            word = table[code]
-            table.append(last + word[:1])
-        elif code == len(table):
-            word = last + last[:1]
-            table.append(word)
-        else:
-            raise TiffError("LZW code is not known yet")
-        if len(table) + 1 >= 1 << width and width < 12:
-            width += 1
-        last = word
-        out.append(word)
-        made += len(word)
-    if made < size:
-        raise TiffError("LZW data ends early")
+        if not len(ends) or codes[stop] == 257:
+            raise TiffError("LZW data ends early")
+        at += int(_LZW_AT[stop + 1])
+        begun = True
     return b"".join(out)[:size]
 
 
@@ -223,8 +240,8 @@ class Page:
     pixels: bytes  # rows from the top, samples of a pixel together
 
 
-def pages(data: bytes) -> Iterator[Page]:
-    """Each image directory's page in turn."""
+def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
+    """Byte order and tags of each image directory in turn."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise TiffError("no TIFF header")
@@ -238,8 +255,14 @@ def pages(data: bytes) -> Iterator[Page]:
             tags = dict(_field(data, order, at + 2 + 12 * i) for i in range(n))
             (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
         except struct.error as e:
-            raise TiffError("an image directory lies outside the file") from e
-        yield _page(data, order, tags, len(seen) - 1)
+            raise TiffError("an image directory or a field lies outside the file") from e
+        yield order, tags
+
+
+def pages(data: bytes) -> Iterator[Page]:
+    """Each image directory's page in turn."""
+    for number, (order, tags) in enumerate(directories(data)):
+        yield _page(data, order, tags, number)
 
 
 def _field(data: bytes, order: str, at: int) -> tuple[int, tuple]:
@@ -254,18 +277,22 @@ def _field(data: bytes, order: str, at: int) -> tuple[int, tuple]:
 
 
 def _page(data: bytes, order: str, tags: dict[int, tuple], number: int) -> Page:
-    one = lambda tag, default=None: tags[tag][0] if tags.get(tag) else default
+    one = lambda tag, default=0: tags[tag][0] if tags.get(tag) else default
     width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     bits, compression, predictor, planar = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
-    if not width or not height or bits not in (8, 16) or any(b != bits for b in tags[BITS]) or predictor not in (1, 2):
+    if min(width, height, samples) <= 0 or bits not in (8, 16) or any(b != bits for b in tags[BITS]) or predictor not in (1, 2):
         raise TiffError(f"page {number}: sizes, bits or predictor are not supported")
     tiled = TILE_OFFSETS in tags
     across, down = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(STRIP_ROWS, height), height))
+    if min(across, down) <= 0:
+        raise TiffError(f"page {number}: strips or tiles have no size")
     offsets, counts = (tags.get(TILE_OFFSETS), tags.get(TILE_BYTES)) if tiled else (tags.get(STRIP_OFFSETS), tags.get(STRIP_BYTES))
     per = 1 if planar == 2 else samples
     columns, rows = -(-width // across), -(-height // down)
     if not offsets or not counts or len(offsets) != columns * rows * (samples // per) or len(counts) != len(offsets):
         raise TiffError(f"page {number}: strips or tiles are missing")
+    if min(offsets) < 0 or min(counts) < 0 or across * down * per * (bits // 8) > MOST_RATIO * (max(counts) + 1) or width * height * samples > MOST_RATIO * len(data):
+        raise TiffError(f"page {number}: the file can't hold pages of this size")
     kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
     out = np.empty((samples // per, height, width, per), dtype=kind)
     for i, (start, size) in enumerate(zip(offsets, counts, strict=True)):
@@ -335,14 +362,11 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 def image_file(payload: bytes) -> bytes:
     """The payload as grey pages of ROW samples by at most PAGE_ROWS.
 
-    The codec follows from the size, so equal payloads are equal files: LZW for small ones, else deflate with
-    differencing or PackBits; above 8 KB in tiles.
+    The codec follows from the number of rows alone, whatever the size, so equal payloads are equal files: LZW, PackBits
+    or deflate, LZW and deflate with differencing or not; above 8 KB in tiles.
     """
     rows = np.frombuffer(payload, dtype=np.uint8).reshape(-1, ROW)
-    if len(payload) <= LZW_MOST:
-        codec = (LZW, 1 + len(rows) % 2)
-    else:
-        codec = (DEFLATE, 2) if len(rows) % 2 else (PACKBITS, 1)
+    codec = ((LZW, 1), (PACKBITS, 1), (DEFLATE, 2), (LZW, 2), (DEFLATE, 1), (PACKBITS, 1))[len(rows) % 6]
     tile = ROW if len(payload) > 8192 else 0
     return write([(rows[y : y + PAGE_ROWS], *codec, tile) for y in range(0, len(rows), PAGE_ROWS)])
 
@@ -351,92 +375,154 @@ def image_file(payload: bytes) -> bytes:
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media): every text as a TIFF file; null counts as empty. Other columns are ignored."""
+    """(id, n_bytes, media): every text as a TIFF file; null counts as empty. Other columns are ignored.
+
+    Defined results: an empty text is one row of zeros; equal texts are equal files, under whatever ids; no rows give no rows.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)["id"]
+    schema = StructType([rows.schema["id"], StructField("n_bytes", LongType()), StructField("media", BinaryType())])
+
+    def files(batch):
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            n, payload = payload_of(text.as_py())
+            yield name, n, image_file(payload)
 
     def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                made = [payload_of(x) for x in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([image_file(p) for _, p in made], pa.binary())],
-                    names=["id", "n_bytes", "media"],
-                )
+        for batch in batches:
+            for some in chunked(files(batch), lambda r: len(r[2])):
+                yield _rows(some, [batch.schema.field(0).type, pa.int64(), pa.binary()], schema.names)
 
-    return rows.mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return map_batches(rows, run, schema).withColumnRenamed("id", id_col)
 
 
-PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, error string"
+PAGE = [
+    StructField("media_bytes", LongType()), StructField("media_sha256", StringType()), StructField("page", IntegerType()), StructField("top", LongType()),
+    StructField("rows", LongType()), *[StructField(x, IntegerType()) for x in ("width", "height", "samples", "bits", "compression", "predictor")],
+    StructField("tiled", BooleanType()), StructField("pixels", BinaryType()), StructField("error", StringType()),
+]
+_ARROW = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 6, pa.bool_(), pa.binary(), pa.string()]
 
 
-def read_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per page of each file: the id column, page (from 0), sizes, codec and decoded pixels.
+def page_rows(data: bytes) -> Iterator[tuple]:
+    """The rows of ``read_pages`` that a file gives, from media_bytes on."""
+    stored = (len(data), hashlib.sha256(data).hexdigest())
+    found, fault = [], None
+    try:
+        found.extend(directories(data))
+    except TiffError as e:
+        fault = str(e)
+    heights = [tags[HEIGHT][0] if tags.get(HEIGHT) else 0 for _, tags in found]
+    number = 0
+    try:
+        for number, (order, tags) in enumerate(found):
+            p = _page(data, order, tags, number)
+            yield (*stored, number, sum(heights[:number]), sum(heights), p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.pixels, None)
+        number = len(found)
+    except TiffError as e:
+        fault = str(e)
+    if fault is not None:
+        yield (*stored, number, *[None] * 10, fault)
+
+
+def read_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per page of each file, in order: the id column, those of ``keep``, length and SHA-256 of the file, page (from
+    0), top (rows of the pages before), rows (of all pages), sizes, codec and decoded pixels.
 
     Defined results: a null file has no rows; a file that can't be read on gives the pages before the fault and one row
-    whose pixels are null and whose error says why; rows that repeat an id are files of their own. Other columns are ignored.
+    whose pixels are null and whose error says why; rows that repeat an id are files of their own; no rows give no rows.
+    Other columns are ignored.
     """
-    rows = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    kind = dict(rows.dtypes)["id"]
-    schema = f"id {kind}, {PAGE_SCHEMA}"
+    rows = media.select(F.col(id_col).alias("id"), *[quoted(x).alias(f"keep{i}") for i, x in enumerate(keep)], F.col(media_col).alias("media"))
+    n = 1 + len(keep)
+    schema = StructType([*rows.schema.fields[:n], *PAGE])
 
     def run(batches):
         for batch in batches:
-            arrow = [batch.schema.field(0).type, *[pa.int32()] * 7, pa.bool_(), pa.binary(), pa.string()]
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = []
-                try:
-                    for p in pages(data.as_py()) if data.is_valid else ():
-                        found = [name, p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.pixels, None]
-                        yield _row(found, arrow, schema)
-                except TiffError as e:
-                    yield _row([name, found[1] + 1 if found else 0, *[None] * 8, str(e)], arrow, schema)
+            kinds = [*(f.type for f in list(batch.schema)[:n]), *_ARROW]
+            given = zip(*(c.to_pylist() for c in batch.columns[:n]), batch.column(n), strict=True)
+            found = ((*x[:n], *row) for x in given if x[n].is_valid for row in page_rows(x[n].as_py()))
+            for some in chunked(found, lambda r: len(r[-2] or b"")):
+                yield _rows(some, kinds, schema.names)
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    found = map_batches(rows, run, schema).withColumnRenamed("id", id_col)
+    return found.withColumnsRenamed({f"keep{i}": x for i, x in enumerate(keep)})
 
 
-def _row(values: list, kinds: list, schema: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+def _rows(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def feature_of(number: int, size: tuple[int, int], mean: float, blocks: np.ndarray) -> str:
-    """Pages, width and height of the first, mean sample, and 64 bits: is a block of the first page above their median."""
+    """Pages, width and height of all rows, mean sample, and 64 bits: is an eighth by eighth of them above their median."""
     bits = int("".join("01"[int(x)] for x in (blocks > np.median(blocks)).ravel()), 2)
     return f"p{number}-{size[0]}x{size[1]}-m{mean:.4f}-h{bits:016x}"
 
 
-def _blocks(page: Page) -> np.ndarray:
-    grid = np.frombuffer(page.pixels, dtype=np.uint8).reshape(page.height, page.width * page.samples)
-    rows = np.linspace(0, page.height, 9).astype(int)
-    cols = np.linspace(0, grid.shape[1], 9).astype(int)
-    mean = lambda x: float(x.mean()) if x.size else 0.0
-    return np.array([[mean(grid[a:b, c:d]) for c, d in zip(cols[:-1], cols[1:], strict=True)] for a, b in zip(rows[:-1], rows[1:], strict=True)])
+class _Digest:
+    """Of one file, whose pages come in turn."""
+
+    def __init__(self, first: tuple, media_bytes: int, media_sha: str, rows: int) -> None:
+        self.first, self.media, self.rows = first, (media_bytes, media_sha), rows
+        self.sha, self.n, self.total, self.tail, self.pages, self.width = hashlib.sha256(), 0, 0, b"", 0, 0
+        self.sums, self.counts = np.zeros((8, 8)), np.zeros((8, 8))
+
+    def add(self, top: int, width: int, height: int, pixels: bytes) -> None:
+        self.sha.update(pixels)
+        self.n, self.tail, self.pages, self.width = self.n + len(pixels), pixels[-ROW:], self.pages + 1, width
+        grid = np.frombuffer(pixels, dtype=np.uint8).reshape(height, -1)
+        cols = np.linspace(0, grid.shape[1], 9).astype(int)
+        parts = np.stack([grid[:, a:b].sum(axis=1, dtype=np.int64) for a, b in zip(cols[:-1], cols[1:], strict=True)], axis=1)
+        self.total += int(parts.sum())
+        band = np.minimum(7, (top + np.arange(height)) * 8 // max(1, self.rows))
+        np.add.at(self.sums, band, parts)
+        np.add.at(self.counts, band, np.diff(cols))
+
+    def row(self) -> tuple:
+        blocks = self.sums / np.maximum(1, self.counts)
+        feature = feature_of(self.pages, (self.width, self.rows), self.total / max(1, self.n), blocks)
+        return (*self.first, self.n, self.sha.hexdigest(), zlib.crc32(self.tail), *self.media, feature)
 
 
 def digests(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", size_col: str = "n_bytes") -> DataFrame:
-    """What the stored files hold, page by page in a stream: payload length and SHA-256, CRC-32 of the last ROW bytes,
-    length and SHA-256 of the file, and a feature of its pages. A file that can't be read fails the job."""
-    rows = media.select(F.col(id_col).alias("id"), F.col(size_col).alias("n"), F.col(media_col).alias("media"))
-    kind = dict(rows.dtypes)["id"]
-    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-
-    def one(data: bytes) -> list:
-        sha, n, total, tail, first, number = hashlib.sha256(), 0, 0, b"", None, 0
-        for number, page in enumerate(pages(data), 1):
-            sha.update(page.pixels)
-            n += len(page.pixels)
-            total += int(np.frombuffer(page.pixels, dtype=np.uint8).sum(dtype=np.int64))
-            tail = page.pixels[-ROW:]
-            first = first or ((page.width, page.height), _blocks(page))
-        feature = feature_of(number, first[0], total / n, first[1])
-        return [n, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature]
+    """What the stored files hold, from the rows of ``read_pages``, page by page as they come: the id column, n_bytes (given),
+    payload_bytes and payload_sha256 of all pixels, tail_crc32 of the last ROW of them, media_bytes, media_sha256, feature.
 
-    def run(batches):
+    A file's pages come one after another from the task that reads it, so nothing is shuffled and a task holds one page.
+
+    Defined results: rows that repeat, and empty texts' files, are files like others; a null file has no row; a file that
+    can't be read fails the job; no rows give no rows.
+    """
+    found = read_pages(media, id_col, media_col, keep=[size_col])
+    found = found.select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("n_bytes"), "media_bytes", "media_sha256", "page", "top", "rows", "width", "height", "pixels", "error")
+    own = [("payload_bytes", LongType()), ("payload_sha256", StringType()), ("tail_crc32", LongType()), ("media_bytes", LongType()), ("media_sha256", StringType()), ("feature", StringType())]
+    schema = StructType([found.schema["id"], found.schema["n_bytes"], *[StructField(*x) for x in own]])
+    arrow = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def files(batches):
+        now = None
         for batch in batches:
-            made = list(zip(*(one(x.as_py()) for x in batch.column(2)), strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(made, kinds, strict=True)]], names=names)
+            small = zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True)
+            for (name, n, size, sha, page, top, rows, width, height), pixels, error in zip(small, batch.column(9), batch.column(10), strict=True):
+                if error.is_valid:
+                    raise TiffError(f"{name}: {error.as_py()}")
+                if page == 0:
+                    if now:
+                        yield now.row()
+                    now = _Digest((name, n), size, sha, rows)
+                now.add(top, width, height, pixels.as_py())
+        if now:
+            yield now.row()
+
+    def run(batches):
+        first = None
+
+        def seen():
+            nonlocal first
+            for batch in batches:
+                first = batch.schema.field(0).type
+                yield batch
+
+        for some in chunked(files(seen()), lambda r: 300):
+            yield _rows(some, [first, *arrow], schema.names)
 
-    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_batches(found, run, schema).withColumnRenamed("id", id_col)

@@ -8,7 +8,8 @@ those that a rule judged reaches ``REJECT``; urls without a rule get the verdict
 
 Only counts of (host, template, segment) are grouped, with map-side combining; joins at hot hosts use keys of their own,
 so that adaptive execution can split them. After wildcards a node has a bounded number of branches, which is all that a
-window sees at once. Segments beyond ``DEPTH`` are one segment ``**``.
+window sees at once. A path whose node no other path shares is done: the rest of its segments are its template's. So
+the levels run as deep as any two paths go together, not as deep as the deepest.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from pyspark.sql.window import Window
 
 from orrery.llm.common import UPPER, durable
 
-DEPTH = 6
 LEAST_VALUES, REPEATS = 5, 3.0
 MOST_LITERALS, HEAVY = 32, 0.05
 LEAST_URLS, SIMILAR_Z = 20, 1.96
@@ -46,36 +46,45 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
 
 
 def _key(*cols: str) -> Column:
-    return F.concat_ws("\n", F.lit("k"), *cols)
+    """One string for several, one to one: the lengths of all but the last come first."""
+    sizes = [F.char_length(c).cast("string") for c in cols[:-1]]
+    return F.concat_ws(":", F.lit("k"), *sizes, F.concat(*cols))
 
 
 def templates(urls: DataFrame) -> DataFrame:
     """(host, path, n, label) of different urls to the same with the template of each path."""
     parts = F.split(F.substring("path", 2, 2**31 - 1), "/")
     parts = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(parts)
-    parts = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
-    rows = durable(urls.withColumn("parts", parts).withColumn("template", F.lit("")))
-    deepest = rows.agg(F.max(F.size("parts"))).first()[0] or 0
-    for level in range(deepest):
-        here = rows.where(F.size("parts") > level).withColumn("seg", F.element_at("parts", level + 1))
+    rows = durable(urls.withColumn("parts", parts).withColumn("template", F.lit("")).withColumn("alone", F.size("parts") == 0))
+    level = 0
+    while not rows.where(~F.col("alone")).isEmpty():
+        here = rows.where(~F.col("alone")).withColumn("seg", F.element_at("parts", level + 1))
         branch = here.groupBy("host", "template", "seg").agg(
             F.sum("n").alias("c"),
             F.sum(F.when(F.col("label") == "block", F.col("n")).otherwise(0)).alias("b"),
             F.sum(F.when(F.col("label") == "allow", F.col("n")).otherwise(0)).alias("a"),
             F.sum(F.when(F.size("parts") == level + 1, F.col("n")).otherwise(0)).alias("e"),
+            F.count("*").alias("paths"),
         )
         node = branch.groupBy("host", "template").agg(F.count("*").alias("v"), F.sum("c").alias("total"))
         node = node.select(_key("host", "template").alias("k"), "v", "total")
         variable = (F.col("v") > MOST_LITERALS) | (F.col("v") >= LEAST_VALUES) & (F.col("total") < F.col("v") * REPEATS)
         light = F.col("c") < F.col("total") * HEAVY
         branch = branch.withColumn("k", _key("host", "template")).join(node, "k")
-        branch = branch.withColumn("token", F.when(variable & light & (F.col("seg") != "**"), "*").otherwise(F.col("seg")))
-        merged = _merged(branch.groupBy("host", "template", "token").agg(*[F.sum(x).alias(x) for x in ("c", "b", "a", "e")]))
-        merged = merged.select(_key("host", "template", "token").alias("k"), "name")
-        names = branch.select(_key("host", "template", "seg").alias("s"), _key("host", "template", "token").alias("k")).join(merged, "k").select("s", "name")
+        branch = branch.withColumn("token", F.when(variable & light, "*").otherwise(F.col("seg")))
+        merged = _merged(branch.groupBy("host", "template", "token").agg(*[F.sum(x).alias(x) for x in ("c", "b", "a", "e", "paths")]))
+        merged = merged.select(_key("host", "template", "token").alias("k"), "name", "single")
+        names = branch.select(_key("host", "template", "seg").alias("s"), _key("host", "template", "token").alias("k"))
+        names = names.join(merged, "k").select("s", "name", "single")
         deeper = here.withColumn("s", _key("host", "template", "seg")).join(names, "s")
-        deeper = deeper.select("host", "path", "n", "label", "parts", F.concat("template", F.lit("/"), "name").alias("template"))
-        rows = durable(rows.where(F.size("parts") <= level).select(deeper.columns).unionByName(deeper))
+        rest = F.when(F.col("single"), F.slice("parts", level + 2, F.greatest(F.lit(1), F.size("parts")))).otherwise(F.array().cast("array<string>"))
+        deeper = deeper.select(
+            "host", "path", "n", "label", "parts",
+            F.concat_ws("/", "template", "name", rest).alias("template"),
+            (F.col("single") | (F.size("parts") == level + 1)).alias("alone"),
+        )
+        rows = durable(rows.where("alone").unionByName(deeper))
+        level += 1
     return rows.select("host", "path", "n", "label", "template")
 
 
@@ -94,7 +103,7 @@ def _merged(tokens: DataFrame) -> DataFrame:
     grouped = tokens.withColumn("new", apart.cast("int")).withColumn("g", F.sum("new").over(order))
     group = Window.partitionBy("host", "template", "g")
     members = F.array_sort(F.collect_list("token").over(group))
-    return grouped.withColumn("m", members).withColumn(
+    return grouped.withColumn("m", members).withColumn("single", F.sum("paths").over(group) == 1).withColumn(
         "name", F.when(F.size("m") > 1, F.concat(F.lit("{"), F.array_join("m", "|"), F.lit("}"))).otherwise(F.col("token"))
     )
 
@@ -102,14 +111,14 @@ def _merged(tokens: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """The verdict on every url: the id column, host, path, rule, verdict, template.
 
-    Defined results: a null url and one without ``://`` have empty host and path and are allowed, unless a rule fits;
-    repeated rows get equal verdicts, each counted; a template without any judged url is allowed; no rows give no rows.
-    Other columns are ignored, whatever their names.
+    Defined results: a null url and one without ``://`` have empty host and path, no template, and are allowed, unless a
+    rule fits; urls with a path and an empty host are a host of their own; repeated rows get equal verdicts, each counted;
+    a template without any judged url is allowed; no rows give no rows. Other columns are ignored, whatever their names.
     """
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    urls = rows.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("label", verdict)
+    urls = rows.where("host <> '' OR path <> ''").groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("label", verdict)
     found = templates(urls)
     blocked = F.sum(F.when(F.col("label") == "block", F.col("n")).otherwise(0))
     judged = F.sum(F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0))
@@ -117,7 +126,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     bad = found.withColumn("k", _key("host", "template")).join(bad.select(_key("host", "template").alias("k"), "bad"), "k")
     by_url = bad.select(_key("host", "path").alias("u"), "bad", "template")
     return (
-        rows.withColumn("u", F.when(F.col("host") != "", _key("host", "path")).otherwise(F.concat(F.lit("-"), F.xxhash64("id").cast("string"))))
+        rows.withColumn("u", F.when((F.col("host") != "") | (F.col("path") != ""), _key("host", "path")).otherwise(F.concat(F.lit("-"), F.xxhash64("id").cast("string"))))
         .join(by_url, "u", "left")
         .select(
             F.col("id").alias(id_col), "host", "path", name.alias("rule"),

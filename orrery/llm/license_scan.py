@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.common import durable, map_batches
+
 # Notices as files usually carry them.
 TEMPLATES = {
     "MIT": ("Released under the MIT License.", "Licensed under the MIT license. See LICENSE in the project root for license information.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
@@ -144,7 +146,7 @@ def fit(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, tex
             found[""] = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["w", "n"])
 
-    rows = files.select(text_col).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
+    rows = map_batches(files.select(text_col), count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
     counts = {r["w"]: r["n"] for r in rows}
     return Scanner(templates, counts, counts.pop("", 0), threshold)
 
@@ -163,7 +165,7 @@ def scan(files: DataFrame, scanner: Scanner, id_col: str = "doc_id", path_col: s
                 names=["id", "path", "own_license", "score", "line"],
             )
 
-    return rows.mapInArrow(run, f"id {kind}, path string, own_license string, score double, line int")
+    return map_batches(rows, run, f"id {kind}, path string, own_license string, score double, line int")
 
 
 def _parent(path: Column) -> Column:
@@ -173,11 +175,11 @@ def _parent(path: Column) -> Column:
 def inherit(found: DataFrame) -> DataFrame:
     """Adds license, inherited_from (the licence file's directory; null for a file's own licence or none).
 
-    Of several licence files in a directory the best score counts, then the smallest license and path.
+    Of several licence files in a directory the best score counts, then the license and the path that come first.
     """
     base = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
     named = base.rlike(r"^(?:" + "|".join(FILE_NAMES) + r")(?:\.[a-z]+)?$")
-    best = F.max(F.struct(F.col("score"), (-F.xxhash64("path")).alias("h"), F.col("own_license")))
+    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("own_license"), F.col("path")))
     holders = found.where(named & F.col("own_license").isNotNull()).groupBy(_parent(F.col("path")).alias("dir")).agg(best.alias("b"))
     holders = holders.select(F.concat(F.lit("/"), "dir").alias("at"), F.col("b.own_license").alias("license"))
     dirs = found.where("path IS NOT NULL").select(_parent(F.col("path")).alias("dir")).distinct()
@@ -208,5 +210,5 @@ def license_of_files(
     are files of their own; equal cosines go to the license that is last by name, then to the first line; no rows give no
     rows. Other columns are ignored, whatever their names.
     """
-    found = scan(files, fit(files, templates, text_col, threshold), id_col, path_col, text_col)
+    found = durable(scan(files, fit(files, templates, text_col, threshold), id_col, path_col, text_col))
     return inherit(found).withColumnRenamed("id", id_col)

@@ -18,7 +18,6 @@ import json
 import re
 import unicodedata
 import zlib
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -27,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.common import held, map_batches
+
 WINDOW = 2048
 BLOCK = 256
 #: Shares of a block's tokens that are cut to so many pieces a window.
@@ -162,11 +163,6 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
-@lru_cache(maxsize=1)
-def _words(path: str) -> Words:
-    return Words(path)
-
-
 class Packer:
     """Takes documents one by one, gives rows (id, start, length, crc, tokens, sequence, offset)."""
 
@@ -234,7 +230,7 @@ def pack(
     path = vocabulary or default_vocabulary()
 
     def run(batches):
-        words = _words(path)
+        words = held(("words", path), lambda: Words(path))
         packer = Packer(TaskContext.get().partitionId() << 32, window, block)
         mark = np.array([end], dtype="<u4").tobytes()
 
@@ -252,4 +248,4 @@ def pack(
         yield emit()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, SCHEMA).withColumnRenamed("id", id_col)
+    return map_batches(rows, run, SCHEMA, holds=True).withColumnRenamed("id", id_col)

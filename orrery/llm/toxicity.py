@@ -4,7 +4,7 @@ A logistic model over the different words of a text and their beginnings is trai
 8 letters, carry stems over to inflections that no labelled text has.) Besides the labels' loss, each sentence that names an identity group is scored again with the name swapped for others of its kind, and the squared
 difference of the two scores is penalised (``swap_weight``), so that naming a group moves no score by itself.
 
-What is learnt from is a bounded sample: at most ``per_label`` texts for each label, in the order of a hash of the text;
+What is learnt from is a bounded sample: at most ``per_label`` texts for each label, in the order of a hash of the id;
 weights restore the share of each label among all labelled rows. Only words whose counts differ significantly between
 the labels are features (``min_z``, ``min_docs``), so a long text doesn't drift by the sum of thousands of neutral
 words; identity terms are always features, so that the penalty binds them. Scoring reads whole texts.
@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from orrery.llm.common import map_batches
+
 # Names of groups by kind; a swap stays within its kind.
 IDENTITY = {
     "religion": ("christian", "jewish", "muslim", "hindu", "buddhist", "atheist", "catholic", "sikh"),
@@ -203,8 +205,8 @@ def sample(
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id column, score and predicted (1 from 0.5 on) of every whole text.
 
-    Defined results: null and empty texts get the score of a text without any known word; no rows give no rows. Other
-    columns are ignored, whatever their names.
+    Defined results: null and empty texts get the score of a text without any known word; rows that repeat are scored
+    each, alike; no rows give no rows. Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
@@ -216,4 +218,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 [batch.column(0), pa.array(made, pa.float64()), pa.array([int(x >= 0.5) for x in made], pa.int32())], names=["id", "score", "predicted"]
             )
 
-    return rows.mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+    return map_batches(rows, run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)

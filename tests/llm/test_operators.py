@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from orrery.llm import exact_dedup, language_id, license_scan, mixing, near_dedup, packing, tiff, toxicity, url_filter, warc
+from orrery.llm import common, exact_dedup, language_id, license_scan, mixing, near_dedup, packing, tiff, toxicity, url_filter, warc
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -264,7 +264,7 @@ def test_pack(docs):
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=60))
 def test_words_are_the_tokenizers(text):
-    words = packing._words(packing.default_vocabulary())
+    words = common.held("words", lambda: packing.Words(packing.default_vocabulary()))
     assert np.frombuffer(words.ids(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 

@@ -109,35 +109,50 @@ def unit_abs(r: np.ndarray) -> np.ndarray:
     return np.abs(r) / np.where(norm > 0, norm, 1.0)
 
 
+RESCALE_CELLS = 1 << 22  # events that the search for the best scale holds at once
+
+
 def best_rescale(a: np.ndarray, ex_bits: int) -> np.ndarray:
     """For each row the smallest scale t at which min(floor(t * a), top) + 1/2 points most nearly along ``a``."""
-    top = (1 << ex_bits) - 1
     out = np.zeros(len(a))
-    for i, row in enumerate(a):
-        peak = row.max()
-        if peak <= 0:
-            continue
-        end = (top + 10) / peak
-        start = end * RESCALE_START[ex_bits]
-        used = row[row > 0]
-        levels = np.arange(1, top + 1)
-        t = levels[None, :] / used[:, None]
-        first = t <= start
-        q0 = first.sum(1)
-        dot, square = (row.sum() / 2 + (used * q0).sum()), ((q0 + 0.5) ** 2).sum() + (len(row) - len(used)) / 4
-        later = (~first) & (t < end)
-        when = t[later]
-        order = np.argsort(when, kind="stable")
-        when = when[order]
-        dots = dot + np.cumsum(np.broadcast_to(used[:, None], t.shape)[later][order])
-        squares = square + np.cumsum(2.0 * np.broadcast_to(levels[None, :], t.shape)[later][order])
-        last = np.append(when[1:] != when[:-1], True) if len(when) else np.zeros(0, bool)
-        times = np.concatenate(([start], when[last]))
-        score = np.concatenate(([dot], dots[last])) / np.sqrt(np.concatenate(([square], squares[last])))
-        out[i] = times[int(np.argmax(score))]
+    step = max(1, RESCALE_CELLS // (a.shape[1] << ex_bits))
+    for at in range(0, len(a), step):
+        out[at : at + step] = _best_rescale(a[at : at + step], ex_bits)
     return out
 
 
+def _best_rescale(a: np.ndarray, ex_bits: int) -> np.ndarray:
+    """All rows at once: every (coordinate, level) is an event at t = level / coordinate; running sums in the order of t."""
+    top = (1 << ex_bits) - 1
+    n, width = a.shape
+    peak = a.max(axis=1)
+    live = peak > 0
+    end = (top + 10) / np.where(live, peak, 1.0)
+    start = end * RESCALE_START[ex_bits]
+    levels = np.arange(1, top + 1)
+    with np.errstate(divide="ignore"):
+        t = (levels[None, None, :] / a[:, :, None]).reshape(n, -1)
+    weight = np.repeat(a, top, axis=1)
+    gain = np.tile(2.0 * levels, (n, width))
+    first = t <= start[:, None]
+    dot = a.sum(1) / 2 + np.where(first, weight, 0.0).sum(1)
+    square = width / 4 + np.where(first, gain, 0.0).sum(1)
+    later = ~first & (t < end[:, None])
+    when = np.where(later, t, np.inf)
+    order = np.argsort(when, axis=1, kind="stable")
+    most = int(later.sum(1).max(initial=0))
+    order = order[:, :most]
+    when = np.take_along_axis(when, order, 1)
+    some = np.isfinite(when)
+    dots = dot[:, None] + np.cumsum(np.where(some, np.take_along_axis(weight, order, 1), 0.0), axis=1)
+    squares = square[:, None] + np.cumsum(np.where(some, np.take_along_axis(gain, order, 1), 0.0), axis=1)
+    last = some & np.concatenate((when[:, 1:] != when[:, :-1], np.ones((n, min(1, most)), bool)), axis=1)
+    score = np.where(last, dots / np.sqrt(squares), -np.inf)
+    score = np.concatenate(((dot / np.sqrt(square))[:, None], score), axis=1)
+    times = np.concatenate((start[:, None], when), axis=1)
+    return np.where(live, times[np.arange(n), score.argmax(axis=1)], 0.0)
+
+
 def constant_rescale(width: int, ex_bits: int, seed: int, samples: int = 100) -> float:
     """Mean best scale of random directions: the faster variant's scale for all vectors."""
     a = unit_abs(np.random.default_rng(seed).standard_normal((samples, width)))
@@ -230,11 +245,121 @@ def query_terms(q: np.ndarray, c: np.ndarray, metric: str) -> tuple[np.ndarray,
 
 
 def distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
-    """Exact (points, queries): squared L2, or 1 - inner product."""
+    """(points, queries) by a matrix product: squared L2 around the queries' mean, or 1 - inner product.
+
+    Off by ``slack`` at most; where order among near-ties or an exact zero matters, use ``nearest``, ``smallest`` or ``paired``.
+    """
     if metric == "ip":
         return 1 - x @ q.T
-    out = np.empty((len(x), len(q)))
-    for at in range(0, len(x), 256):
-        d = x[at : at + 256, None, :] - q[None, :, :]
-        out[at : at + 256] = np.einsum("ijk,ijk->ij", d, d)
-    return out
+    middle = q.mean(axis=0) if len(q) else 0.0
+    x, q = x - middle, q - middle
+    d = x @ q.T
+    d *= -2
+    d += (x * x).sum(1)[:, None]
+    d += (q * q).sum(1)
+    return np.maximum(d, 0.0, out=d)
+
+
+def slack(x: np.ndarray, q: np.ndarray) -> float:
+    """What ``distances`` may be off by."""
+    size = (np.sqrt((x * x).sum(1).max(initial=0.0)) + 2 * np.sqrt((q * q).sum(1).max(initial=0.0))) ** 2
+    return float(8 * (x.shape[1] + 8) * np.finfo(float).eps * (size + 1))
+
+
+def paired(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """Row by row: squared L2 of the differences, or 1 - inner product. Equal pairs give equal values, wherever they stand."""
+    if metric == "ip":
+        return 1 - np.einsum("ij,ij->i", x, q)
+    d = x - q
+    return np.einsum("ij,ij->i", d, d)
+
+
+TILE = 2048
+
+
+def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``x`` the first of the nearest rows of ``c`` by squared L2, and that distance.
+
+    A product of matrices in tiles finds those that may be nearest; only they are compared exactly.
+    """
+    best, dist = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
+    for at in range(0, len(x), TILE):
+        some = x[at : at + TILE]
+        edge = np.full(len(some), np.inf)
+        tiles = []
+        for to in range(0, len(c), TILE):
+            d = distances(some, c[to : to + TILE], "l2")
+            edge = np.minimum(edge, d.min(axis=1))
+            tiles.append((to, d) if len(c) <= TILE else (to, None))
+        edge = (edge + 2 * slack(some, c))[:, None]
+        rows, cols = [], []
+        for to, d in tiles:
+            i, j = np.nonzero((distances(some, c[to : to + TILE], "l2") if d is None else d) <= edge)
+            rows.append(i)
+            cols.append(j + to)
+        i, j = np.concatenate(rows), np.concatenate(cols)
+        exact = _in_parts(some, i, c, j, "l2")
+        order = np.lexsort((j, exact, i))
+        first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+        best[at : at + TILE], dist[at : at + TILE] = j[first], exact[first]
+    return best, dist
+
+
+def _in_parts(x: np.ndarray, i: np.ndarray, q: np.ndarray, j: np.ndarray, metric: str) -> np.ndarray:
+    step = max(1, (1 << 20) // max(1, x.shape[1]))
+    found = [paired(x[i[at : at + step]], q[j[at : at + step]], metric) for at in range(0, len(i), step)]
+    return np.concatenate(found) if found else np.zeros(0)
+
+
+def smallest(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k nearest rows of ``x`` by (distance, id): rows of ``q``, rows of ``x`` and distances, query by query."""
+    out = []
+    for at in range(0, len(q), TILE):
+        some = q[at : at + TILE]
+        d = distances(x, some, metric)
+        if len(x) > k:
+            edge = np.partition(d, k - 1, axis=0)[k - 1] + 2 * slack(x, some)
+            i, j = np.nonzero(d <= edge)
+        else:
+            i, j = (a.ravel() for a in np.indices(d.shape))
+        exact = _in_parts(x, i, some, j, metric)
+        order = np.lexsort((ids[i], exact, j))
+        j = j[order]
+        keep = np.arange(len(j)) - np.searchsorted(j, j) < k
+        out.append((j[keep] + at, i[order][keep], exact[order][keep]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def quantize_queries(q: np.ndarray, bits: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whole numbers of ``bits`` bits for each query's coordinates, with delta and low that give them back, rounded to nearest."""
+    low, high = q.min(axis=1), q.max(axis=1)
+    delta = (high - low) / ((1 << bits) - 1)
+    code = np.floor((q - low[:, None]) / np.where(delta > 0, delta, 1.0)[:, None] + 0.5)
+    return np.clip(code, 0, (1 << bits) - 1).astype(np.int64), delta, low
+
+
+def small_query_estimate(bits, add, rescale, error, q, q_add, q_err, query_bits: int = 4):
+    """``onebit_estimate`` from queries of a few bits a coordinate: sums of whole numbers, scaled back once for each pair."""
+    code, delta, low = quantize_queries(q, query_bits)
+    ones = bits.astype(np.int64)
+    dot = delta * (ones @ code.T) + low * ones.sum(1)[:, None] - (delta * code.sum(1) + low * q.shape[1]) / 2
+    est = add[:, None] + q_add + rescale[:, None] * dot
+    return est, est - error[:, None] * q_err
+
+
+def pack_codes(code: np.ndarray, ex_bits: int) -> np.ndarray:
+    """(rows, width) of codes to (rows, width * ex_bits / 8) bytes: each coordinate's bits in turn, high bits first."""
+    bits = np.unpackbits(code.astype(np.uint8)[:, :, None], axis=2)[:, :, 8 - ex_bits :]
+    return np.packbits(bits.reshape(len(code), -1), axis=1)
+
+
+def unpack_codes(packed: np.ndarray, width: int, ex_bits: int) -> np.ndarray:
+    bits = np.unpackbits(packed, axis=1)[:, : width * ex_bits].reshape(len(packed), width, ex_bits)
+    return bits @ (1 << np.arange(ex_bits - 1, -1, -1))
+
+
+def norm_cancellation(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """(points, queries): digits lost where squared L2 comes from norms and a product: its terms over its value."""
+    d = distances(x, q, "l2")
+    terms = (x * x).sum(1)[:, None] + (q * q).sum(1)
+    return terms / np.maximum(d, np.finfo(float).tiny)

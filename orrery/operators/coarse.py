@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from orrery.config import IndexConfig, SearchConfig
 from orrery.operators import clustering, index, knn
+from orrery.storage import durable
 
 
 @dataclass
@@ -40,13 +40,13 @@ def build(cents: DataFrame, config: IndexConfig, inner: DataFrame | None = None,
         rows = rows.withColumn("embedding", knn.normalize(F.col("embedding")))
     n = rows.count()
     if inner is None:
-        means = clustering.kmeans(rows, inner_count(n, config.inner_size), 25, seed=config.seed)
+        means = clustering.kmeans(rows, inner_count(n, config.inner_size), 25, seed=config.seed, spherical=config.metric == "ip")
         placed = clustering.assign(rows, means).drop("dist").join(rows, "vec_id")
     else:
         placed = inner.select(F.col("cid").cast("long").alias("vec_id"), F.col("inner").cast("long").alias("cid")).join(rows, "vec_id")
-    means = clustering.centroids(placed)
+    means = durable(clustering.centroids(placed))
     own = IndexConfig(config.dim, bits=9, seed=config.seed, store="raw" if refine == "full" else "exbits")
-    return Coarse(index.build(placed, means, own), means, norms, own, n)
+    return Coarse(durable(index.to_blocks(index.build(placed, means, own))), means, norms, own, n)
 
 
 def probe(queries: DataFrame, coarse: Coarse, nprobe: int, mode: str = "kfixedmult", mult: float = 0.5) -> DataFrame:
@@ -61,10 +61,12 @@ def probe(queries: DataFrame, coarse: Coarse, nprobe: int, mode: str = "kfixedmu
     take, scan = min(nprobe, coarse.clusters), parts if mode == "full" else min(parts, max(1, math.ceil(mult * nprobe)))
     asked = queries.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     unit = asked if coarse.norms is None else asked.withColumn("embedding", knn.normalize(F.col("embedding")))
-    found = index.search(coarse.postings, unit, coarse.inner, coarse.config, SearchConfig(k=take, nprobe=scan))
-    enough = F.count("*").over(Window.partitionBy("query_id")) >= take
-    rows = found.select("query_id", "rank", F.col("vec_id").alias("cid"), F.sqrt(F.greatest("dist", F.lit(0.0))).alias("dist"), enough.alias("enough"))
-    rows = rows.withColumn("dist", F.when(F.col("enough"), F.col("dist")).otherwise(F.raise_error(F.lit("too few clusters were scanned")).cast("double"))).drop("enough")
+    found = durable(index.search(coarse.postings, unit, coarse.inner, coarse.config, SearchConfig(k=take, nprobe=scan)))
+    counts = found.groupBy("query_id").agg(F.count("*").alias("n"))
+    short = asked.select(F.col("vec_id").alias("query_id")).join(counts, "query_id", "left").where(F.coalesce("n", F.lit(0)) < take)
+    if not short.isEmpty():
+        raise ValueError(f"too few clusters were scanned: query {short.first()['query_id']} gets fewer than {take}")
+    rows = found.select("query_id", "rank", F.col("vec_id").alias("cid"), F.sqrt(F.greatest("dist", F.lit(0.0))).alias("dist"))
     if coarse.norms is None:
         return rows
     q = asked.select(F.col("vec_id").alias("query_id"), knn.norm(F.col("embedding")).alias("qn"))
@@ -74,9 +76,9 @@ def probe(queries: DataFrame, coarse: Coarse, nprobe: int, mode: str = "kfixedmu
     return rows.withColumn("ip", ip).withColumn("gap", gap).select("query_id", "rank", "cid", "dist", "ip", "gap")
 
 
-def choose(queries: DataFrame, cents: DataFrame, config: IndexConfig, options: SearchConfig) -> DataFrame:
+def choose(queries: DataFrame, cents: DataFrame, config: IndexConfig, options: SearchConfig, built: Coarse | None = None) -> DataFrame:
     """(query_id, rank, cid, dist) by the coarse kind that the options, or the number of clusters, ask for."""
     if options.coarse_kind(cents.count()) == "flat":
         return index.probes(queries, cents, options.nprobe)
-    found = probe(queries, build(cents, config), options.nprobe, options.irq_mode, options.irq_mult)
+    found = probe(queries, built or build(cents, config), options.nprobe, options.irq_mode, options.irq_mult)
     return found.select("query_id", "rank", "cid", "dist")

@@ -1,86 +1,130 @@
 """Building an inverted index of rotated binary and extra-bit codes, and searching it.
 
-Tables: ``centroids`` (cid, centroid, n), ``postings`` (vec_id, cid, pos, page_id, then resident columns, then payload
-columns), ``meta`` (one row). The first pass of a search reads the resident columns only, which column pruning turns into
-what the memory part of a disk index is; payload columns are read for survivors.
+Tables: ``centroids`` (cid, centroid, n); ``blocks``, a row for each stretch of BLOCK places of a cluster (cid, block), its
+vectors' columns joined to matrices: vec_id, page_id, then resident columns, then payload columns; ``meta`` (one row).
+
+A search takes queries in parts of bounded size, which every task gets with the clusters they probe; index rows are neither
+shuffled nor grouped. Scans are limited to the probed clusters by ranges of cid, which Parquet's statistics understand. Two
+passes read resident columns only: the first gives each task's best estimates, the second all points whose lower bound
+doesn't exceed the query's threshold. Payload columns are read for the blocks that hold seeds or survivors.
 """
 
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.config import IndexConfig, SearchConfig, page_layout
 from orrery.functions import kernels
-from orrery.operators.blocks import lists, map_arrow, matrix
-from orrery.operators.clustering import local_centroids
+from orrery.operators.blocks import BLOCK, QUERY_BYTES, Best, bytes_of, lists, local_rows, map_arrow, matrix, packed, query_chunks
+from orrery.operators.clustering import local_centroids, running_sum
 from orrery.operators.knn import ranked
+from orrery.storage import durable
 
 RESIDENT = "bits binary,f_add double,f_rescale double,f_error double"
 PAYLOAD = "rest binary,ex_code binary,f_add_ex double,f_rescale_ex double,raw array<float>"
+RANGES = 32  # of cids in a scan's filter
+LISTED = 1000  # cids that a filter names one by one
 
 
-def centroid_order(assigned: DataFrame, cents: DataFrame, metric: str = "l2") -> DataFrame:
-    """Adds pos: the place in the cluster by distance to its centroid (negative inner product for ip), NaN last, then id.
+def _places(ids: np.ndarray, cid: pa.Array) -> np.ndarray:
+    """Rows of the sorted ``ids`` for each cid; one that isn't there is an error."""
+    named = cid.to_numpy(zero_copy_only=False)
+    at = np.minimum(np.searchsorted(ids, named), len(ids) - 1)
+    if len(ids) == 0 or (ids[at] != named).any():
+        raise ValueError(f"cluster {named[ids[at] != named][0] if len(ids) else named[0]} has no centroid")
+    return at
+
+
+def places(assigned: DataFrame, cents: DataFrame, metric: str = "l2") -> DataFrame:
+    """(vec_id, cid, d, pos): distance to the centroid (negative inner product for ip) and place in the cluster by it, NaN
+    last, then id.
 
-    ``assigned`` is (vec_id, cid, embedding). A cid without a centroid is an error.
+    ``assigned`` is (vec_id, cid, embedding). A cid without a centroid is an error. Only ids and distances are shuffled; a
+    cluster is ordered in parts by distance, so a hot one isn't a single task.
     """
     ids, c = local_centroids(cents)
-    at = {int(i): n for n, i in enumerate(ids)}
 
     def kernel(col: dict) -> dict:
-        x, rows = matrix(col["embedding"]), [at[i] for i in col["cid"].to_pylist()]
-        d = ((x - c[rows]) ** 2).sum(1) if metric == "l2" else -(x * c[rows]).sum(1)
-        return {"vec_id": col["vec_id"], "cid": col["cid"], "embedding": col["embedding"], "d": d}
+        x, at = matrix(col["embedding"]), _places(ids, col["cid"])
+        d = kernels.paired(x, c[at], "l2") if metric == "l2" else kernels.paired(x, c[at], "ip") - 1
+        return {"vec_id": col["vec_id"], "cid": col["cid"], "d": d}
 
     rows = assigned.select(F.col("vec_id").cast("long"), F.col("cid").cast("long"), F.col("embedding").cast("array<float>"))
-    found = map_arrow(rows, kernel, "vec_id long,cid long,embedding array<float>,d double")
-    order = Window.partitionBy("cid").orderBy(F.isnan("d"), "d", "vec_id")
-    return found.withColumn("pos", F.row_number().over(order).cast("long") - 1)
+    light = durable(map_arrow(rows, kernel, "vec_id long,cid long,d double"))
+    ends = light.groupBy("cid").agg(F.min("d").alias("lo"), F.max(F.when(~F.isnan("d"), F.col("d"))).alias("hi"), F.count("*").alias("n"))
+    share = (F.col("d") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0))
+    parts = F.ceil(F.col("n") / ORDERED)
+    part = F.when(F.isnan("d"), parts + 1).otherwise(F.floor(F.least(share, F.lit(1.0)) * parts)).cast("long")
+    placed = light.join(ends, "cid").select("vec_id", "cid", "d", part.alias("part"))
+    before = Window.partitionBy("cid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("cid", "part").agg(F.count("*").alias("n")).select("cid", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    order = Window.partitionBy("cid", "part").orderBy(F.isnan("d"), "d", "vec_id")
+    found = placed.withColumn("r", F.row_number().over(order)).join(starts, ["cid", "part"])
+    return found.select("vec_id", "cid", "d", (F.col("start") + F.col("r") - 1).cast("long").alias("pos"))
+
+
+def centroid_order(assigned: DataFrame, cents: DataFrame, metric: str = "l2") -> DataFrame:
+    """Adds d and pos of ``places`` to (vec_id, cid, embedding)."""
+    rows = assigned.select(F.col("vec_id").cast("long"), F.col("cid").cast("long"), F.col("embedding").cast("array<float>"))
+    return rows.join(places(rows, cents, metric), ["vec_id", "cid"])
+
+
+ORDERED = 1 << 16  # places of a cluster that one task orders, where distances are spread evenly
 
 
 def page_table(sizes: DataFrame, record: int) -> DataFrame:
     """(cid, n) to first_page and pages of each cluster."""
     per_read, pages = page_layout(record)
-    count = F.ceil(F.col("n") / per_read) * pages
-    before = Window.orderBy("cid").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("pages", count).withColumn("first_page", F.coalesce(F.sum("pages").over(before), F.lit(0)))
+    return running_sum(sizes.withColumn("pages", F.ceil(F.col("n") / per_read) * pages), "cid", "pages", "first_page")
 
 
 def build(assigned: DataFrame, cents: DataFrame, config: IndexConfig) -> DataFrame:
     """Postings of an index: each vector's codes and factors relative to its centroid."""
     ids, c = local_centroids(cents)
     rotation = kernels.rotation_matrix(config.dim, config.seed)
-    turned, at = c @ rotation, {int(i): n for n, i in enumerate(ids)}
+    turned = c @ rotation
     m, e, raw = config.prefix, config.ex_bits, config.store == "raw"
     scale = kernels.constant_rescale(config.width, e, config.seed) if config.faster and e else None
 
     def kernel(col: dict) -> dict:
         x = matrix(col["embedding"]) @ rotation
-        near = turned[[at[i] for i in col["cid"].to_pylist()]]
+        near = turned[_places(ids, col["cid"])]
         bits, add, rescale, error = kernels.onebit(x, near, config.metric, m)
-        packed = np.packbits(bits, axis=1)
-        out = {n: col[n] for n in ("vec_id", "cid", "pos")}
-        out |= {"bits": [r.tobytes() for r in packed[:, : m // 8]], "f_add": add, "f_rescale": rescale, "f_error": error}
-        none = [None] * len(x)
-        out |= {"rest": none if raw else [r.tobytes() for r in packed[:, m // 8 :]], "raw": col["embedding"] if raw else none}
+        signs = np.packbits(bits, axis=1)
+        out = {n: col[n] for n in ("vec_id", "cid")}
+        out |= {"bits": bytes_of(signs[:, : m // 8]), "f_add": add, "f_rescale": rescale, "f_error": error}
+        none = pa.nulls(len(x), pa.binary())
+        out |= {"rest": none if raw else bytes_of(signs[:, m // 8 :]), "raw": col["embedding"] if raw else pa.nulls(len(x), pa.list_(pa.float32()))}
         if e:
             code, add, rescale = kernels.ex_codes(x, near, e, config.metric, scale)
-            out |= {"ex_code": [r.tobytes() for r in code.astype(np.uint8)], "f_add_ex": add, "f_rescale_ex": rescale}
+            out |= {"ex_code": bytes_of(kernels.pack_codes(code, e)), "f_add_ex": add, "f_rescale_ex": rescale}
         else:
-            out |= {"ex_code": none, "f_add_ex": none, "f_rescale_ex": none}
+            out |= {"ex_code": none, "f_add_ex": pa.nulls(len(x), pa.float64()), "f_rescale_ex": pa.nulls(len(x), pa.float64())}
         return out
 
-    ordered = centroid_order(assigned, cents, config.metric)
-    coded = map_arrow(ordered.select("vec_id", "cid", "pos", "embedding"), kernel, f"vec_id long,cid long,pos long,{RESIDENT},{PAYLOAD}")
+    rows = assigned.select(F.col("vec_id").cast("long"), F.col("cid").cast("long"), F.col("embedding").cast("array<float>"))
+    coded = map_arrow(rows, kernel, f"vec_id long,cid long,{RESIDENT},{PAYLOAD}")
+    at = places(rows, cents, config.metric).select("vec_id", "cid", "pos")
     per_read, pages = page_layout(config.record_bytes())
-    table = page_table(coded.groupBy("cid").agg(F.count("*").alias("n")), config.record_bytes()).select("cid", "first_page")
-    return coded.join(table, "cid").withColumn("page_id", F.col("first_page") + F.floor(F.col("pos") / per_read) * pages).drop("first_page")
+    table = page_table(rows.groupBy("cid").agg(F.count("*").alias("n")), config.record_bytes()).select("cid", "first_page")
+    return coded.join(at, ["vec_id", "cid"]).join(table, "cid").withColumn("page_id", F.col("first_page") + F.floor(F.col("pos") / per_read) * pages).drop("first_page")
+
+
+_PACKED = ["vec_id", "page_id", *[x.split()[0] for x in f"{RESIDENT},{PAYLOAD}".split(",")]]
+
+
+def to_blocks(postings: DataFrame, ranged: bool = False) -> DataFrame:
+    """Postings to blocks: a row for each BLOCK places of a cluster. What are blocks already stays as it is."""
+    if "block" in postings.columns:
+        return postings
+    return packed(postings.withColumn("block", F.floor(F.col("pos") / BLOCK)), ["cid", "block"], ["pos"], _PACKED, ranged)
 
 
 def fingerprint(cents: DataFrame) -> int:
@@ -90,21 +134,32 @@ def fingerprint(cents: DataFrame) -> int:
 
 
 def save(postings: DataFrame, cents: DataFrame, config: IndexConfig, path: str) -> None:
-    """Writes the tables; postings are range-partitioned and sorted by cid, so row groups prune by it without a file a cluster."""
-    postings.repartitionByRange("cid", "pos").sortWithinPartitions("cid", "pos").write.mode("overwrite").parquet(f"{path}/postings")
+    """Writes the tables; blocks are range-partitioned and sorted by cid, so row groups prune by it without a file a cluster."""
+    to_blocks(postings, ranged=True).write.option("parquet.block.size", ROW_GROUP).mode("overwrite").parquet(f"{path}/blocks")
     cents.write.mode("overwrite").parquet(f"{path}/centroids")
     meta = config.meta() | {"fingerprint": str(fingerprint(cents)), "clusters": cents.count()}
     postings.sparkSession.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
+ROW_GROUP = 16 << 20
+
+
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, IndexConfig]:
-    """Postings, centroids and configuration; refuses centroids that don't belong to the index."""
+    """Blocks, centroids and configuration; refuses centroids that don't belong to the index."""
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     cents = spark.read.parquet(f"{path}/centroids")
     if str(fingerprint(cents)) != meta["fingerprint"]:
         raise ValueError("the centroids aren't those of the index")
     config = IndexConfig(**{k: v for k, v in meta.items() if k in IndexConfig.__dataclass_fields__})
-    return spark.read.parquet(f"{path}/postings"), cents, config
+    pair(cents, config)
+    return spark.read.parquet(f"{path}/blocks"), cents, config
+
+
+def pair(vectors: DataFrame, config: IndexConfig, vec_col: str = "centroid") -> None:
+    """Refuses centroids or queries whose dimension isn't the index's."""
+    dims = vectors.select(F.min(F.size(vec_col)).alias("lo"), F.max(F.size(vec_col)).alias("hi")).first()
+    if dims["lo"] is not None and (dims["lo"] != config.dim or dims["hi"] != config.dim):
+        raise ValueError(f"vectors have {dims['lo']} to {dims['hi']} dimensions, the index has {config.dim}")
 
 
 def probes(queries: DataFrame, cents: DataFrame, nprobe: int) -> DataFrame:
@@ -115,123 +170,349 @@ def probes(queries: DataFrame, cents: DataFrame, nprobe: int) -> DataFrame:
         raise ValueError("there are no clusters to probe")
 
     def kernel(col: dict) -> dict:
-        d = np.sqrt(kernels.distances(matrix(col["v"]), c, "l2"))
-        best = np.argsort(d, axis=1, kind="stable")[:, :take]
-        n = len(d)
-        return {
-            "query_id": np.repeat(col["i"].to_numpy(), take), "rank": np.tile(np.arange(1, take + 1), n),
-            "cid": ids[best].ravel(), "dist": d[np.arange(n)[:, None], best].ravel(),
-        }
+        q = matrix(col["v"])
+        j, i, d = kernels.smallest(ids, c, q, take, "l2")
+        return {"query_id": col["i"].to_numpy()[j], "rank": np.tile(np.arange(1, take + 1), len(q)), "cid": ids[i], "dist": np.sqrt(d)}
 
     rows = queries.select(F.col("vec_id").cast("long").alias("i"), F.col("embedding").alias("v"))
     return map_arrow(rows, kernel, "query_id long,rank long,cid long,dist double")
 
 
-QUERY_BLOCK = 64
-
-
-def query_blocks(queries: DataFrame, found: DataFrame, extra: list[str] = []) -> DataFrame:  # noqa: B006
-    """(cid, qs): the queries that probe a cluster, about QUERY_BLOCK in a block, so that a hot cluster is many blocks."""
-    q = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
-    n = found.groupBy("cid").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("parts"))
-    numbered = found.join(n, "cid").withColumn("b", F.pmod(F.xxhash64("query_id"), F.col("parts"))).join(q, "query_id")
-    return numbered.groupBy("cid", "b").agg(F.array_sort(F.collect_list(F.struct("query_id", "v", *extra))).alias("qs")).drop("b")
-
-
-def posting_blocks(postings: DataFrame, columns: list[str], size: int = 512) -> DataFrame:
-    """(cid, xs): postings of a cluster in blocks of ``size`` by their place in it; only ``columns`` are read."""
-    rows = postings.select("cid", F.floor(F.col("pos") / size).alias("b"), F.struct("vec_id", *columns).alias("x"))
-    return rows.groupBy("cid", "b").agg(F.array_sort(F.collect_list("x")).alias("xs")).drop("b")
-
-
-def _pairs(qs: DataFrame, xs: DataFrame, kernel, schema: str) -> DataFrame:
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(batches):
-        for batch in batches:
-            for cid, q, x in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                found = kernel(cid.as_py(), q.as_py(), x.as_py())
-                if found is not None and len(found[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=names)
+@dataclass
+class Asked:
+    """A part of the queries and the clusters that they probe, as every task gets them."""
+
+    ids: np.ndarray
+    q: np.ndarray  # as given
+    cids: np.ndarray  # probed by any, sorted
+    starts: np.ndarray  # of each cid's stretch of ``rows``
+    rows: np.ndarray  # of ``ids``
+    centroids: np.ndarray  # of ``cids``
+    tau: np.ndarray | None = None
+    seeds: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] | None = None  # queries and places by cid and block
+
+    def of(self, cid: int) -> tuple[int, np.ndarray]:
+        """Place of a cluster and the queries that probe it."""
+        at = int(np.searchsorted(self.cids, cid))
+        if at == len(self.cids) or self.cids[at] != cid:
+            return -1, self.rows[:0]
+        return at, self.rows[self.starts[at] : self.starts[at + 1]]
+
+
+def only(cid: Column, cids: np.ndarray) -> Column:
+    """Is ``cid`` in the sorted ``cids``: by a few ranges, which reach the statistics of files, and by name if they aren't many."""
+    if not len(cids):
+        return F.lit(False)
+    gaps = np.diff(cids)
+    cuts = np.sort(np.argsort(-gaps, kind="stable")[: RANGES - 1])
+    cuts = cuts[gaps[cuts] > 1] + 1
+    within = None
+    for a, b in zip([0, *cuts], [*cuts, len(cids)], strict=True):
+        part = cid.between(int(cids[a]), int(cids[b - 1]))
+        within = part if within is None else within | part
+    return within & cid.isin([int(x) for x in cids]) if len(cids) <= LISTED else within
+
+
+def asked(queries: DataFrame, cents: DataFrame, options: SearchConfig, dim: int, config: IndexConfig | None = None, coarse=None) -> list[Asked]:
+    """The queries in bounded parts with their probes, by the coarse kind that the options ask for.
+
+    ``coarse`` is an index over the centroids that was built before; without it one is built where the kind asks for one.
+    """
+    kind = options.coarse_kind(cents.count())
+    if kind != "flat" and coarse is None:
+        from orrery.operators import coarse as two_level
+
+        coarse = two_level.build(cents, config or IndexConfig(dim))
+    found = []
+    for some in query_chunks(queries, 8 * dim + 24 * (options.k + options.nprobe)):
+        ids, q = local_rows(some)
+        if not len(ids):
+            continue
+        if kind == "flat":
+            near = probes(some, cents, options.nprobe)
+        else:
+            from orrery.operators import coarse as two_level
 
-    return qs.join(xs, "cid").select("cid", "qs", "xs").mapInArrow(run, schema)
+            near = two_level.probe(some, coarse, options.nprobe, options.irq_mode, options.irq_mult)
+        table = near.select("query_id", "cid").toArrow()
+        cid, row = table.column("cid").to_numpy(), np.searchsorted(ids, table.column("query_id").to_numpy())
+        least = np.bincount(row, minlength=len(ids)).min()
+        if least < 1:
+            raise ValueError("a query got no cluster to probe")
+        order = np.lexsort((row, cid))
+        cids, starts = np.unique(cid[order], return_index=True)
+        at, c = local_centroids(cents.where(only(F.col("cid"), cids)), QUERY_BYTES * 4)
+        found.append(Asked(ids, q, cids, np.append(starts, len(cid)), row[order], c[np.searchsorted(at, cids)]))
+    return found
 
 
 def search_raw(base: DataFrame, queries: DataFrame, cents: DataFrame, nprobe: int, k: int, metric: str = "l2") -> DataFrame:
-    """Exact distances to all members of the probed clusters; ``base`` is (vec_id, cid, embedding, pos)."""
-
-    def kernel(_cid, q, x):
-        d = kernels.distances(np.array([r["embedding"] for r in x], dtype=float), np.array([r["v"] for r in q]), metric)
-        from orrery.operators.knn import smallest
-
-        return smallest(np.array([r["vec_id"] for r in x]), d, np.array([r["query_id"] for r in q]), k)
+    """Exact distances to all members of the probed clusters; ``base`` is (vec_id, cid, embedding).
 
-    pairs = _pairs(query_blocks(queries, probes(queries, cents, nprobe)), posting_blocks(base, ["embedding"]), kernel, "query_id long, vec_id long, dist double")
-    return ranked(pairs, k)
+    Base rows are neither grouped nor shuffled: a task keeps each query's best of what it reads.
+    """
+    spark, hits = base.sparkSession, None
+    dim = queries.select(F.max(F.size("embedding"))).first()[0] or 1
+    for some in asked(queries, cents, SearchConfig(k=k, nprobe=nprobe, coarse="flat"), dim):
+        sent = spark.sparkContext.broadcast(some)
+
+        def run(batches, sent=sent):
+            a, best = sent.value, Best(k)
+            for batch in batches:
+                cid, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                x = matrix(batch.column(2)) if len(cid) else None
+                for one in np.unique(cid):
+                    rows = a.of(int(one))[1]
+                    here = np.flatnonzero(cid == one)
+                    if len(rows):
+                        j, i, d = kernels.smallest(ids[here], x[here], a.q[rows], k, metric)
+                        best.add(a.ids[rows[j]], d, ids[here[i]])
+            if found := best.take():
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[2]), pa.array(found[1])], names=["query_id", "vec_id", "dist"])
+
+        rows = base.where(only(F.col("cid"), some.cids)).select(F.col("cid").cast("long"), F.col("vec_id").cast("long"), "embedding")
+        part = rows.mapInArrow(run, "query_id long, vec_id long, dist double")
+        hits = part if hits is None else hits.unionByName(part)
+    return ranked(spark.createDataFrame([], "query_id long, vec_id long, dist double") if hits is None else hits, k)
+
+
+def _numbers(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
+    return batch.column(name)[row].values.to_numpy(zero_copy_only=False)
+
+
+def _bytes(batch: pa.RecordBatch, name: str, row: int, n: int) -> np.ndarray:
+    return np.frombuffer(batch.column(name)[row].as_buffer(), np.uint8).reshape(n, -1)
+
+
+class _Reader:
+    """Estimates and distances of a block's points to the queries that probe its cluster."""
+
+    def __init__(self, a: Asked, config: IndexConfig) -> None:
+        rotation = kernels.rotation_matrix(config.dim, config.seed)
+        self.a, self.config, self.turned, self.c = a, config, a.q @ rotation, a.centroids @ rotation
+
+    def resident(self, batch: pa.RecordBatch, row: int):
+        """Rows of the queries, then (points, queries) of estimates and lower bounds; None where no query probes the cluster."""
+        at, rows = self.a.of(batch.column("cid")[row].as_py())
+        if not len(rows):
+            return None
+        v, m = self.turned[rows], self.config.prefix
+        n = len(_numbers(batch, "f_add", row))
+        bits = np.unpackbits(_bytes(batch, "bits", row, n), axis=1)
+        terms = kernels.query_terms(v, self.c[at], self.config.metric)
+        factors = (_numbers(batch, x, row) for x in ("f_add", "f_rescale", "f_error"))
+        return (rows, *kernels.onebit_estimate(bits, *factors, v, *terms, m))
+
+    def payload(self, batch: pa.RecordBatch, row: int, points: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """Distances of pairs of a block's points and queries: exact, or from all bits."""
+        config = self.config
+        if config.store == "raw":
+            x = _numbers(batch, "raw", row).reshape(-1, config.dim).astype(float)
+            return kernels.paired(x[points], self.a.q[queries], config.metric)
+        at, _ = self.a.of(batch.column("cid")[row].as_py())
+        add = _numbers(batch, "f_add_ex", row)
+        n, e = len(add), config.ex_bits
+        signs = _bytes(batch, "bits", row, n)
+        if config.width > config.prefix:
+            signs = np.concatenate((signs, _bytes(batch, "rest", row, n)), axis=1)
+        used, own = np.unique(points, return_inverse=True)
+        code = kernels.unpack_codes(_bytes(batch, "ex_code", row, n)[used], config.width, e)
+        whole = np.unpackbits(signs[used], axis=1).astype(float) * (1 << e) + code
+        v = self.turned[queries]
+        q_add, _ = kernels.query_terms(v, self.c[at], config.metric)
+        dot = np.einsum("ij,ij->i", whole[own], v) - ((1 << (e + 1)) - 1) / 2 * v.sum(1)
+        return add[points] + q_add + _numbers(batch, "f_rescale_ex", row)[points] * dot
+
+
+_ESTIMATED = ["cid", "block", "vec_id", "page_id", "bits", "f_add", "f_rescale", "f_error"]
+_PAID = ["cid", "block", "vec_id", "bits", "rest", "ex_code", "f_add_ex", "f_rescale_ex"]
+
+
+def _payload_columns(config: IndexConfig) -> list[str]:
+    return ["cid", "block", "vec_id", "raw"] if config.store == "raw" else _PAID
 
 
 def estimates(postings: DataFrame, queries: DataFrame, cents: DataFrame, config: IndexConfig, nprobe: int, boosted: bool = False) -> DataFrame:
-    """(query_id, vec_id, cid, page_id, est, low[, dist]) of all probed points from their signs [and extra bits]."""
-    ids, c = local_centroids(cents)
-    rotation = kernels.rotation_matrix(config.dim, config.seed)
-    turned, at, m, e = c @ rotation, {int(i): n for n, i in enumerate(ids)}, config.prefix, config.ex_bits
-    columns = ["page_id", "bits", "f_add", "f_rescale", "f_error"] + (["rest", "ex_code", "f_add_ex", "f_rescale_ex"] if boosted else [])
-
-    def unpack(x, name):
-        return np.unpackbits(np.array([np.frombuffer(r[name], np.uint8) for r in x]).reshape(len(x), -1), axis=1)
-
-    def kernel(cid, q, x):
-        v = np.array([r["v"] for r in q]) @ rotation
-        q_add, q_err = kernels.query_terms(v, turned[at[cid]], config.metric)
-        bits = unpack(x, "bits")
-        col = lambda n: np.array([r[n] for r in x], dtype=float)
-        est, low = kernels.onebit_estimate(bits, col("f_add"), col("f_rescale"), col("f_error"), v, q_add, q_err, m)
-        n, nq = est.shape
-        flat = [np.tile([r["query_id"] for r in q], n), np.repeat([r["vec_id"] for r in x], nq), np.full(n * nq, cid), np.repeat([r["page_id"] for r in x], nq), est.ravel(), low.ravel()]
-        if boosted:
-            if config.width > m:
-                bits = np.concatenate((bits, unpack(x, "rest")), axis=1)
-            code = np.array([np.frombuffer(r["ex_code"], np.uint8) for r in x]).astype(float)
-            flat.append(kernels.ex_estimate(bits, code, col("f_add_ex"), col("f_rescale_ex"), v, q_add, e).ravel())
-        return flat
+    """(query_id, vec_id, cid, page_id, est, low[, dist]) of all probed points from their signs [and extra bits or vectors].
 
+    A row for every candidate: for measuring bounds, not for searching.
+    """
+    out = None
+    columns = list(dict.fromkeys([*_ESTIMATED, *(_payload_columns(config) if boosted else [])]))
+    table = to_blocks(postings)
     schema = "query_id long, vec_id long, cid long, page_id long, est double, low double" + (", dist double" if boosted else "")
-    return _pairs(query_blocks(queries, probes(queries, cents, nprobe)), posting_blocks(postings, columns), kernel, schema)
-
-
-def search(postings: DataFrame, queries: DataFrame, cents: DataFrame, config: IndexConfig, options: SearchConfig) -> DataFrame:
+    for some in asked(queries, cents, SearchConfig(k=1, nprobe=nprobe, coarse="flat"), config.dim):
+        sent = table.sparkSession.sparkContext.broadcast(some)
+
+        def run(batches, sent=sent):
+            reader = _Reader(sent.value, config)
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    got = reader.resident(batch, row)
+                    if got is None:
+                        continue
+                    rows, est, low = got
+                    n, nq = est.shape
+                    i, j = np.repeat(np.arange(n), nq), np.tile(np.arange(nq), n)
+                    flat = [reader.a.ids[rows[j]], _numbers(batch, "vec_id", row)[i], np.full(n * nq, batch.column("cid")[row].as_py()), _numbers(batch, "page_id", row)[i], est.ravel(), low.ravel()]
+                    if boosted:
+                        flat.append(reader.payload(batch, row, i, rows[j]))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], names=[x.split()[0] for x in schema.split(", ")])
+
+        part = table.where(only(F.col("cid"), some.cids)).select(columns).mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return table.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def search(postings: DataFrame, queries: DataFrame, cents: DataFrame, config: IndexConfig, options: SearchConfig, coarse=None) -> DataFrame:
     """(query_id, rank, vec_id, dist): two-round pruned search.
 
     The k points of smallest estimate are examined first; the k-th of their distances bounds what else is examined:
     exactly the probed points whose lower bound doesn't exceed it. With ``drain_alpha`` below 1 the bound for the rest is
     the distance at rank round(alpha * k). Results don't depend on timing; ties go to the smaller id.
     """
-    hits, _ = examined(postings, queries, cents, config, options)
+    hits, _ = examined(postings, queries, cents, config, options, coarse)
     return ranked(hits, options.k)
 
 
-def examined(postings: DataFrame, queries: DataFrame, cents: DataFrame, config: IndexConfig, options: SearchConfig) -> tuple[DataFrame, DataFrame]:
-    """(query_id, vec_id, dist) of what a search examines, and all candidates with a mark ``kept``."""
-    boosted = config.ex_bits > 0
-    rows = estimates(postings, queries, cents, config, options.nprobe, boosted)
-    if config.store == "raw":
-        qv = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
-        rows = rows.join(postings.select("vec_id", "raw"), "vec_id").join(qv, "query_id")
-        from orrery.operators.knn import dot, l2_squared
+def _seeds(table: DataFrame, some: Asked, config: IndexConfig, k: int) -> pa.Table:
+    """Each query's k points of smallest estimate, with their places: bounded by the part's queries."""
+    sent = table.sparkSession.sparkContext.broadcast(some)
 
-        rows = rows.withColumn("dist", l2_squared(F.col("raw"), F.col("q")) if config.metric == "l2" else 1 - dot(F.col("raw"), F.col("q"))).drop("raw", "q")
-    elif not boosted:
-        rows = rows.withColumn("dist", F.col("est"))
+    def run(batches):
+        reader, best = _Reader(sent.value, config), Best(k)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                got = reader.resident(batch, row)
+                if got is None:
+                    continue
+                rows, est, _ = got
+                if len(est) > k:
+                    i, j = np.nonzero(est <= np.partition(est, k - 1, axis=0)[k - 1])
+                else:
+                    i, j = (x.ravel() for x in np.indices(est.shape))
+                same = lambda name, row=row, i=i, batch=batch: np.full(len(i), batch.column(name)[row].as_py())
+                best.add(rows[j], est[i, j], _numbers(batch, "vec_id", row)[i], same("cid"), same("block"), i)
+        if found := best.take():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["q", "dist", "vec_id", "cid", "block", "place"])
+
+    found = table.where(only(F.col("cid"), some.cids)).select([x for x in _ESTIMATED if x != "page_id"]).mapInArrow(run, "q long, dist double, vec_id long, cid long, block long, place long")
+    order = Window.partitionBy("q").orderBy("dist", "vec_id")
+    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("q", "cid", "block", "place").toArrow()
+
+
+def _paid(table: DataFrame, pairs: DataFrame, sent, config: IndexConfig, best: int | None, cids: np.ndarray) -> DataFrame:
+    """(q, vec_id, dist) of pairs (q, cid, block, place), from the payload of their blocks; each task's ``best`` if given."""
+    lists_ = packed(pairs, ["cid", "block"], ["q", "place"], ["q", "place"])
+    columns = _payload_columns(config)
+    both = table.where(only(F.col("cid"), cids)).select(columns).join(lists_, ["cid", "block"])
+
+    def run(batches):
+        reader, kept = _Reader(sent.value, config), Best(best or 1)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                q, place = _numbers(batch, "q", row), _numbers(batch, "place", row)
+                found = (q, reader.payload(batch, row, place, q), _numbers(batch, "vec_id", row)[place])
+                if best:
+                    kept.add(*found)
+                else:
+                    yield _hits(found)
+        if best and (found := kept.take()):
+            yield _hits(found)
+
+    return both.mapInArrow(run, "q long, vec_id long, dist double")
+
+
+def _hits(found: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[2]), pa.array(found[1])], names=["q", "vec_id", "dist"])
+
+
+def _threshold(table: DataFrame, some: Asked, config: IndexConfig, options: SearchConfig) -> None:
+    """Sets the part's seeds and tau, per query the distance at rank round(alpha * k) of its seeds; infinite if the probed
+    clusters hold fewer than k."""
+    spark, k = table.sparkSession, options.k
+    seeds = _seeds(table, some, config, k)
+    q, cid, block, place = (seeds.column(x).to_numpy() for x in ("q", "cid", "block", "place"))
+    order = np.lexsort((block, cid))
+    cuts = np.flatnonzero((np.diff(cid[order]) != 0) | (np.diff(block[order]) != 0)) + 1
+    some.seeds = {(int(cid[at[0]]), int(block[at[0]])): (q[at], place[at]) for at in np.split(order, cuts) if len(at)}
+    paid = _paid(table, spark.createDataFrame(seeds), spark.sparkContext.broadcast(some), config, None, np.unique(cid)).toArrow()
+    q, d = paid.column("q").to_numpy(), paid.column("dist").to_numpy()
+    rank = min(max(int(options.drain_alpha * k + 0.5), 1), k)
+    order = np.lexsort((d, q))
+    q, d = q[order], d[order]
+    at = np.arange(len(q)) - np.searchsorted(q, q) == rank - 1
+    some.tau = np.full(len(some.ids), np.inf)
+    some.tau[q[at]] = np.where(np.bincount(q, minlength=len(some.ids))[q[at]] >= k, d[at], np.inf)
+
+
+def _survivors(table: DataFrame, some: Asked, sent, config: IndexConfig) -> DataFrame:
+    """(q, cid, block, place, vec_id, page_id, low): seeds, and points whose lower bound doesn't exceed their query's threshold."""
+
+    def run(batches):
+        reader = _Reader(sent.value, config)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                got = reader.resident(batch, row)
+                if got is None:
+                    continue
+                rows, _, low = got
+                here = [batch.column(x)[row].as_py() for x in ("cid", "block")]
+                keep = low <= reader.a.tau[rows]
+                if seeds := reader.a.seeds.get(tuple(here)):
+                    keep[seeds[1], np.searchsorted(rows, seeds[0])] = True
+                i, j = np.nonzero(keep)
+                if len(i):
+                    same = [np.full(len(i), x) for x in here]
+                    made = [rows[j], *same, i, _numbers(batch, "vec_id", row)[i], _numbers(batch, "page_id", row)[i], low[i, j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["q", "cid", "block", "place", "vec_id", "page_id", "low"])
+
+    rows = table.where(only(F.col("cid"), some.cids)).select(_ESTIMATED)
+    return rows.mapInArrow(run, "q long, cid long, block long, place long, vec_id long, page_id long, low double")
+
+
+def examined(postings: DataFrame, queries: DataFrame, cents: DataFrame, config: IndexConfig, options: SearchConfig, coarse=None) -> tuple[DataFrame, DataFrame]:
+    """(query_id, vec_id, dist) of what can enter the result, and (query_id, vec_id, cid, page_id, low) of the survivors."""
+    pair(queries, config, "embedding")
+    spark = postings.sparkSession
+    if not config.ex_bits and config.store != "raw":
+        return _by_estimates(postings, queries, cents, config, options)
+    table = postings if "block" in postings.columns else durable(to_blocks(postings))
+    hits, kept = None, None
+    for some in asked(queries, cents, options, config.dim, config, coarse):
+        _threshold(table, some, config, options)
+        sent = spark.sparkContext.broadcast(some)
+        left = durable(_survivors(table, some, sent, config))
+        names = spark.createDataFrame(pa.table({"q": np.arange(len(some.ids)), "query_id": some.ids}))
+        paid = _paid(table, left.select("q", "cid", "block", "place"), sent, config, options.k, some.cids)
+        a, b = paid.join(F.broadcast(names), "q").drop("q"), left.join(F.broadcast(names), "q").select("query_id", "vec_id", "cid", "page_id", "low")
+        hits, kept = (a, b) if hits is None else (hits.unionByName(a), kept.unionByName(b))
+    if hits is None:
+        return spark.createDataFrame([], "vec_id long, dist double, query_id long"), spark.createDataFrame([], "query_id long, vec_id long, cid long, page_id long, low double")
+    return hits, kept
+
+
+def _by_estimates(postings, queries, cents, config, options) -> tuple[DataFrame, DataFrame]:
+    """One bit and nothing to re-rank by: the estimates are the distances."""
+    rows = estimates(postings, queries, cents, config, options.nprobe)
+    return rows.select("query_id", "vec_id", F.col("est").alias("dist")), rows.drop("est")
+
+
+def marks(postings: DataFrame, queries: DataFrame, cents: DataFrame, config: IndexConfig, options: SearchConfig) -> DataFrame:
+    """Every candidate of a search (query_id, vec_id, cid, page_id, est, low, dist) with a mark ``kept``: was it examined.
+
+    A row for every candidate, for measuring: seeds and survivors are found by windows over all of them.
+    """
+    rows = durable(estimates(postings, queries, cents, config, options.nprobe, boosted=True))
     k = options.k
     rank = min(max(int(options.drain_alpha * k + 0.5), 1), k)
-    of = Window.partitionBy("query_id")  # the windows share one shuffle, and the estimates are computed once
+    of = Window.partitionBy("query_id")
     seeded = rows.withColumn("seed", F.row_number().over(of.orderBy("est", "vec_id")) <= k)
     placed = seeded.withColumn("place", F.row_number().over(of.orderBy(~F.col("seed"), "dist", "vec_id")))
     short = F.sum(F.col("seed").cast("int")).over(of) < k
     edge = F.max(F.when(F.col("seed") & (F.col("place") == rank), F.col("dist"))).over(of)
     marked = placed.withColumn("tau", F.when(short, F.lit(float("inf"))).otherwise(edge))
-    marked = marked.withColumn("kept", F.col("seed") | (F.col("low") <= F.col("tau"))).drop("seed", "place")
-    return marked.where("kept").select("query_id", "vec_id", "dist"), marked
+    return marked.withColumn("kept", F.col("seed") | (F.col("low") <= F.col("tau"))).drop("seed", "place")
 
 
 def counters(marked: DataFrame) -> DataFrame:
@@ -244,9 +525,9 @@ def counters(marked: DataFrame) -> DataFrame:
     )
 
 
-def page_candidates(marked: DataFrame) -> DataFrame:
-    """(query_id, page_id, page_low, n): pages that a query would read, by the smallest bound on them."""
-    return marked.where("kept").groupBy("query_id", "page_id").agg(F.min("low").alias("page_low"), F.count("*").alias("n"))
+def page_candidates(kept: DataFrame) -> DataFrame:
+    """(query_id, page_id, page_low, n): pages that a query reads for the points it examines, by the smallest bound on them."""
+    return kept.groupBy("query_id", "page_id").agg(F.min("low").alias("page_low"), F.count("*").alias("n"))
 
 
-__all__ = ["build", "search", "search_raw", "estimates", "probes", "save", "load", "lists"]
+__all__ = ["build", "estimates", "lists", "load", "probes", "save", "search", "search_raw"]

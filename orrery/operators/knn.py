@@ -9,18 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.functions import kernels
-from orrery.operators.blocks import blocks
+from orrery.operators.blocks import Best, local_rows, matrix, query_chunks
 
 HIT = "query_id long, vec_id long, dist double"
 
 
-def smallest(ids: np.ndarray, dist: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of (points, queries) distances each query's k smallest by (distance, id), as flat columns."""
-    order = np.lexsort((np.broadcast_to(ids[:, None], dist.shape), dist), axis=0)[:k]
-    cols = np.arange(dist.shape[1])
-    return np.broadcast_to(queries, order.shape).T.ravel(), ids[order].T.ravel(), dist[order, cols].T.ravel()
-
-
 def ranked(hits: DataFrame, k: int, by: str = "dist") -> DataFrame:
     """(query_id, rank, vec_id, dist): each query's k best; the limit is applied before and after the shuffle."""
     order = Window.partitionBy("query_id").orderBy(by, "vec_id")
@@ -31,18 +24,29 @@ def ranked(hits: DataFrame, k: int, by: str = "dist") -> DataFrame:
 def exact_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Each query's k nearest base vectors: (query_id, rank, vec_id, dist), ties by id.
 
-    Blocks of queries meet blocks of points; each pair of blocks gives only its own top k.
+    Queries go to the tasks in parts of bounded size, one pass over the base vectors for each; a task keeps its k best.
     """
-    pairs = blocks(base, id_col, vec_col, "x").join(blocks(queries, id_col, vec_col, "q"))
-
-    def run(batches):
-        for batch in batches:
-            for xi, xv, qi, qv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, q = (np.frombuffer(v).reshape(len(i), -1) for i, v in ((xi, xv), (qi, qv)))
-                found = smallest(np.array(xi), kernels.distances(x, q, metric), np.array(qi), k)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "dist"])
-
-    return ranked(pairs.mapInArrow(run, HIT), k)
+    spark, hits = base.sparkSession, None
+    dim = (queries.select(F.max(F.size(vec_col))).first()[0] or 1) + 4 * k
+    rows = base.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v"))
+    for some in query_chunks(queries, 8 * dim, id_col):
+        sent = spark.sparkContext.broadcast(local_rows(some, id_col, vec_col))
+
+        def run(batches, sent=sent):
+            qid, q = sent.value
+            best = Best(k)
+            for batch in batches:
+                for at in range(0, batch.num_rows if len(q) else 0, kernels.TILE):
+                    part = batch.slice(at, kernels.TILE)
+                    ids = part.column(0).to_numpy()
+                    j, i, d = kernels.smallest(ids, matrix(part.column(1)), q, k, metric)
+                    best.add(qid[j], d, ids[i])
+            if found := best.take():
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[2]), pa.array(found[1])], names=["query_id", "vec_id", "dist"])
+
+        part = rows.mapInArrow(run, HIT)
+        hits = part if hits is None else hits.unionByName(part)
+    return ranked(hits, k)
 
 
 # --- vectors in expressions
@@ -95,10 +99,11 @@ def tie_windows(truth: DataFrame, k: int) -> DataFrame:
 
 
 def ascending(truth: DataFrame, slack: float = 1e-6) -> DataFrame:
-    """(bad_rows, worst_drop): queries whose distances fall by more than ``slack`` somewhere."""
+    """(bad_rows, worst_drop, example): queries whose distances fall by more than ``slack`` somewhere, the smallest of them."""
     step = F.col("dist") - F.lag("dist").over(Window.partitionBy("query_id").orderBy("rank"))
     per = truth.withColumn("step", step).groupBy("query_id").agg(F.min("step").alias("low"))
-    return per.agg(F.sum((F.coalesce("low", F.lit(0.0)) < -slack).cast("long")).alias("bad_rows"), F.least(F.min("low"), F.lit(0.0)).alias("worst_drop"))
+    bad = F.coalesce("low", F.lit(0.0)) < -slack
+    return per.agg(F.sum(bad.cast("long")).alias("bad_rows"), F.least(F.min("low"), F.lit(0.0)).alias("worst_drop"), F.min(F.when(bad, F.col("query_id"))).alias("example"))
 
 
 def tie_stats(truth: DataFrame) -> DataFrame:
@@ -113,18 +118,37 @@ def tie_groups(truth: DataFrame, base: DataFrame, queries: DataFrame, k: int) ->
     """Per query: base vectors closer than its k-th neighbour, tied with it (as floats), and the depth that shows all."""
     edge = truth.where(F.col("rank") == k).select("query_id", F.col("dist").cast("float").alias("edge"))
     vector = F.concat(F.col("embedding").cast("array<double>"), F.array(F.col("edge").cast("double")))
-    q = queries.select(F.col("vec_id").alias("query_id"), "embedding").join(edge, "query_id").select(F.col("query_id").alias("vec_id"), vector.alias("v"))
-    pairs = blocks(base, "vec_id", "embedding", "x").join(blocks(q, "vec_id", "v", "q"))
-
-    def run(batches):
-        for batch in batches:
-            for xi, xv, qi, qv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = (np.frombuffer(v).reshape(len(i), -1) for i, v in ((xi, xv), (qi, qv)))
-                d, last = kernels.distances(x, y[:, :-1], "l2").astype(np.float32), y[:, -1].astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(qi, pa.int64()), pa.array((d < last).sum(0)), pa.array((d == last).sum(0))], names=["query_id", "closer", "tied"])
-
-    counts = pairs.mapInArrow(run, "query_id long, closer long, tied long").groupBy("query_id").agg(F.sum("closer").alias("closer"), F.sum("tied").alias("tied"))
-    return counts.withColumn("depth_needed", F.col("closer") + F.col("tied"))
+    asked = queries.select(F.col("vec_id").alias("query_id"), "embedding").join(edge, "query_id").select(F.col("query_id").alias("vec_id"), vector.alias("v"))
+    spark, counts = base.sparkSession, None
+    dim = asked.select(F.max(F.size("v"))).first()[0] or 1
+    for some in query_chunks(asked, 8 * dim):
+        sent = spark.sparkContext.broadcast(local_rows(some, "vec_id", "v"))
+
+        def run(batches, sent=sent):
+            qid, q = sent.value
+            closer, tied = np.zeros(len(qid), dtype=np.int64), np.zeros(len(qid), dtype=np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows if len(q) else 0, kernels.TILE):
+                    a, b = _against(matrix(batch.slice(at, kernels.TILE).column(0)), q[:, :-1], q[:, -1])
+                    closer, tied = closer + a, tied + b
+            if len(qid):
+                yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(closer), pa.array(tied)], names=["query_id", "closer", "tied"])
+
+        part = base.select("embedding").mapInArrow(run, "query_id long, closer long, tied long")
+        counts = part if counts is None else counts.unionByName(part)
+    summed = counts.groupBy("query_id").agg(F.sum("closer").alias("closer"), F.sum("tied").alias("tied"))
+    return summed.withColumn("depth_needed", F.col("closer") + F.col("tied"))
+
+
+def _against(x: np.ndarray, q: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per query: vectors closer than its edge, and at it, as floats; those near the edge are compared exactly."""
+    d, last = kernels.distances(x, q, "l2"), edge.astype(np.float32)
+    near = np.abs(d - edge) <= 1e-6 * (1 + np.abs(edge)) + kernels.slack(x, q)
+    closer = ((d < edge) & ~near).sum(0)
+    i, j = np.nonzero(near)
+    exact = kernels.paired(x[i], q[j], "l2").astype(np.float32)
+    add = lambda hit: np.bincount(j[hit], minlength=len(q))
+    return closer + add(exact < last[j]), add(exact == last[j])
 
 
 def verdict(truth: DataFrame, k: int) -> DataFrame:
@@ -141,3 +165,24 @@ def distance_ratio(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     both = found.where(F.col("rank") <= k).select("query_id", "rank", F.col("dist").alias("ann")).join(truth.select("query_id", "rank", F.col("dist").alias("gt")), ["query_id", "rank"])
     good = both.where("gt > 1e-5")
     return good.groupBy("query_id").agg((F.sum(F.sqrt(F.col("ann") / F.col("gt"))) * k / F.count("*")).alias("ratio"))
+
+
+def in_range(truth: DataFrame, rows: int) -> DataFrame:
+    """The ground truth, unless it names ids that a base of ``rows`` vectors doesn't have: that stops the run."""
+    bad = truth.where((F.col("vec_id") < 0) | (F.col("vec_id") >= rows))
+    found = bad.agg(F.count("*").alias("n"), F.max("vec_id").alias("top")).first()
+    if found["n"]:
+        raise ValueError(f"{found['n']} ids of the ground truth are not among the {rows} base vectors, {found['top']} for one")
+    return truth
+
+
+def margins(truth: DataFrame, base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Per query: distance at rank k, the gap to the next (null if none is listed), and the floor below which a gap may be
+    rounding where squared distances come from norms and a product in single precision; ``unsafe`` if it is below."""
+    edge = truth.groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("dist"))).alias("edge"), F.max(F.when(F.col("rank") == k + 1, F.col("dist"))).alias("after"))
+    last = truth.where(F.col("rank") == k).select("query_id", "vec_id")
+    size = lambda df, name, out: df.select(F.col("vec_id").alias(name), dot(F.col("embedding"), F.col("embedding")).alias(out))
+    rows = edge.join(last, "query_id").join(size(queries, "query_id", "qn"), "query_id").join(size(base, "vec_id", "xn"), "vec_id")
+    gap = F.col("after") - F.col("edge")
+    floor = (F.col("qn") + F.col("xn")) * F.lit(2.0**-23)
+    return rows.select("query_id", "edge", gap.alias("gap"), floor.alias("floor"), F.coalesce(gap < floor, F.lit(False)).alias("unsafe"))

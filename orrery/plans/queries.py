@@ -503,12 +503,18 @@ PRUNED = ESTIMATED.rstrip() + ",\n" + PRUNE + "\n"
 
 def _examined(spark, sf_dir, alpha=1.0):
     base, cents, config, postings = _postings(spark, sf_dir, store="raw")
-    return index.examined(postings, asked(base), cents, config, SearchConfig(k=K, nprobe=3, drain_alpha=alpha))
+    options = SearchConfig(k=K, nprobe=3, drain_alpha=alpha)
+    return index.examined(postings, asked(base), cents, config, options)
+
+
+def _marks(spark, sf_dir, alpha=1.0):
+    base, cents, config, postings = _postings(spark, sf_dir, store="raw")
+    return index.marks(postings, asked(base), cents, config, SearchConfig(k=K, nprobe=3, drain_alpha=alpha))
 
 
 @query(PRUNED + "SELECT query_id, vec_id, kept FROM mk")
 def lower_bound_prune(spark, sf_dir):
-    return _examined(spark, sf_dir)[1].select("query_id", "vec_id", "kept")
+    return _marks(spark, sf_dir).select("query_id", "vec_id", "kept")
 
 
 @query(
@@ -527,7 +533,7 @@ def rq_search_raw(spark, sf_dir):
 )
 def drain_threshold(spark, sf_dir):
     """With alpha 0.4 the bound is the fourth smallest seed distance."""
-    return index.counters(_examined(spark, sf_dir, 0.4)[1]).select("query_id", "records")
+    return index.counters(_marks(spark, sf_dir, 0.4)).select("query_id", "records")
 
 
 PAGED = PRUNED.rstrip() + ",\n" + PAGES + ",\n" + ORDER + ",\npg AS (SELECT mk.*, first_page + pos // 16 AS page_id FROM mk JOIN o USING (vec_id) JOIN f ON f.cid = mk.cid)\n"
@@ -540,7 +546,7 @@ def page_candidates(spark, sf_dir):
 
 @query(PAGED + "SELECT query_id, count(DISTINCT cid) AS clusters, count(*) AS candidates, count(*) FILTER (kept) AS records, count(DISTINCT page_id) FILTER (kept) AS pages FROM pg GROUP BY query_id")
 def io_accounting(spark, sf_dir):
-    return index.counters(_examined(spark, sf_dir)[1])
+    return index.counters(_marks(spark, sf_dir))
 
 
 # --- extra bits (four of them, so that SQL can follow)
@@ -579,7 +585,7 @@ def exbits_rescale_t(spark, sf_dir):
     return rounded(map_arrow(labelled(base), kernel, "vec_id long,t double"), "t")
 
 
-@query(with_(RESID, UNIT, SCALE, EXCODE) + "SELECT id AS vec_id, string_agg(printf('%02X', code), '' ORDER BY j) AS code FROM ec GROUP BY id")
+@query(with_(RESID, UNIT, SCALE, EXCODE) + "SELECT id AS vec_id, string_agg(printf('%X', code), '' ORDER BY j) AS code FROM ec GROUP BY id")
 def exbits_code(spark, sf_dir):
     return _postings(spark, sf_dir, bits=5)[3].select("vec_id", F.hex("ex_code").alias("code"))
 
@@ -696,17 +702,48 @@ def tie_stats(spark, sf_dir):
     return knn.tie_stats(_truth(spark, sf_dir, twice=True))
 
 
+#: Ground truth with planted faults: every third query has two ranks swapped, every seventh lists an id twice.
+FAULTY = """g AS (SELECT query_id, rank, CASE WHEN query_id % 7 = 0 AND rank = 4 THEN lag(vec_id) OVER w ELSE vec_id END AS vec_id,
+    CASE WHEN query_id % 3 = 0 AND rank = 6 THEN dist - 0.5 ELSE dist END AS dist FROM k WINDOW w AS (PARTITION BY query_id ORDER BY rank))"""
+
+
+def _faulty(truth):
+    by = Window.partitionBy("query_id").orderBy("rank")
+    twice = F.when((F.col("query_id") % 7 == 0) & (F.col("rank") == 4), F.lag("vec_id").over(by)).otherwise(F.col("vec_id"))
+    fall = F.when((F.col("query_id") % 3 == 0) & (F.col("rank") == 6), F.col("dist") - 0.5).otherwise(F.col("dist"))
+    return truth.select("query_id", "rank", twice.alias("vec_id"), fall.alias("dist"))
+
+
 @query(
-    with_(B, Q, KNN)
-    + """SELECT count(*) FILTER (low < -1e-6) AS bad_rows, least(min(low), 0.0) AS worst_drop FROM (SELECT query_id, min(step) AS low FROM
-         (SELECT query_id, dist - lag(dist) OVER (PARTITION BY query_id ORDER BY rank) AS step FROM k) GROUP BY query_id)"""
+    with_(B, Q, TWICE, TKNN, FAULTY)
+    + """SELECT query_id, count(DISTINCT dist) AS distinct_dists, max(run) AS longest_run, sum(run)::BIGINT - max(ids) AS duplicate_ids
+         FROM (SELECT query_id, dist, count(*) AS run FROM g GROUP BY query_id, dist) JOIN (SELECT query_id, count(DISTINCT vec_id) AS ids FROM g GROUP BY query_id) USING (query_id) GROUP BY query_id"""
 )
+def tie_stats(spark, sf_dir):
+    return knn.tie_stats(_faulty(_truth(spark, sf_dir, twice=True)))
+
+
+FALLS = """fa AS (SELECT query_id, min(step) AS low FROM (SELECT query_id, dist - lag(dist) OVER (PARTITION BY query_id ORDER BY rank) AS step FROM g) GROUP BY query_id)"""
+
+
+@query(with_(B, Q, KNN, FAULTY, FALLS) + f"SELECT count(*) FILTER (low < -1e-6) AS bad_rows, {r6('least(min(low), 0.0)')} AS worst_drop, min(query_id) FILTER (low < -1e-6) AS example FROM fa")
 def gt_ascending(spark, sf_dir):
-    return knn.ascending(_truth(spark, sf_dir))
+    return rounded(knn.ascending(_faulty(_truth(spark, sf_dir))), "worst_drop")
 
 
-@query(with_(B, Q, TWICE, TKNN) + "SELECT 'ok' AS status, 0::BIGINT AS bad_rows, (SELECT count(*) FROM (SELECT query_id FROM k GROUP BY query_id HAVING max(dist) = max(dist) FILTER (rank = 5))) AS saturated, 0::BIGINT AS duplicates")
+VERDICT = """SELECT CASE WHEN bad_rows > 0 OR duplicates > 0 THEN 'fail' WHEN saturated > 0 THEN 'warn' ELSE 'ok' END AS status, bad_rows, saturated, duplicates FROM
+    (SELECT (SELECT count(*) FROM fa WHERE low < -1e-6) AS bad_rows,
+            (SELECT count(*) FROM (SELECT query_id FROM g GROUP BY query_id HAVING max(dist) FILTER (rank = 10) = max(dist) FILTER (rank = 5))) AS saturated,
+            (SELECT count(*) - count(DISTINCT (query_id, vec_id)) FROM g) AS duplicates)"""
+
+
+@query(with_(B, Q, TWICE, TKNN, FAULTY, FALLS) + VERDICT)
 def gt_verdict(spark, sf_dir):
+    return knn.verdict(_faulty(_truth(spark, sf_dir, twice=True)), 5)
+
+
+@query(with_(B, Q, TWICE, TKNN, "g AS (SELECT * FROM k)", FALLS) + VERDICT)
+def gt_verdict_sound(spark, sf_dir):
     return knn.verdict(_truth(spark, sf_dir, twice=True), 5)
 
 
@@ -787,7 +824,7 @@ def op_points_first_reach(spark, sf_dir):
 
 @query(PAGED + f"SELECT count(DISTINCT query_id) AS queries, {r6('count(*) FILTER (kept) / count(*)')} AS examined_share, {r6('count(*) FILTER (kept) / count(DISTINCT (query_id, page_id)) FILTER (kept)')} AS records_per_page, {r6('count(*) / count(DISTINCT (query_id, cid))')} AS candidates_per_cluster FROM pg")
 def scan_ratios(spark, sf_dir):
-    rows = evaluate.scan_ratios(index.counters(_examined(spark, sf_dir)[1]))
+    rows = evaluate.scan_ratios(index.counters(_marks(spark, sf_dir)))
     return rounded(rows, "examined_share", "records_per_page", "candidates_per_cluster")
 
 

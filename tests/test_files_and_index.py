@@ -59,11 +59,11 @@ def test_save_load_search(spark, data, tmp_path, metric, memdim):
     cents = clustering.kmeans(data, 5, 4)
     placed = clustering.assign(data, cents).join(data, "vec_id")
     index.save(index.build(placed, cents, config), cents, config, str(tmp_path / "i"))
-    postings, c, got = index.load(spark, str(tmp_path / "i"))
-    assert got == config and postings.count() == 300
+    blocks, c, got = index.load(spark, str(tmp_path / "i"))
+    assert got == config and sum(len(r["vec_id"]) for r in blocks.select("vec_id").collect()) == 300
     q = data.where("vec_id < 10")
     truth = knn.exact_knn(data, q, 10, metric)
-    r = knn.recall(index.search(postings, q, c, got, SearchConfig(k=10, nprobe=5)), truth, 10).first()["recall"]
+    r = knn.recall(index.search(blocks, q, c, got, SearchConfig(k=10, nprobe=5)), truth, 10).first()["recall"]
     assert r >= 0.9
     spark.read.parquet(str(tmp_path / "i/centroids")).withColumn("centroid", F.transform("centroid", lambda x: x + 1)).write.parquet(str(tmp_path / "c"))
     spark.read.parquet(str(tmp_path / "c")).write.mode("overwrite").parquet(str(tmp_path / "i/centroids"))
@@ -108,3 +108,89 @@ def test_pipeline_and_serving(spark, data, tmp_path):
 
 def test_ladder():
     assert evaluate.ladder(10, 10, 100) == [1, 2, 3, 4, 6, 8, 10] and evaluate.ladder(10, 1, 5) == [1]
+
+
+def _scans(df):
+    """Of the plan's file scans: pushed filters and columns read."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x]
+
+
+def test_search_reads_what_is_probed(spark, data, tmp_path):
+    """One probe reads the row groups of its cluster, and resident columns only until seeds and survivors are known."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    config = IndexConfig(128, store="raw", seed=3)
+    cents = clustering.kmeans(data, 8, 3)
+    placed = clustering.assign(data, cents).join(data, "vec_id")
+    index.save(index.build(placed, cents, config), cents, config, str(tmp_path / "i"))
+    blocks, c, config = index.load(spark, str(tmp_path / "i"))
+    q = data.where("vec_id = 7")
+    (some,) = index.asked(q, c, SearchConfig(k=5, nprobe=1), 128)
+    assert len(some.cids) == 1 and len(some.centroids) == 1
+    index._threshold(blocks, some, config, SearchConfig(k=5, nprobe=1))
+    sent = spark.sparkContext.broadcast(some)
+    left = index._survivors(blocks, some, sent, config)
+    (scan,) = _scans(left)
+    assert f"EqualTo(cid,{some.cids[0]})" in scan or f"GreaterThanOrEqual(cid,{some.cids[0]})" in scan
+    assert "raw" not in scan.split("ReadSchema")[1] and "ex_code" not in scan.split("ReadSchema")[1]
+    paid = index._paid(blocks, left.select("q", "cid", "block", "place"), sent, config, 5, some.cids)
+    assert any("raw" in x.split("ReadSchema")[1] and "cid" in x.split("PushedFilters")[1] for x in _scans(paid))
+    members = placed.where(F.col("cid") == int(some.cids[0])).select("vec_id", "embedding")
+    truth = knn.exact_knn(members, q, 5)
+    got = index.search(blocks, q, c, config, SearchConfig(k=5, nprobe=1))
+    assert [tuple(r)[:3] for r in got.orderBy("rank").collect()] == [tuple(r)[:3] for r in truth.orderBy("rank").collect()]
+
+
+@pytest.mark.parametrize("kind", ["irq", "hnsw"])
+def test_coarse_choice(spark, data, kind):
+    config = IndexConfig(128, inner_size=4, seed=2)
+    cents = clustering.kmeans(data, 12, 3)
+    postings = index.build(clustering.assign(data, cents).join(data, "vec_id"), cents, config)
+    q = data.where("vec_id < 12")
+    flat = index.search(postings, q, cents, config, SearchConfig(k=5, nprobe=12))
+    other = index.search(postings, q, cents, config, SearchConfig(k=5, nprobe=12, coarse=kind, irq_mode="full"))
+    assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, other.collect()))
+    with pytest.raises(ValueError, match="too few"):
+        index.search(postings, q, cents, config, SearchConfig(k=5, nprobe=12, coarse=kind, irq_mult=0.01))
+
+
+def test_wrong_partners(spark, data):
+    cents = clustering.kmeans(data, 3, 1)
+    placed = clustering.assign(data, cents).join(data, "vec_id")
+    config = IndexConfig(128)
+    with pytest.raises(ValueError, match="dimensions"):
+        index.search(index.build(placed, cents, config), spark.createDataFrame([(0, [1.0] * 64)], "vec_id long, embedding array<double>"), cents, config, SearchConfig())
+    with pytest.raises(Exception, match="has no centroid"):
+        index.places(placed.withColumn("cid", F.lit(9)), cents).count()
+    with pytest.raises(ValueError, match="not among"):
+        knn.in_range(spark.createDataFrame([(0, 1, 300, 0.5)], "query_id long, rank long, vec_id long, dist double"), 300)
+
+
+def test_lloyd_goes_on(spark, data, tmp_path):
+    start = data.where("vec_id < 6").selectExpr("vec_id AS cid", "embedding AS centroid")
+    whole = {r["cid"]: r["centroid"] for r in clustering.lloyd(data, start, 6).collect()}
+    clustering.lloyd(data, start, 4, folder=str(tmp_path), every=2)
+    assert sorted(clustering.checkpoints(spark, str(tmp_path))) == [2, 4]
+    again = {r["cid"]: r["centroid"] for r in clustering.lloyd(data, start, 6, folder=str(tmp_path), every=2).collect()}
+    assert all(np.allclose(whole[i], again[i]) for i in whole)
+
+
+def test_plans_of_training(spark, data):
+    sample = clustering.sample_exact(data, 50)
+    assert "TakeOrdered" not in sample._jdf.queryExecution().executedPlan().toString() and sample.count() == 50
+    cells, children = clustering.two_level_kmeans(data, 9, 2)
+    few = clustering.probe_assign(data, cells, children, 2, limit=0)
+    assert sorted(map(tuple, few.select("vec_id", "cid").collect())) == sorted(map(tuple, clustering.probe_assign(data, cells, children, 2).select("vec_id", "cid").collect()))
+    sweep = {r["probes"]: r["recall"] for r in clustering.probe_sweep(data, cells, children, [1, 3]).collect()}
+    assert sweep[1] <= sweep[3] == 1.0
+    assert clustering.calibrate([(100, 1.0), (200, 2.0)], 1000) == pytest.approx(10.0)
+
+
+def test_queries_in_parts(spark, data, monkeypatch):
+    from orrery.operators import blocks
+
+    q = data.where("vec_id % 3 = 0")
+    want = sorted(map(tuple, knn.exact_knn(data, q, 4).collect()))
+    parts = blocks.query_chunks(q, 1 << 20)
+    assert len(parts) > 1 and sum(p.count() for p in parts) == 100
+    monkeypatch.setattr(knn, "query_chunks", lambda *a: parts)
+    assert sorted(map(tuple, knn.exact_knn(data, q, 4).collect())) == want

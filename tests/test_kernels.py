@@ -116,3 +116,48 @@ def test_result_rows(spark, tmp_path):
     runs = spark.createDataFrame([(10, 2.0, 1.0, 1.5, 0.5, 4e6, 8), (1, 0.0, 0.0, 0.0, 0.0, 0.0, 0)], "queries long, seconds double, coarse_s double, io_s double, drain_s double, io_bytes double, io_reqs long")
     assert [(r["qps"], r["qps_no_coarse"], r["eff_bw_mbps"], r["bound"]) for r in E.throughput(runs).collect()] == [(5.0, 10.0, 2.0, "io"), (None, None, None, "compute")]
     assert E.manifest_row(spark, {"index_id": "x", "build_s": 1.0}, "d", 1, 2).first()["index_ssd_bytes"] == 2
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 40), st.integers(1, 30), st.sampled_from(["l2", "ip"]))
+def test_nearest_and_smallest_are_exact(seed, n, m, metric):
+    """Also among equal rows, whose products differ in their last bits."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, 9))[rng.integers(0, n, n)]
+    c = x[rng.integers(0, n, m)] + rng.integers(0, 2, (m, 1))
+    d = np.array([K.paired(np.tile(a, (m, 1)), c, metric) for a in x])
+    if metric == "l2":
+        at, dist = K.nearest(x, c)
+        assert (at == d.argmin(1)).all() and (dist == d.min(1)).all()
+    ids = rng.permutation(n)
+    j, i, got = K.smallest(ids, x, c, 5, metric)
+    want = [(q, p) for q in range(m) for p in sorted(range(n), key=lambda p: (d[p, q], ids[p]))[:5]]
+    assert list(zip(j.tolist(), i.tolist(), strict=True)) == want and (got == d[i, j]).all()
+
+
+def test_distances_take_little_memory():
+    import tracemalloc
+
+    x, c = np.ones((512, 1280)), np.random.default_rng(1).standard_normal((977, 1280))
+    tracemalloc.start()
+    K.nearest(x, c)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
+def test_small_queries():
+    rng = np.random.default_rng(6)
+    x, q, c = rng.standard_normal((100, 128)), rng.standard_normal((10, 128)), np.zeros(128)
+    bits, add, rescale, error = K.onebit(x, np.zeros_like(x), "l2", 128)
+    terms = K.query_terms(q, c, "l2")
+    whole, small = K.onebit_estimate(bits, add, rescale, error, q, *terms), K.small_query_estimate(bits, add, rescale, error, q, *terms, 8)
+    assert np.abs(whole[0] - small[0]).max() < 1.0
+    code, delta, low = K.quantize_queries(q)
+    assert code.min() == 0 and code.max() == 15 and np.abs(code * delta[:, None] + low[:, None] - q).max() <= delta.max() / 2 + 1e-12
+
+
+@pytest.mark.parametrize("e", range(1, 9))
+def test_packed_codes(e):
+    code = np.random.default_rng(e).integers(0, 1 << e, (7, 128))
+    packed = K.pack_codes(code, e)
+    assert packed.shape == (7, 128 * e // 8) and (K.unpack_codes(packed, 128, e) == code).all()

@@ -1,21 +1,29 @@
 """Vector file formats as Spark data sources.
 
-``spark.read.format("vectorfile").load(path)`` reads .fvecs, .bvecs, .ivecs, .fbin, .u8bin, .bin, .cid64, .gt64 and
-type-1 ground truth; ``df.write.format("vectorfile")`` writes the first six (one file, rows in the order of vec_id).
-Files are split by row ranges, so each task reads its own bytes.
+``spark.read.format("vectorfile").load(path)`` reads .fvecs, .bvecs, .ivecs, .fbin, .u8bin and .bin as (vec_id, embedding);
+with ``option("kind", "assignment")`` .cid64 and .ivecs as (vec_id, cid), with ``option("kind", "truth")`` .gt64, .ivecs, type 1
+and ids alone as (query_id, rank, vec_id, dist). Files are split by row ranges, so each task reads its own bytes. A folder of
+vector files is one collection, numbered through in the order of the files' names.
+
+``df.write.format("vectorfile")`` writes the vector formats, rows in the order of vec_id: as one file, whose parts the driver
+joins at the end, or with ``option("parts", "true")`` as a folder of whole files, which nothing joins.
+
+Paths are local or URIs of pyarrow's file systems (file, hdfs, s3, gs).
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 #: Element type by extension; formats with a size per row, and with one header.
@@ -28,6 +36,32 @@ class VectorFileError(ValueError):
     """The file's size or header doesn't fit its format."""
 
 
+def _at(path: str) -> tuple[pafs.FileSystem, str]:
+    if "://" in path or path.startswith("file:"):
+        return pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+    return pafs.LocalFileSystem(), os.path.abspath(path)
+
+
+def _size(path: str) -> int:
+    system, name = _at(path)
+    return system.get_file_info(name).size
+
+
+def _bytes(path: str, start: int, n: int) -> bytes:
+    system, name = _at(path)
+    with system.open_input_file(name) as f:
+        return f.read_at(n, start)
+
+
+def files_of(path: str) -> list[str]:
+    """The file itself, or the vector files of a folder by name."""
+    system, name = _at(path)
+    if system.get_file_info(name).type != pafs.FileType.Directory:
+        return [path]
+    found = sorted(x.base_name for x in system.get_file_info(pafs.FileSelector(name)) if os.path.splitext(x.base_name)[1] in ROWWISE | HEADED and x.base_name[0] not in "._")
+    return [f"{path.rstrip('/')}/{x}" for x in found]
+
+
 @dataclass
 class Layout:
     rows: int
@@ -38,19 +72,16 @@ class Layout:
     skip: int  # bytes of a row before its values
 
     def read(self, path: str, start: int, stop: int) -> np.ndarray:
-        with open(path, "rb") as f:
-            f.seek(self.first + start * self.stride)
-            raw = np.frombuffer(f.read((stop - start) * self.stride), np.uint8).reshape(stop - start, self.stride)
+        raw = np.frombuffer(_bytes(path, self.first + start * self.stride, (stop - start) * self.stride), np.uint8).reshape(stop - start, self.stride)
         return np.ascontiguousarray(raw[:, self.skip :]).view(self.kind).reshape(stop - start, self.dim)
 
 
 def layout(path: str, partial: bool = False) -> Layout:
     """Format from the extension, else from which size equation holds; ``partial`` takes the whole rows of a cut file."""
-    size, ext = os.path.getsize(path), os.path.splitext(path)[1].lower()
+    size, ext = _size(path), os.path.splitext(path)[1].lower()
     if ext == ".i8bin":
         raise VectorFileError("signed 8-bit vectors are not supported")
-    with open(path, "rb") as f:
-        head = f.read(8)
+    head = _bytes(path, 0, 8)
     if len(head) < 8:
         raise VectorFileError("the file is too short for a header")
     a, b = struct.unpack("<ii", head)
@@ -76,73 +107,117 @@ def layout(path: str, partial: bool = False) -> Layout:
 class RowRange(InputPartition):
     start: int
     stop: int
+    path: str = ""
+    base: int = 0  # number of the file's first row
 
 
 class VectorReader(DataSourceReader):
     def __init__(self, path: str, options: dict) -> None:
         self.path, self.partial = path, str(options.get("mode", "")).upper() == "PERMISSIVE"
-        self.step = int(options.get("splitRows", SPLIT_ROWS))
+        self.step = int(options.get("splitrows", options.get("splitRows", SPLIT_ROWS)))
+        self.ints = str(options.get("elements", "")).lower() == "own"
 
     def partitions(self) -> list[RowRange]:
-        n = layout(self.path, self.partial).rows
-        return [RowRange(at, min(n, at + self.step)) for at in range(0, n, self.step)] or [RowRange(0, 0)]
+        found, base = [], 0
+        for path in files_of(self.path):
+            n = layout(path, self.partial).rows
+            found += [RowRange(at, min(n, at + self.step), path, base) for at in range(0, n, self.step)]
+            base += n
+        return found or [RowRange(0, 0)]
 
     def read(self, part: RowRange) -> Iterator[pa.RecordBatch]:
-        form = layout(self.path, self.partial)
+        if part.start == part.stop:
+            return
+        form = layout(part.path, self.partial)
+        kind = np.dtype(form.kind) if self.ints else np.dtype(np.float32)
+        kind = np.dtype(np.int16) if kind == np.uint8 else kind
         for at in range(part.start, part.stop, 8192):
-            x = form.read(self.path, at, min(part.stop, at + 8192))
+            x = form.read(part.path, at, min(part.stop, at + 8192))
             ends = np.arange(len(x) + 1, dtype=np.int32) * form.dim
-            values = pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel().astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(x))), values], names=["vec_id", "embedding"])
+            values = pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel().astype(kind)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.base + at, part.base + at + len(x))), values], names=["vec_id", "embedding"])
 
 
-class VectorWriter(DataSourceWriter):
-    """Each task writes a part; committing concatenates the parts behind the header."""
+class VectorWriter(DataSourceArrowWriter):
+    """Each task writes a part as its rows come; committing joins the parts behind the header, or names them."""
 
-    def __init__(self, path: str, overwrite: bool) -> None:
-        self.path, self.ext = path, os.path.splitext(path)[1].lower()
+    def __init__(self, path: str, overwrite: bool, parts: bool = False) -> None:
+        self.path, self.parts = path, parts
+        self.ext = os.path.splitext(path.rstrip("/"))[1].lower()
         if self.ext not in ROWWISE | HEADED:
             raise VectorFileError("the extension doesn't name a format that can be written")
-        if os.path.exists(path) and not overwrite:
-            raise VectorFileError("the file is there already")
-
-    def write(self, rows) -> WriterCommitMessage:
+        system, name = _at(path)
+        if system.get_file_info(name).type != pafs.FileType.NotFound:
+            if not overwrite:
+                raise VectorFileError("the file is there already")
+            if parts:
+                system.delete_dir_contents(name, missing_dir_ok=True)
+
+    def write(self, batches) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         task = TaskContext.get()
         kind = (ROWWISE | HEADED)[self.ext]
-        got = sorted((r["vec_id"], r["embedding"]) for r in rows)
-        name = f"{self.path}.part-{task.partitionId():05d}-{task.taskAttemptId()}"
-        dims = {len(v) for _, v in got}
-        if len(dims) > 1:
-            raise VectorFileError("vectors differ in length")
-        x = np.array([v for _, v in got], dtype=float)
-        if kind == "u1" and len(x) and ((x < 0) | (x > 255) | (x != np.floor(x))).any():
-            raise VectorFileError("values aren't whole numbers from 0 to 255")
-        with open(name, "wb") as f:
-            for v in x:
-                f.write((struct.pack("<i", len(v)) if self.ext in ROWWISE else b"") + v.astype(kind).tobytes())
-        return Part(name, got[0][0] if got else 0, got[-1][0] if got else -1, len(got), dims.pop() if dims else 0)
+        system, name = _at(self.path)
+        if self.parts:
+            system.create_dir(name, recursive=True)
+        name = f"{name}{'/.' if self.parts else '.'}part-{task.partitionId():05d}-{task.taskAttemptId()}"
+        first, last, rows, dim = 0, None, 0, 0
+        with system.open_output_stream(name, compression=None) as out:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids = batch.column(batch.schema.get_field_index("vec_id")).to_numpy()
+                x = batch.column(batch.schema.get_field_index("embedding"))
+                lengths = np.unique(np.diff(x.offsets.to_numpy()))
+                if x.null_count or len(lengths) > 1 or rows and lengths[0] != dim:
+                    raise VectorFileError("vectors are null or differ in length")
+                if (np.diff(ids) <= 0).any() or last is not None and ids[0] <= last:
+                    raise VectorFileError("a task's rows aren't in the order of vec_id; write with write_vectors")
+                dim, first, last = int(lengths[0]), first if rows else int(ids[0]), int(ids[-1])
+                flat = x.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
+                if kind == "u1" and ((flat < 0) | (flat > 255) | (flat != np.floor(flat))).any():
+                    raise VectorFileError("values aren't whole numbers from 0 to 255")
+                flat = np.ascontiguousarray(flat.astype(kind)).view(np.uint8).reshape(len(ids), -1)
+                if self.ext in ROWWISE:
+                    flat = np.concatenate((np.tile(np.frombuffer(struct.pack("<i", dim), np.uint8), (len(ids), 1)), flat), axis=1)
+                out.write(flat.tobytes())
+                rows += len(ids)
+        return Part(name, first, -1 if last is None else last, rows, dim)
 
     def commit(self, messages) -> None:
+        system, name = _at(self.path)
         parts = sorted((m for m in messages if m and m.rows), key=lambda m: m.first)
         if any(a.last >= b.first for a, b in zip(parts, parts[1:], strict=False)) or len({m.dim for m in parts}) > 1:
             self.abort(messages)
             raise VectorFileError("tasks' ids overlap, or vectors differ in length; write with write_vectors")
-        with open(self.path + ".draft", "wb") as out:
-            if self.ext in HEADED:
-                out.write(struct.pack("<ii", sum(m.rows for m in parts), parts[0].dim if parts else 0))
+        head = lambda rows: struct.pack("<ii", rows, parts[0].dim if parts else 0) if self.ext in HEADED else b""
+        if self.parts:
+            for i, m in enumerate(parts):
+                to = f"{name}/part-{i:05d}{self.ext}"
+                if self.ext in HEADED:
+                    self.join(system, f"{name}/.draft", head(m.rows), [m])
+                    system.move(f"{name}/.draft", to)
+                else:
+                    system.move(m.name, to)
+        else:
+            self.join(system, name + ".draft", head(sum(m.rows for m in parts)), parts)
+            system.move(name + ".draft", name)
+        self.abort(messages)
+
+    def join(self, system, to: str, head: bytes, parts: list) -> None:
+        with system.open_output_stream(to, compression=None) as out:
+            out.write(head)
             for m in parts:
-                with open(m.name, "rb") as f:
+                with system.open_input_stream(m.name, compression=None) as f:
                     while data := f.read(1 << 22):
                         out.write(data)
-        os.replace(self.path + ".draft", self.path)
-        self.abort(messages)
 
     def abort(self, messages) -> None:
+        system, _ = _at(self.path)
         for m in messages:
-            if m and os.path.exists(m.name):
-                os.remove(m.name)
+            if m and system.get_file_info(m.name).type != pafs.FileType.NotFound:
+                system.delete_file(m.name)
 
 
 @dataclass
@@ -154,30 +229,139 @@ class Part(WriterCommitMessage):
     dim: int
 
 
+#: The first eight bytes of assignment and of ground truth files, as little-endian numbers.
+CID64, GT64 = (0x3436444943444E44).to_bytes(8, "little"), (0x343654474F4E4944).to_bytes(8, "little")
+
+
+@dataclass
+class Ids:
+    """Where a file of ids has them: n rows of k, and distances of the same shape if it has any."""
+
+    n: int
+    k: int
+    kind: str
+    first: int
+    stride: int
+    dists: int | None = None  # byte of the first distance
+    clusters: int | None = None
+
+    def read(self, path: str, start: int, stop: int) -> tuple[np.ndarray, np.ndarray | None]:
+        width = self.k * np.dtype(self.kind).itemsize
+        raw = np.frombuffer(_bytes(path, self.first + start * self.stride, (stop - start - 1) * self.stride + width), np.uint8)
+        rows = np.lib.stride_tricks.as_strided(raw, (stop - start, width), (self.stride, 1))
+        ids = np.ascontiguousarray(rows).view(self.kind).astype(np.int64)
+        if self.clusters is not None and len(ids) and ids.max() >= self.clusters:
+            raise VectorFileError(f"cluster {ids.max()} is not among the {self.clusters}")
+        if self.dists is None:
+            return ids, None
+        return ids, np.frombuffer(_bytes(path, self.dists + 4 * self.k * start, 4 * self.k * (stop - start)), "<f4").reshape(-1, self.k)
+
+
+def assignment_layout(path: str) -> Ids:
+    """.cid64 (magic, version, n, C, n ids) or .ivecs."""
+    if not path.endswith(".cid64"):
+        form = layout(path)
+        return Ids(form.rows, 1, form.kind, form.skip, form.stride)
+    head = _bytes(path, 0, 32)
+    if len(head) < 32 or head[:8] != CID64:
+        raise VectorFileError("no assignment file")
+    version, n, clusters = struct.unpack_from("<QQQ", head, 8)
+    if version != 1 or _size(path) != 32 + 4 * n:
+        raise VectorFileError("no whole assignment file")
+    return Ids(n, 1, "<u4", 32, 4, clusters=clusters)
+
+
+def truth_layout(path: str) -> Ids:
+    """.gt64, .ivecs, type 1 (ids then ascending distances), or ids alone."""
+    size, head = _size(path), _bytes(path, 0, 32)
+    if head[:8] == GT64:
+        version, n, k = struct.unpack_from("<QQQ", head, 8)
+        if version != 1 or size != 32 + 8 * n * k:
+            raise VectorFileError("no whole ground truth file")
+        return Ids(n, k, "<u8", 32, 8 * k)
+    if len(head) < 8:
+        raise VectorFileError("the file is too short for a header")
+    n, k = struct.unpack_from("<ii", head)
+    if path.endswith(".ivecs") and n > 0 and size % (4 + 4 * n) == 0:
+        form = layout(path)
+        return Ids(form.rows, form.dim, "<u4", 4, form.stride)
+    if size == 8 + 8 * n * k:
+        return Ids(n, k, "<u4", 8, 4 * k, dists=8 + 4 * n * k)
+    if size == 8 + 4 * n * k:
+        return Ids(n, k, "<u4", 8, 4 * k)
+    raise VectorFileError("the size fits no form of ground truth")
+
+
+class IdReader(DataSourceReader):
+    def __init__(self, path: str, kind: str, options: dict) -> None:
+        self.path, self.kind, self.step = path, kind, int(options.get("splitrows", options.get("splitRows", SPLIT_ROWS)))
+
+    def form(self) -> Ids:
+        return assignment_layout(self.path) if self.kind == "assignment" else truth_layout(self.path)
+
+    def partitions(self) -> list[RowRange]:
+        n = self.form().n
+        return [RowRange(at, min(n, at + self.step)) for at in range(0, n, self.step)] or [RowRange(0, 0)]
+
+    def read(self, part: RowRange) -> Iterator[pa.RecordBatch]:
+        form = self.form()
+        for at in range(part.start, part.stop, 8192):
+            stop = min(part.stop, at + 8192)
+            ids, dist = form.read(self.path, at, stop)
+            if self.kind == "assignment":
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, stop)), pa.array(ids[:, 0])], names=["vec_id", "cid"])
+                continue
+            n = stop - at
+            found = [np.repeat(np.arange(at, stop), form.k), np.tile(np.arange(1, form.k + 1), n), ids.ravel()]
+            last = pa.nulls(n * form.k, pa.float64()) if dist is None else pa.array(dist.ravel().astype(float))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, found), last], names=["query_id", "rank", "vec_id", "dist"])
+
+
 class VectorFile(DataSource):
     @classmethod
     def name(cls) -> str:
         return "vectorfile"
 
+    def kind(self) -> str:
+        kind = str(self.options.get("kind", "vectors"))
+        if kind not in ("vectors", "assignment", "truth"):
+            raise VectorFileError("kind is vectors, assignment or truth")
+        return kind
+
     def schema(self) -> str:
-        return "vec_id long, embedding array<float>"
+        if self.kind() == "vectors":
+            own = str(self.options.get("elements", "")).lower() == "own"
+            found = files_of(self.options["path"]) if own else []
+            element = {"u1": "short", "<i4": "int"}.get(layout(found[0], True).kind, "float") if found else "float"
+            return f"vec_id long, embedding array<{element}>"
+        return "vec_id long, cid long" if self.kind() == "assignment" else "query_id long, rank long, vec_id long, dist double"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return VectorReader(self.options["path"], self.options)
+        if self.kind() == "vectors":
+            return VectorReader(self.options["path"], self.options)
+        return IdReader(self.options["path"], self.kind(), self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return VectorWriter(self.options["path"], overwrite)
+        return VectorWriter(self.options["path"], overwrite, str(self.options.get("parts", "")).lower() == "true")
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(VectorFile)
 
 
-def write_vectors(df, path: str, limit: int | None = None) -> None:
-    """Writes (vec_id, embedding) in the order of vec_id, only ids below ``limit`` if one is given."""
+def write_vectors(df: DataFrame, path: str, limit: int | None = None, parts: bool = False) -> None:
+    """Writes (vec_id, embedding) in the order of vec_id, only ids below ``limit`` if one is given; as a folder with ``parts``."""
+    register(df.sparkSession)
     rows = df.select("vec_id", "embedding")
     rows = rows if limit is None else rows.where(rows["vec_id"] < limit)
-    rows.repartitionByRange("vec_id").write.format("vectorfile").mode("overwrite").save(path)
+    rows = rows.repartitionByRange("vec_id").sortWithinPartitions("vec_id")
+    rows.write.format("vectorfile").option("parts", str(parts).lower()).mode("overwrite").save(path)
+
+
+def convert(spark: SparkSession, source: str, target: str, limit: int | None = None) -> None:
+    """A vector file in another format, whole or its first ``limit`` rows."""
+    register(spark)
+    write_vectors(spark.read.format("vectorfile").load(source), target, limit)
 
 
 def concat_chunks(chunks: list, limit: int | None = None):
@@ -197,15 +381,12 @@ def concat_chunks(chunks: list, limit: int | None = None):
 
 def write_cells(cells: list[tuple[int, list[float]]], path: str) -> None:
     """First-level cells: (number of children, centroid) rows behind a header of their number and width."""
-    with open(path, "wb") as f:
-        f.write(struct.pack("<ii", len(cells), len(cells[0][1]) if cells else 0))
-        f.write(np.array([n for n, _ in cells], "<i4").tobytes() + np.array([c for _, c in cells], "<f4").tobytes())
+    _write(path, [struct.pack("<ii", len(cells), len(cells[0][1]) if cells else 0), np.array([n for n, _ in cells], "<i4").tobytes(), np.array([c for _, c in cells], "<f4").tobytes()])
 
 
 def read_cells(spark: SparkSession, path: str):
     """(cell, n_children, centroid) of a file of first-level cells."""
-    with open(path, "rb") as f:
-        data = f.read()
+    data = _bytes(path, 0, _size(path))
     n, dim = struct.unpack_from("<ii", data)
     if len(data) != 8 + 4 * n + 4 * n * dim:
         raise VectorFileError("no whole file of cells")
@@ -213,62 +394,48 @@ def read_cells(spark: SparkSession, path: str):
     return spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(counts, x, strict=True))], "cell long, n_children int, centroid array<double>")
 
 
-# --- id files and ground truth: small, read on the driver
+# --- id files and ground truth
 
-#: The first eight bytes of assignment and of ground truth files, as little-endian numbers.
-CID64, GT64 = (0x3436444943444E44).to_bytes(8, "little"), (0x343654474F4E4944).to_bytes(8, "little")
 
+def read_assignments(spark: SparkSession, path: str) -> DataFrame:
+    """(vec_id, cid) from .cid64 or .ivecs; each task reads its own rows."""
+    register(spark)
+    return spark.read.format("vectorfile").option("kind", "assignment").load(path)
 
-def read_assignments(spark: SparkSession, path: str):
-    """(vec_id, cid) from .cid64 (magic, version, n, C, n ids) or .ivecs."""
-    if path.endswith(".cid64"):
-        with open(path, "rb") as f:
-            magic, version, n, clusters = f.read(8), *struct.unpack("<QQQ", f.read(24))
-            ids = np.frombuffer(f.read(), "<u4")
-        if magic != CID64 or version != 1 or len(ids) != n or (n and ids.max() >= clusters):
-            raise VectorFileError("no whole assignment file")
-    else:
-        form = layout(path)
-        ids = form.read(path, 0, form.rows)[:, 0]
-    return spark.createDataFrame(pa.table({"vec_id": np.arange(len(ids)), "cid": ids.astype(np.int64)}))
+
+def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, rank, vec_id, dist) from .gt64, .ivecs, type 1 or ids alone; dist may be null. Each task reads its own rows."""
+    register(spark)
+    return spark.read.format("vectorfile").option("kind", "truth").load(path)
 
 
 def write_assignments(rows: list[int], clusters: int, path: str) -> None:
-    with open(path, "wb") as f:
-        f.write(CID64 + struct.pack("<QQQ", 1, len(rows), clusters) + np.array(rows, "<u4").tobytes())
-
-
-def read_ground_truth(spark: SparkSession, path: str):
-    """(query_id, rank, vec_id, dist) from .gt64, .ivecs, or type 1 (ids then ascending distances); dist may be null."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
-        data = f.read()
-    dist = None
-    if data[:8] == GT64:
-        version, n, k = struct.unpack_from("<QQQ", data, 8)
-        if version != 1 or size != 32 + 8 * n * k:
-            raise VectorFileError("no whole ground truth file")
-        ids = np.frombuffer(data, "<u8", n * k, 32).astype(np.int64)
-    else:
-        n, k = struct.unpack_from("<ii", data)
-        if path.endswith(".ivecs") and size % (4 + 4 * n) == 0:
-            form = layout(path)
-            n, k, ids = form.rows, form.dim, form.read(path, 0, form.rows).ravel().astype(np.int64)
-        elif size == 8 + 8 * n * k:
-            ids, dist = np.frombuffer(data, "<u4", n * k, 8).astype(np.int64), np.frombuffer(data, "<f4", n * k, 8 + 4 * n * k)
-        elif size == 8 + 4 * n * k:
-            ids = np.frombuffer(data, "<u4", n * k, 8).astype(np.int64)
-        else:
-            raise VectorFileError("the size fits no form of ground truth")
-    table = {"query_id": np.repeat(np.arange(n), k), "rank": np.tile(np.arange(1, k + 1), n), "vec_id": ids}
-    table["dist"] = pa.array(dist.astype(float)) if dist is not None else pa.nulls(n * k, pa.float64())
-    return spark.createDataFrame(pa.table(table))
-
-
-def write_ground_truth(rows: list[tuple], k: int, path: str) -> None:
-    """Type 1 from (query_id, rank, vec_id, dist) rows, under a temporary name until it is whole."""
-    rows = sorted(rows)
-    with open(path + ".part", "wb") as f:
-        f.write(struct.pack("<ii", len(rows) // k, k))
-        f.write(np.array([r[2] for r in rows], "<u4").tobytes() + np.array([r[3] for r in rows], "<f4").tobytes())
-    os.replace(path + ".part", path)
+    _write(path, [CID64 + struct.pack("<QQQ", 1, len(rows), clusters), np.array(rows, "<u4").tobytes()])
+
+
+def write_ground_truth(rows: DataFrame | list[tuple], k: int, path: str) -> None:
+    """Type 1 from (query_id, rank, vec_id, dist), under a temporary name until it is whole.
+
+    Queries are numbered from 0 and have k rows each: a table of queries times k, which fits a driver.
+    """
+    table = rows if isinstance(rows, DataFrame) else None
+    found = [tuple(r) for r in table.select("query_id", "rank", "vec_id", "dist").collect()] if table is not None else list(rows)
+    found.sort()
+    n = len(found) // k
+    if [r[:2] for r in found] != [(q, r) for q in range(n) for r in range(1, k + 1)]:
+        raise VectorFileError("ground truth needs k ranks of each query, queries numbered from 0")
+    _write(path, [struct.pack("<ii", n, k), np.array([r[2] for r in found], "<u4").tobytes(), np.array([r[3] for r in found], "<f4").tobytes()])
+
+
+def write_gt64(rows: list[tuple], k: int, path: str) -> None:
+    """64-bit ids from (query_id, rank, vec_id, ...) rows."""
+    found = sorted(rows)
+    _write(path, [GT64 + struct.pack("<QQQ", 1, len(found) // k, k), np.array([r[2] for r in found], "<u8").tobytes()])
+
+
+def _write(path: str, pieces: list[bytes]) -> None:
+    system, name = _at(path)
+    with system.open_output_stream(name + ".part", compression=None) as f:
+        for x in pieces:
+            f.write(x)
+    system.move(name + ".part", name)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
 from orrery.config import SearchConfig
-from orrery.operators import index
+from orrery.operators import coarse, index
 
 
 def serve(queries: DataFrame, path: str, options: SearchConfig, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -18,11 +18,12 @@ def serve(queries: DataFrame, path: str, options: SearchConfig, sink: Callable[[
     rows, so a sink that overwrites by it is exactly-once.
     """
     spark = queries.sparkSession
-    postings, cents, config = index.load(spark, path)
+    blocks, cents, config = index.load(spark, path)
+    built = coarse.build(cents, config) if options.coarse_kind(cents.count()) != "flat" else None
 
     def batch(df: DataFrame, number: int) -> None:
         if not df.isEmpty():
-            sink(index.search(postings, df, cents, config, options), number)
+            sink(index.search(blocks, df, cents, config, options, built), number)
 
     writer = queries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

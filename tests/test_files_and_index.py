@@ -21,7 +21,7 @@ def test_round_trip(spark, data, tmp_path, ext):
     files.register(spark)
     path = str(tmp_path / f"x.{ext}")
     files.write_vectors(data, path)
-    with pytest.raises(Exception, match="overlap"):
+    with pytest.raises(Exception, match="overlap|order"):
         data.repartition(3).write.format("vectorfile").mode("overwrite").save(path + "2" + path[-6:])
     back = spark.read.format("vectorfile").option("splitRows", 64).load(path)
     assert back.join(data, ["vec_id", "embedding"]).count() == 300 == back.count()
@@ -106,6 +106,41 @@ def test_pipeline_and_serving(spark, data, tmp_path):
     assert len(got) == 15 and {r["vec_id"] for r in got if r["rank"] == 1} == set(range(5))
 
 
+def test_grid_skips_finished_cells(spark, data, tmp_path):
+    config, few = IndexConfig(128, num_clusters=3, seed=1), EvalConfig(0.5, 0.9, 0.4)
+    q = data.where("vec_id % 50 = 0")
+    first = pipeline.grid(data, q, config, str(tmp_path), [1, 3], [1, 2], few)
+    cells = {(r["topk"], r["threads"]) for r in first.collect()}
+    assert cells == {(1, 1), (1, 2), (3, 1), (3, 2)}
+    done = {p: p.stat().st_mtime_ns for p in tmp_path.glob("cell-*/_SUCCESS")}
+    assert sorted(map(str, pipeline.grid(data, q, config, str(tmp_path), [1, 3], [1, 2], few).collect())) == sorted(map(str, first.collect()))
+    assert len(done) == 4 and {p: p.stat().st_mtime_ns for p in tmp_path.glob("cell-*/_SUCCESS")} == done
+    other = data.withColumn("vec_id", 299 - F.col("vec_id"))
+    assert pipeline.data_key(other) != pipeline.data_key(data)
+
+
+def test_folders_and_id_files(spark, data, tmp_path):
+    path = str(tmp_path / "x.fbin")
+    files.write_vectors(data, path, parts=True)
+    assert len(files.files_of(path)) > 1
+    back = spark.read.format("vectorfile").load("file://" + path)
+    assert back.join(data, ["vec_id", "embedding"]).count() == 300 == back.count()
+    files.convert(spark, path, str(tmp_path / "y.fvecs"), 50)
+    assert files.layout(str(tmp_path / "y.fvecs")).rows == 50
+    u8 = spark.createDataFrame([(i, [float(i), 255.0]) for i in range(9)], "vec_id long, embedding array<float>")
+    files.write_vectors(u8, str(tmp_path / "z.u8bin"))
+    own = spark.read.format("vectorfile").option("elements", "own").load(str(tmp_path / "z.u8bin"))
+    assert own.schema["embedding"].dataType.simpleString() == "array<smallint>" and own.where("vec_id = 8").first()["embedding"] == [8, 255]
+    truth = [(q, r, 10 * q + r + (1 << 40), 0.0) for q in range(7) for r in (1, 2, 3)]
+    files.write_gt64(truth, 3, str(tmp_path / "t.gt64"))
+    got = spark.read.format("vectorfile").option("kind", "truth").option("splitRows", 2).load(str(tmp_path / "t.gt64"))
+    assert got.rdd.getNumPartitions() == 4 and sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()) == [x[:3] for x in truth]
+    (tmp_path / "ids.bin").write_bytes(np.array([2, 2, 4, 5, 6, 7], "<i4").tobytes())
+    assert [r["vec_id"] for r in files.read_ground_truth(spark, str(tmp_path / "ids.bin")).orderBy("query_id", "rank").collect()] == [4, 5, 6, 7]
+    with pytest.raises(files.VectorFileError):
+        files.write_ground_truth([(0, 1, 5, 0.5), (2, 1, 5, 0.5)], 1, str(tmp_path / "g"))
+
+
 def test_ladder():
     assert evaluate.ladder(10, 10, 100) == [1, 2, 3, 4, 6, 8, 10] and evaluate.ladder(10, 1, 5) == [1]
 

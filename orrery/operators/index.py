@@ -287,8 +287,9 @@ def _bytes(batch: pa.RecordBatch, name: str, row: int, n: int) -> np.ndarray:
 class _Reader:
     """Estimates and distances of a block's points to the queries that probe its cluster."""
 
-    def __init__(self, a: Asked, config: IndexConfig) -> None:
+    def __init__(self, a: Asked, config: IndexConfig, query_bits: int = 0) -> None:
         rotation = kernels.rotation_matrix(config.dim, config.seed)
+        self.query_bits = query_bits
         self.a, self.config, self.turned, self.c = a, config, a.q @ rotation, a.centroids @ rotation
 
     def resident(self, batch: pa.RecordBatch, row: int):
@@ -301,6 +302,8 @@ class _Reader:
         bits = np.unpackbits(_bytes(batch, "bits", row, n), axis=1)
         terms = kernels.query_terms(v, self.c[at], self.config.metric)
         factors = (_numbers(batch, x, row) for x in ("f_add", "f_rescale", "f_error"))
+        if self.query_bits:
+            return (rows, *kernels.small_query_estimate(bits, *factors, v[:, :m], *terms, self.query_bits))
         return (rows, *kernels.onebit_estimate(bits, *factors, v, *terms, m))
 
     def payload(self, batch: pa.RecordBatch, row: int, points: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -332,10 +335,10 @@ def _payload_columns(config: IndexConfig) -> list[str]:
     return ["cid", "block", "vec_id", "raw"] if config.store == "raw" else _PAID
 
 
-def estimates(postings: DataFrame, queries: DataFrame, cents: DataFrame, config: IndexConfig, nprobe: int, boosted: bool = False) -> DataFrame:
+def estimates(postings: DataFrame, queries: DataFrame, cents: DataFrame, config: IndexConfig, nprobe: int, boosted: bool = False, query_bits: int = 0) -> DataFrame:
     """(query_id, vec_id, cid, page_id, est, low[, dist]) of all probed points from their signs [and extra bits or vectors].
 
-    A row for every candidate: for measuring bounds, not for searching.
+    With ``query_bits`` the estimates see queries of so many bits a coordinate. A row for every candidate: for measuring bounds, not for searching.
     """
     out = None
     columns = list(dict.fromkeys([*_ESTIMATED, *(_payload_columns(config) if boosted else [])]))
@@ -345,7 +348,7 @@ def estimates(postings: DataFrame, queries: DataFrame, cents: DataFrame, config:
         sent = table.sparkSession.sparkContext.broadcast(some)
 
         def run(batches, sent=sent):
-            reader = _Reader(sent.value, config)
+            reader = _Reader(sent.value, config, query_bits)
             for batch in batches:
                 for row in range(batch.num_rows):
                     got = reader.resident(batch, row)

@@ -167,22 +167,35 @@ def distance_ratio(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return good.groupBy("query_id").agg((F.sum(F.sqrt(F.col("ann") / F.col("gt"))) * k / F.count("*")).alias("ratio"))
 
 
+def out_of_range(truth: DataFrame, rows: int) -> DataFrame:
+    """(bad_ids, bad_queries, largest): ids of the ground truth that a base of ``rows`` vectors, numbered from 0, doesn't have."""
+    bad = (F.col("vec_id") < 0) | (F.col("vec_id") >= rows)
+    return truth.agg(F.sum(bad.cast("long")).alias("bad_ids"), F.countDistinct(F.when(bad, F.col("query_id"))).alias("bad_queries"), F.max(F.when(bad, F.col("vec_id"))).alias("largest"))
+
+
 def in_range(truth: DataFrame, rows: int) -> DataFrame:
     """The ground truth, unless it names ids that a base of ``rows`` vectors doesn't have: that stops the run."""
-    bad = truth.where((F.col("vec_id") < 0) | (F.col("vec_id") >= rows))
-    found = bad.agg(F.count("*").alias("n"), F.max("vec_id").alias("top")).first()
-    if found["n"]:
-        raise ValueError(f"{found['n']} ids of the ground truth are not among the {rows} base vectors, {found['top']} for one")
+    found = out_of_range(truth, rows).first()
+    if found["bad_ids"]:
+        raise ValueError(f"{found['bad_ids']} ids of the ground truth are not among the {rows} base vectors, {found['largest']} for one")
     return truth
 
 
-def margins(truth: DataFrame, base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Per query: distance at rank k, the gap to the next (null if none is listed), and the floor below which a gap may be
-    rounding where squared distances come from norms and a product in single precision; ``unsafe`` if it is below."""
-    edge = truth.groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("dist"))).alias("edge"), F.max(F.when(F.col("rank") == k + 1, F.col("dist"))).alias("after"))
+MARGIN = 50  # times the rounding floor
+
+
+def margins(truth: DataFrame, base: DataFrame, k: int, depth: int) -> DataFrame:
+    """Per query: the margin between the distances at ranks ``depth`` and ``k``, and the floor under which differences of
+    squared distances cancel in single precision, squared norm of the k-th neighbour times 2^-24; ``thin`` below MARGIN floors."""
+    at = lambda r: F.max(F.when(F.col("rank") == r, F.col("dist")))
+    per = truth.groupBy("query_id").agg((at(depth) - at(k)).alias("margin"))
     last = truth.where(F.col("rank") == k).select("query_id", "vec_id")
-    size = lambda df, name, out: df.select(F.col("vec_id").alias(name), dot(F.col("embedding"), F.col("embedding")).alias(out))
-    rows = edge.join(last, "query_id").join(size(queries, "query_id", "qn"), "query_id").join(size(base, "vec_id", "xn"), "vec_id")
-    gap = F.col("after") - F.col("edge")
-    floor = (F.col("qn") + F.col("xn")) * F.lit(2.0**-23)
-    return rows.select("query_id", "edge", gap.alias("gap"), floor.alias("floor"), F.coalesce(gap < floor, F.lit(False)).alias("unsafe"))
+    size = base.select("vec_id", (dot(F.col("embedding"), F.col("embedding")) * 2.0**-24).alias("floor"))
+    rows = per.join(last, "query_id").join(size, "vec_id")
+    return rows.select("query_id", "margin", "floor", F.coalesce(F.col("margin") < F.col("floor") * MARGIN, F.lit(False)).alias("thin"))
+
+
+def others(base: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """(query_id, rank, vec_id, dist): each vector's k nearest other vectors."""
+    found = exact_knn(base, base, k + 1, metric).where("query_id <> vec_id")
+    return ranked(found.drop("rank"), k)

@@ -5,6 +5,7 @@ Where an operator searches, its queries are all vectors whose id is divisible by
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -881,4 +882,176 @@ def index_bytes(spark, sf_dir):
     return evaluate.index_bytes(IndexConfig(64, store="raw"), sizes)
 
 
+# --- more of the above: other metrics, widths, query bits and kinds
+
+
+@query(
+    with_(B)
+    + f"""SELECT query_id, rank, vec_id, {r6('dist')} AS dist FROM (SELECT x.vec_id AS query_id, y.vec_id, list_distance(x.v, y.v) ** 2 AS dist,
+          row_number() OVER (PARTITION BY x.vec_id ORDER BY list_distance(x.v, y.v) ** 2, y.vec_id) AS rank FROM b AS x JOIN b AS y ON x.vec_id <> y.vec_id) WHERE rank <= 3"""
+)
+def knn_self_join(spark, sf_dir):
+    return rounded(knn.others(vectors(spark, sf_dir), 3), "dist")
+
+
+K11 = KNN.replace("rank <= 10", "rank <= 11")
+
+
+@query(
+    with_(B, Q, K11)
+    + """SELECT query_id, round(margin, 6) + 0.0 AS margin, round(fl * 16777216, 6) + 0.0 AS floor, margin < fl * 50 AS thin FROM (
+         SELECT k.query_id, max(dist) FILTER (rank = 11) - max(dist) FILTER (rank = 10) AS margin, max(list_dot_product(v, v)) FILTER (rank = 10) / 16777216 AS fl FROM k JOIN b USING (vec_id) GROUP BY k.query_id)"""
+)
+def gt_margins(spark, sf_dir):
+    base = vectors(spark, sf_dir)
+    rows = knn.margins(knn.exact_knn(base, asked(base), K + 1), base, K, K + 1)
+    return rounded(rows.withColumn("floor", F.col("floor") * 2.0**24), "margin", "floor")
+
+
+@query(
+    with_(B, Q, KNN, "n AS (SELECT count(*) AS n FROM b)")
+    + "SELECT count(*) FILTER (vec_id + 300 >= n) AS bad_ids, count(DISTINCT query_id) FILTER (vec_id + 300 >= n) AS bad_queries, max(vec_id + 300) FILTER (vec_id + 300 >= n) AS largest FROM k, n"
+)
+def gt_out_of_range(spark, sf_dir):
+    """Ground truth whose ids are off by 300: what the guard before an evaluation finds."""
+    base = vectors(spark, sf_dir)
+    return knn.out_of_range(_truth(spark, sf_dir).withColumn("vec_id", F.col("vec_id") + 300), base.count())
+
+
+@query(with_(B, Q, C, PROBE.format(n=3)) + "SELECT query_id, rank, cid, round(dist, 5) + 0.0 AS dist FROM pr")
+def hnsw_alias(spark, sf_dir):
+    """The kind ``hnsw`` stands for probing by an index over the centroids."""
+    base = vectors(spark, sf_dir)
+    cents = label_centroids(base)
+    own = coarse.build(cents, _config(), cents.select("cid", (F.col("cid") % 3).alias("inner")), refine="full")
+    return rounded(coarse.choose(asked(base), cents, _config(), SearchConfig(nprobe=3, coarse="hnsw", irq_mode="full"), own), "dist", digits=5)
+
+
+@query(
+    with_(B, Q, C, "i AS (SELECT inn, list(m ORDER BY j) AS c FROM (SELECT cid % 3 AS inn, j, avg(c[j]) AS m FROM c, range(1, 65) t(j) GROUP BY ALL) GROUP BY inn)",
+          "s AS (SELECT query_id, w, inn FROM (SELECT query_id, w, inn, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(w, c), inn) AS r FROM q, i) WHERE r <= 2)")
+    + """SELECT query_id, rank, cid, round(dist, 5) + 0.0 AS dist FROM (SELECT query_id, cid, list_distance(w, c) AS dist,
+         row_number() OVER (PARTITION BY query_id ORDER BY list_distance(w, c), cid) AS rank FROM s JOIN c ON cid % 3 = inn) WHERE rank <= 3"""
+)
+def irq_kfixed_probe(spark, sf_dir):
+    """Half as many inner clusters as wanted ones, rounded up, are scanned: two of three."""
+    base = vectors(spark, sf_dir)
+    cents = label_centroids(base)
+    own = coarse.build(cents, _config(), cents.select("cid", (F.col("cid") % 3).alias("inner")), refine="full")
+    return rounded(coarse.probe(asked(base), own, 3, "kfixedmult", 0.5), "dist", digits=5)
+
+
+@query()
+def irq_kfixed_exbits(spark, sf_dir):
+    """The same, refined by extra bits; the tests compare it with flat probing by recall."""
+    base = vectors(spark, sf_dir)
+    cents = label_centroids(base)
+    own = coarse.build(cents, _config(), cents.select("cid", (F.col("cid") % 3).alias("inner")))
+    return rounded(coarse.probe(asked(base), own, 3, "kfixedmult", 0.5), "dist")
+
+
+@query(
+    with_(B, C, "h AS (SELECT label AS cell, vec_id AS cid, v AS c FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM b) WHERE r <= 4)",
+          "p AS (SELECT vec_id, v, cid AS cell, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(v, c) ** 2, cid) AS r FROM b, c)",
+          "x AS (SELECT vec_id, cid FROM (SELECT vec_id, h.cid, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(v, h.c) ** 2, h.cid) AS r FROM b, h) WHERE r = 1)",
+          "s AS (SELECT probes, vec_id, cid FROM (SELECT probes, vec_id, h.cid, row_number() OVER (PARTITION BY probes, vec_id ORDER BY list_distance(v, h.c) ** 2, h.cid) AS o FROM p JOIN h USING (cell) JOIN (SELECT unnest([1, 2, 4, 10]) AS probes) ON r <= probes) WHERE o = 1)")
+    + f"SELECT probes::BIGINT AS probes, count(*) AS rows, {r6('avg(CASE WHEN s.cid = x.cid THEN 1.0 ELSE 0.0 END)')} AS recall FROM s JOIN x USING (vec_id) GROUP BY probes"
+)
+def assign_probe_sweep(spark, sf_dir):
+    """Recall of two-level assignment for growing numbers of cells."""
+    base = vectors(spark, sf_dir)
+    return rounded(clustering.probe_sweep(base, label_centroids(base), _children(base), [1, 2, 4, 10]), "recall")
+
+
+@query(with_(RESID, UNIT, SCALE, EXCODE, NORMS) + f"SELECT ef.id AS vec_id, {r6('1 - rc + ef.n2 * cw / rw')} AS f_add_ex, {r6('-sqrt(ef.n2) / along')} AS f_rescale_ex FROM ef JOIN g ON g.id = ef.id AND g.cid = ef.cid")
+def exbits_factors_ip(spark, sf_dir):
+    rows = _postings(spark, sf_dir, bits=5, metric="ip")[3].select("vec_id", "f_add_ex", "f_rescale_ex")
+    return rounded(rows, "f_add_ex", "f_rescale_ex")
+
+
+def _kinds_sql() -> str:
+    tail = f"""SELECT id AS vec_id, {r6('sqrt(n2 / s2) / (dot / sqrt(n2 * s2))')} AS unbiased, {r6('sqrt(n2 / s2)')} AS plain
+               FROM (SELECT id, sum(r * r) AS n2, sum((code - 15.5) * (code - 15.5)) AS s2, sum(r * (code - 15.5)) AS dot FROM fu GROUP BY id)"""
+    return _scalar_sql(tail)
+
+
+@query(_kinds_sql())
+def scalar_quantize_kinds(spark, sf_dir):
+    """Steps of the kinds that keep inner products right on average, and lengths."""
+
+    def kernel(col):
+        x = matrix(col["embedding"])
+        return {"vec_id": col["vec_id"], **{kind: kernels.scalar_quantize(x, 5, kind)[1] for kind in ("unbiased", "plain")}}
+
+    return rounded(map_arrow(vectors(spark, sf_dir).select("vec_id", "embedding"), kernel, "vec_id long,unbiased double,plain double"), "unbiased", "plain")
+
+
+_Y4 = "lim4 AS (SELECT id, min(x) AS lo, (max(x) - min(x)) / 15 AS step FROM y3 GROUP BY id), y4 AS (SELECT id, j, lo + step * least(15, floor((x - lo) / step + 0.5)) AS x FROM y3 JOIN lim4 USING (id)),"
+SMALL = ESTIMATE.replace("FROM pr JOIN y3 ON", "FROM pr JOIN y4 AS y3 ON").replace("dots AS (", _Y4 + " dots AS (")
+
+
+@query(with_(RESID, NORMS, Q, PROBE.format(n=3), SMALL) + "SELECT query_id, vec_id, cid, round(est, 5) + 0.0 AS est, round(low, 5) + 0.0 AS low FROM est")
+def query4_estimate(spark, sf_dir):
+    """Estimates from queries of four bits a coordinate."""
+    base, cents, config, postings = _postings(spark, sf_dir)
+    rows = index.estimates(postings, asked(base), cents, config, 3, query_bits=4)
+    return rounded(rows.select("query_id", "vec_id", "cid", "est", "low"), "est", "low", digits=5)
+
+
+#: Vectors of 128 dimensions: each with the next one's after it.
+WIDE = "w AS (SELECT x.vec_id, x.label, list_concat(x.v, y.v) AS v FROM b AS x JOIN b AS y ON y.vec_id = (x.vec_id + 1) % (SELECT count(*) FROM b))"
+
+
+def _wide(base: DataFrame) -> DataFrame:
+    n = base.count()
+    after = base.select(F.pmod(F.col("vec_id") - 1, F.lit(n)).alias("vec_id"), F.col("embedding").alias("more"))
+    return base.join(after, "vec_id").select("vec_id", F.col("label").cast("long").alias("cid"), F.concat("embedding", "more").alias("embedding"))
+
+
+def _wide_sql() -> str:
+    width = lambda x: x.replace("range(0, 64)", "range(0, 128)").replace("r * 64 + j", "r * 128 + j").replace("/ 8 AS x", "/ sqrt(128) AS x")
+    parts = [
+        B, WIDE, width(FLIPS),
+        "l AS (SELECT vec_id AS id, j - 1 AS j, v[j] AS x FROM w, range(1, 129) t(j))", width(_turned("l", "m")),
+        "lc AS (SELECT label AS id, j - 1 AS j, avg(v[j]) AS x FROM w, range(1, 129) t(j) GROUP BY label, j)", width(_turned("lc", "n")),
+        "e AS (SELECT m3.id, label AS cid, m3.j, n3.x AS c, m3.x - n3.x AS r, CASE WHEN m3.x - n3.x > 0 THEN 1 ELSE 0 END AS bit FROM m3 JOIN w ON vec_id = m3.id JOIN n3 ON n3.id = label AND n3.j = m3.j)",
+        "g AS (SELECT id, sum(r * r) AS n2, sum(r * (bit - 0.5)) AS ru, sum(CASE WHEN j < 64 THEN c * (bit - 0.5) ELSE 0 END) AS cu, string_agg(CASE WHEN j < 64 THEN bit::VARCHAR ELSE '' END, '' ORDER BY j) AS bits FROM e GROUP BY id)",
+    ]
+    return with_(*parts) + f"SELECT id AS vec_id, bits, {r6('n2 + 4 * n2 * cu / ru')} AS f_add, {r6('-4 * n2 / ru')} AS f_rescale, {r6('2 * 1.9 * sqrt(n2) / 8')} AS f_error FROM g"
+
+
+@query(_wide_sql())
+def prefix_factors(spark, sf_dir):
+    """Half of 128 dimensions resident: signs and factors of the prefix."""
+    rows = _wide(vectors(spark, sf_dir))
+    cents = clustering.centroids(rows)
+    postings = index.build(rows, cents, IndexConfig(128, memdim=64, seed=SEED))
+    bits = F.concat(*[F.lpad(F.conv(F.substring(F.hex("bits"), 4 * i + 1, 4), 16, 2), 16, "0") for i in range(4)])
+    return rounded(postings.select("vec_id", bits.alias("bits"), "f_add", "f_rescale", "f_error"), "f_add", "f_rescale", "f_error")
+
+
+@query()
+def prefix_search(spark, sf_dir):
+    """Search with half of 128 dimensions resident; the tests compare it with exact search by recall."""
+    rows = _wide(vectors(spark, sf_dir))
+    cents, config = clustering.centroids(rows), IndexConfig(128, memdim=64, seed=SEED)
+    return rounded(index.search(index.build(rows, cents, config), asked(rows), cents, config, SearchConfig(k=K, nprobe=10)), "dist")
+
+
+@query("SELECT vec_id, j - 1 AS pos, embedding[j]::DOUBLE AS x FROM embeddings, range(1, 65) t(j)")
+def file_roundtrip(spark, sf_dir):
+    """All vectors through a file with one header and a folder of files with a width for each row."""
+    from orrery.sources import vector_files
+    from orrery.storage import shared_folder
+
+    folder = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    folder = folder if ":" in folder else f"file://{folder}"
+    system, path = vector_files._at(folder)
+    system.create_dir(path, recursive=True)
+    vector_files.write_vectors(vectors(spark, sf_dir), f"{folder}/a.fbin")
+    vector_files.write_vectors(spark.read.format("vectorfile").load(f"{folder}/a.fbin"), f"{folder}/b.fvecs", parts=True)
+    rows = spark.read.format("vectorfile").load(f"{folder}/b.fvecs").select("vec_id", F.posexplode("embedding").alias("pos", "x"))
+    return rows.select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("x").cast("double").alias("x"))
+
+
 __all__ = ["QUERIES", "SQL", "EvalConfig"]

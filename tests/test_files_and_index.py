@@ -121,7 +121,9 @@ def test_grid_skips_finished_cells(spark, data, tmp_path):
 
 def test_folders_and_id_files(spark, data, tmp_path):
     path = str(tmp_path / "x.fbin")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     files.write_vectors(data, path, parts=True)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(files.files_of(path)) > 1
     back = spark.read.format("vectorfile").load("file://" + path)
     assert back.join(data, ["vec_id", "embedding"]).count() == 300 == back.count()
@@ -229,3 +231,12 @@ def test_queries_in_parts(spark, data, monkeypatch):
     assert len(parts) > 1 and sum(p.count() for p in parts) == 100
     monkeypatch.setattr(knn, "query_chunks", lambda *a: parts)
     assert sorted(map(tuple, knn.exact_knn(data, q, 4).collect())) == want
+
+
+def test_hot_cluster_is_ordered_in_parts(spark, data, monkeypatch):
+    cents = spark.createDataFrame([(0, [0.0] * 128)], "cid long, centroid array<double>")
+    placed = data.withColumn("cid", F.lit(0))
+    want = sorted(map(tuple, index.places(placed, cents).select("vec_id", "pos").collect()))
+    monkeypatch.setattr(index, "ORDERED", 16)
+    assert sorted(map(tuple, index.places(placed, cents).select("vec_id", "pos").collect())) == want
+    assert sorted(p for _, p in want) == list(range(300))

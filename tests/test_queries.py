@@ -1,6 +1,8 @@
 import pytest
 from conftest import same_rows
 
+from orrery.operators import knn
+from orrery.plans import queries
 from orrery.plans.queries import QUERIES, SQL
 
 
@@ -17,6 +19,16 @@ def test_full_search_recall(spark, sf_dir):
     assert found.join(truth, ["query_id", "vec_id"], "left_semi").count() >= 0.95 * n
 
 
+def test_recall_of_queries_without_sql(spark, sf_dir):
+    base = queries.vectors(spark, sf_dir)
+    wide = queries._wide(base)
+    truth = knn.exact_knn(wide, queries.asked(wide), 10)
+    assert knn.recall(QUERIES["prefix_search"](spark, sf_dir), truth, 10).first()["recall"] >= 0.95
+    whole = QUERIES["irq_kfixed_probe"](spark, sf_dir).select("query_id", "cid")
+    part = QUERIES["irq_kfixed_exbits"](spark, sf_dir).select("query_id", "cid")
+    assert part.join(whole, ["query_id", "cid"], "left_semi").count() >= 0.95 * whole.count()
+
+
 def test_entry_module(spark):
     import __spark_entry__ as entry
 

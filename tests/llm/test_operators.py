@@ -370,11 +370,37 @@ def test_licenses_inside_paragraphs(spark):
     assert {r["doc_id"]: r["license"] for r in got} == {1: "MIT", 2: "MIT"}
 
 
-def test_telling_words_lose_nothing():
-    scanner = license_scan.Scanner(license_scan.TEMPLATES, {"the": 50, "license": 3, "under": 20}, 60, 0.7)
-    for texts_ in license_scan.TEMPLATES.values():
-        for t in texts_:
-            assert scanner.telling.search(t.lower()) and scanner.line(t.lower())[0] > 0.99
+def cosine(words, template, weight, other):
+    """By the definition."""
+    vector = lambda ws: {w: ws.count(w) * weight.get(w, other) for w in set(ws)}
+    a, b = vector(words), vector(template)
+    size = lambda v: sum(x * x for x in v.values()) ** 0.5
+    return sum(x * b.get(w, 0) for w, x in a.items()) / (size(a) * size(b)) if a else 0.0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.randoms(use_true_random=False))
+def test_licenses_against_brute_force(rng):
+    """Every line, pair of lines and run of a template's length, by the definition of the cosine."""
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, {"the": 50, "license": 3, "under": 20, "and": 40, "in": 30}, 60, 0.7)
+    prose = "the quick brown fox and a software license in use under the sun".split()
+    templates_ = [(name, license_scan.words_of(x)) for name, some in license_scan.TEMPLATES.items() for x in some]
+    words = [rng.choice(prose) for _ in range(rng.randrange(30))]
+    if rng.random() < 0.8:
+        own = list(rng.choice(templates_)[1][: rng.randrange(4, 60)])
+        for _ in range(rng.randrange(3)):
+            own[rng.randrange(len(own))] = rng.choice(prose)
+        words += own
+    words += [rng.choice(prose) for _ in range(rng.randrange(30))]
+    text = "".join(w + (rng.choice(["\n", " ", " ", " "])) for w in words)
+    parts = []
+    lines = [license_scan.words_of(x) for x in text.split("\n")]
+    parts += lines + [a + b for a, b in zip(lines, lines[1:], strict=False)]
+    every = license_scan.words_of(text)
+    runs = [(every[i : i + len(t)], t) for _, t in templates_ for i in range(max(1, len(every) - len(t) + 1))]
+    best = max(cosine(p, t, scanner.weight, scanner.other) for p, t in [*((p, t) for p in parts for _, t in templates_), *runs])
+    found = scanner.file(text)
+    assert (found[1] if found else None) == (pytest.approx(best) if best >= 0.7 else None)
 
 
 # --- WARC

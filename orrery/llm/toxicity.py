@@ -132,20 +132,34 @@ def train(
     pairs = Counter(p for t, _ in texts for p in swaps(t))
     first, second = (_Sparse([index(p[i]) for p in pairs], len(names)) for i in (0, 1))
     times = np.array([c for c in pairs.values()], dtype=float) * swap_weight / max(1, len(rows))
-    w, bias = np.zeros(len(names)), math.log(q / (1 - q))
-    m, v, t = np.zeros(len(names) + 1), np.zeros(len(names) + 1), 0
+    loss = Loss(matrix, y, gain, first, second, times, ridge)
+    x = np.append(np.zeros(len(names)), math.log(q / (1 - q)))
+    m, v = np.zeros(len(x)), np.zeros(len(x))
     for t in range(1, rounds + 1):
-        off = (_sigmoid(matrix.dot(w) + bias) - y) * gain / len(rows)
-        g = matrix.spread(off) + ridge * w / len(rows)
-        if pairs:  # of times * (score - swapped score)^2
-            a, b = _sigmoid(first.dot(w) + bias), _sigmoid(second.dot(w) + bias)
-            gap = 2 * times * (a - b)
-            g += first.spread(gap * a * (1 - a)) - second.spread(gap * b * (1 - b))
-        g = np.append(g, off.sum())
+        g = loss.gradient(x)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-        w, bias = w - step[:-1], bias - step[-1]
-    return Model(float(bias), {x: float(y) for x, y in zip(names, w, strict=True) if abs(y) > 1e-4})
+        x = x - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+    return Model(float(x[-1]), {n: float(w) for n, w in zip(names, x[:-1], strict=True) if abs(w) > 1e-4})
+
+
+class Loss:
+    """Of weights and, last, the bias: weighted log loss, half the ridge, and the squared score changes of swaps."""
+
+    def __init__(self, texts: _Sparse, y: np.ndarray, gain: np.ndarray, first: _Sparse, second: _Sparse, times: np.ndarray, ridge: float) -> None:
+        self.texts, self.y, self.gain, self.first, self.second, self.times, self.ridge = texts, y, gain, first, second, times, ridge
+
+    def value(self, x: np.ndarray) -> float:
+        z = self.texts.dot(x[:-1]) + x[-1]
+        gap = _sigmoid(self.first.dot(x[:-1]) + x[-1]) - _sigmoid(self.second.dot(x[:-1]) + x[-1])
+        return float(((np.logaddexp(0, z) - self.y * z) * self.gain).mean() + self.ridge / 2 * (x[:-1] ** 2).sum() / len(self.y) + (self.times * gap**2).sum())
+
+    def gradient(self, x: np.ndarray) -> np.ndarray:
+        w, bias = x[:-1], x[-1]
+        off = (_sigmoid(self.texts.dot(w) + bias) - self.y) * self.gain / len(self.y)
+        a, b = _sigmoid(self.first.dot(w) + bias), _sigmoid(self.second.dot(w) + bias)
+        up, down = 2 * self.times * (a - b) * a * (1 - a), 2 * self.times * (a - b) * b * (1 - b)
+        g = self.texts.spread(off) + self.ridge * w / len(self.y) + self.first.spread(up) - self.second.spread(down)
+        return np.append(g, off.sum() + up.sum() - down.sum())
 
 
 class _Sparse:

@@ -18,6 +18,7 @@ import json
 import re
 import unicodedata
 import zlib
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -66,12 +67,13 @@ class Merges:
         raw = lambda s: bytes(of[c] for c in s.removesuffix("</w>")) + END_OF_WORD * s.endswith("</w>")
         pairs = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
         names = [symbol[b] for b in range(256)] + [symbol[b] + "</w>" for b in range(255)] + [a + b for a, b in pairs]
-        self.ids = np.array([vocab[x] for x in names], dtype="<u4")
+        self.ids = [vocab[x].to_bytes(4, "little") for x in names]
         ranks = {raw(x): i for i, x in enumerate(names)}
         self.encode = tiktoken.Encoding("merges", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def __call__(self, word: str) -> bytes:
-        return self.ids[self.encode(word.encode() + END_OF_WORD)].tobytes()
+        ids = self.ids
+        return b"".join([ids[x] for x in self.encode(word.encode() + END_OF_WORD)])
 
 
 class Words:
@@ -86,11 +88,14 @@ class Words:
         from tokenizers import Tokenizer
 
         said = Path(vocabulary).read_text(encoding="utf-8")
-        self.tokenizer, self.cached = Tokenizer.from_str(said), cached
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_str(said)
+        self.known, self.parts = _Known(self.word, cached), _Known(lambda x: self.merges(x), cached)
         form = json.loads(said)
-        self.split = regex.compile(form["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        pattern = form["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split = regex.compile(pattern).findall
+        first = pattern.split("|")
+        # a run of letters is one part: what is tried before begins with an apostrophe
+        self.letters = "[\\p{L}]+" in first and all(x.startswith("'") for x in first[: first.index("[\\p{L}]+")])
         self.merges = Merges(form["model"])
 
     def whole(self, text: str) -> bytes:
@@ -99,15 +104,10 @@ class Words:
     def word(self, word: str) -> bytes:
         if _RARE.search(word):
             return self.whole(word)
-        out, parts = [], self.parts
-        for x in self.split(word):
-            ids = parts.get(x)
-            if ids is None:
-                if len(parts) >= self.cached:
-                    parts.clear()
-                ids = parts[x] = self.merges(x)
-            out.append(ids)
-        return b"".join(out)
+        if self.letters and word.isalpha():
+            return self.merges(word)
+        parts = self.split(word)
+        return self.parts[parts[0]] if len(parts) == 1 else b"".join([self.parts[x] for x in parts])
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -115,18 +115,25 @@ class Words:
             return self.whole(text)
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        words = text.lower().split()
-        known = self.known
-        try:
-            return b"".join([known[x] for x in words])
-        except KeyError:
-            new = {x for x in words if x not in known}
-            if len(known) + len(new) > self.cached:
-                known.clear()
-                new = set(words)
-            for x in new:
-                known[x] = self.word(x)
-            return b"".join([known[x] for x in words])
+        return b"".join(map(self.known.__getitem__, text.lower().split()))
+
+
+class _Known(dict):
+    """What ``make`` gives for each key. At half of ``most`` entries they become the old ones; what isn't asked for again goes."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most // 2:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:

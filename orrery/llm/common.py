@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
-import tempfile
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -13,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from orrery.storage import durable, release, shared_folder
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "UPPER", "WORD", "ascii_lower", "chunked", "durable", "held", "map_batches", "quoted", "release", "shared_folder", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word: a run without space and the control characters tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,33 +41,6 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; one of our own only where all of them are this machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="orrery-"))
-    return jsc.getCheckpointDir().get().rstrip("/")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder; what follows survives lost executors without redoing them."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of frames that are no longer used; in loops they pile up otherwise."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 _HELD: list = [None, None]
 
 

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orrery.llm.common import UPPER, durable
+from orrery.llm.common import UPPER
+from orrery.storage import discard, written
 
 LEAST_VALUES, REPEATS = 5, 3.0
 MOST_LITERALS, HEAVY = 32, 0.05
@@ -55,7 +56,7 @@ def templates(urls: DataFrame) -> DataFrame:
     """(host, path, n, label) of different urls to the same with the template of each path."""
     parts = F.split(F.substring("path", 2, 2**31 - 1), "/")
     parts = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(parts)
-    rows = durable(urls.withColumn("parts", parts).withColumn("template", F.lit("")).withColumn("alone", F.size("parts") == 0))
+    rows = written(urls.withColumn("parts", parts).withColumn("template", F.lit("")).withColumn("alone", F.size("parts") == 0))
     level = 0
     while not rows.where(~F.col("alone")).isEmpty():
         here = rows.where(~F.col("alone")).withColumn("seg", F.element_at("parts", level + 1))
@@ -83,7 +84,8 @@ def templates(urls: DataFrame) -> DataFrame:
             F.concat_ws("/", "template", "name", rest).alias("template"),
             (F.col("single") | (F.size("parts") == level + 1)).alias("alone"),
         )
-        rows = durable(rows.where("alone").unionByName(deeper))
+        last, rows = rows, written(rows.where("alone").unionByName(deeper))
+        discard(last)
         level += 1
     return rows.select("host", "path", "n", "label", "template")
 

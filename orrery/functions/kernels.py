@@ -169,8 +169,9 @@ def levels_at(a: np.ndarray, t: np.ndarray, ex_bits: int) -> np.ndarray:
     return k.astype(np.int64)
 
 
-def ex_codes(x: np.ndarray, c: np.ndarray, ex_bits: int, metric: str, scale: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Extra-bit codes of residuals and their factors add, rescale; ``scale`` skips the search for the best one."""
+def ex_codes(x: np.ndarray, c: np.ndarray | None, ex_bits: int, metric: str, scale: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Extra-bit codes of residuals to ``c`` (None: the origin) and their factors add, rescale; ``scale`` skips the search for the best one."""
+    c = np.zeros_like(x) if c is None else c
     r = x - c
     a = unit_abs(r)
     if scale is None:
@@ -238,6 +239,11 @@ def ex_estimate(bits, code, add, rescale, q, q_add, ex_bits):
     return add[:, None] + q_add + rescale[:, None] * dot
 
 
+def ex_lower(dist, error, q_err, ex_bits):
+    """Lower bounds of distances from all bits: the one-bit error shrinks by two with each extra bit."""
+    return dist - error[:, None] * q_err / (1 << ex_bits)
+
+
 def query_terms(q: np.ndarray, c: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
     """What queries add to estimates at a centroid: distance terms and error scale."""
     gap = np.sqrt(((q - c) ** 2).sum(1))

@@ -619,6 +619,26 @@ def rq_search_full(spark, sf_dir):
     return rounded(index.search(postings, asked(base), cents, config, SearchConfig(k=K, nprobe=10)), "dist")
 
 
+EXBITS = with_(RESID, NORMS, UNIT, SCALE, EXCODE, Q, PROBE.format(n=3), ESTIMATE).rstrip() + """,
+    bd AS (SELECT y3.id AS query_id, ec.id AS vec_id, ec.cid AS cid, sum(y3.x * (code + CASE WHEN r > 0 THEN 16 ELSE 0 END - 15.5)) AS qw FROM pr
+           JOIN y3 ON y3.id = pr.query_id JOIN ec ON ec.cid = pr.cid AND ec.j = y3.j GROUP BY ALL),
+    tr AS (SELECT est.query_id AS query_id, est.vec_id AS vec_id, est, low, ef.n2 + 2 * ef.n2 * cw / rw + pr.dist * pr.dist - 2 * sqrt(ef.n2) / along * qw AS dist
+           FROM est JOIN bd ON bd.query_id = est.query_id AND bd.vec_id = est.vec_id AND bd.cid = est.cid
+           JOIN ef ON ef.id = est.vec_id AND ef.cid = est.cid JOIN pr ON pr.query_id = est.query_id AND pr.cid = est.cid),
+    sd AS""" + PRUNE.partition("sd AS")[2]
+
+
+@query(
+    EXBITS
+    + """ SELECT query_id, rank, vec_id, round(dist, 5) + 0.0 AS dist FROM (SELECT query_id, vec_id, dist,
+         row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM mk WHERE kept) WHERE rank <= 10"""
+)
+def rq_search_exbits(spark, sf_dir):
+    """Two-round pruned search re-ranked by signs and four extra bits."""
+    base, cents, config, postings = _postings(spark, sf_dir, bits=5)
+    return rounded(index.search(postings, asked(base), cents, config, SearchConfig(k=K, nprobe=3)), "dist", digits=5)
+
+
 def _scalar_sql(tail: str) -> str:
     return with_(B, "un AS (SELECT vec_id AS id, vec_id AS cid, j, x AS r, 0 AS c, abs(x) / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS a FROM (SELECT vec_id, j - 1 AS j, v[j] AS x FROM b, range(1, 65) t(j)))", SCALE, "cd AS (SELECT un.*, (SELECT count(*) FROM range(1, 16) z(k) WHERE a > 0 AND k / a <= t * (1 + 1e-12)) AS lev FROM un JOIN best USING (id))", "fu AS (SELECT *, CASE WHEN r < 0 THEN 15 - lev ELSE lev + 16 END AS code FROM cd)", "dl AS (SELECT id, sum(r * (code - 15.5)) / sum((code - 15.5) * (code - 15.5)) AS delta FROM fu GROUP BY id)") + tail
 

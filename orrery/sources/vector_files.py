@@ -433,6 +433,20 @@ def write_gt64(rows: list[tuple], k: int, path: str) -> None:
     _write(path, [GT64 + struct.pack("<QQQ", 1, len(found) // k, k), np.array([r[2] for r in found], "<u8").tobytes()])
 
 
+def convert_truth(spark: SparkSession, source: str, target: str, queries: int | None = None) -> None:
+    """Ground truth in another form, of all or the first ``queries`` queries: .gt64 (ids alone), else type 1, which needs distances."""
+    rows = read_ground_truth(spark, source)
+    rows = rows if queries is None else rows.where(rows["query_id"] < queries)
+    found = [tuple(r) for r in rows.collect()]
+    k = max((r[1] for r in found), default=0)
+    if target.endswith(".gt64"):
+        write_gt64(found, max(1, k), target)
+    elif any(r[3] is None for r in found):
+        raise VectorFileError("the ground truth has no distances, which type 1 needs")
+    else:
+        write_ground_truth(found, max(1, k), target)
+
+
 def _write(path: str, pieces: list[bytes]) -> None:
     system, name = _at(path)
     with system.open_output_stream(name + ".part", compression=None) as f:

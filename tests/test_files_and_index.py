@@ -137,6 +137,11 @@ def test_folders_and_id_files(spark, data, tmp_path):
     files.write_gt64(truth, 3, str(tmp_path / "t.gt64"))
     got = spark.read.format("vectorfile").option("kind", "truth").option("splitRows", 2).load(str(tmp_path / "t.gt64"))
     assert got.rdd.getNumPartitions() == 4 and sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()) == [x[:3] for x in truth]
+    files.write_ground_truth([(q, r, 7 * q + r, r / 2) for q, r, _, _ in truth], 3, str(tmp_path / "one.bin"))
+    files.convert_truth(spark, str(tmp_path / "one.bin"), str(tmp_path / "two.gt64"), queries=2)
+    assert sorted(tuple(r) for r in files.read_ground_truth(spark, str(tmp_path / "two.gt64")).collect()) == [(q, r, 7 * q + r, None) for q in (0, 1) for r in (1, 2, 3)]
+    with pytest.raises(files.VectorFileError, match="no distances"):
+        files.convert_truth(spark, str(tmp_path / "two.gt64"), str(tmp_path / "three.bin"))
     (tmp_path / "ids.bin").write_bytes(np.array([2, 2, 4, 5, 6, 7], "<i4").tobytes())
     assert [r["vec_id"] for r in files.read_ground_truth(spark, str(tmp_path / "ids.bin")).orderBy("query_id", "rank").collect()] == [4, 5, 6, 7]
     with pytest.raises(files.VectorFileError):

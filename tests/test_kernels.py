@@ -161,3 +161,36 @@ def test_packed_codes(e):
     code = np.random.default_rng(e).integers(0, 1 << e, (7, 128))
     packed = K.pack_codes(code, e)
     assert packed.shape == (7, 128 * e // 8) and (K.unpack_codes(packed, 128, e) == code).all()
+
+
+def test_index_names_and_reports(spark, tmp_path):
+    from orrery.operators import evaluate as E
+
+    names = spark.createDataFrame([("deep_C1000_B9_M64_exbits",), ("x_C24_B1_M128_raw",)], "name string")
+    assert [tuple(r) for r in names.select(*E.parse_index_name(names["name"])).collect()] == [(1000, 9, 64, "exbits"), (24, 1, 128, "raw")]
+    E.write_json(names, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 2 and len(list((tmp_path / "r").glob("part-*"))) == 1
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_faster_codes_are_nearly_as_good(metric):
+    rng = np.random.default_rng(3)
+    x, q, c = rng.standard_normal((200, 128)), rng.standard_normal((10, 128)), np.zeros((200, 128))
+    true, q_add = K.distances(x, q, metric), K.query_terms(q, c[0], metric)[0]
+    off = {}
+    for scale in (None, K.constant_rescale(128, 4, 0)):
+        code, add, rescale = K.ex_codes(x, c, 4, metric, scale)
+        off[scale is None] = np.abs(K.ex_estimate(x > 0, code, add, rescale, q, q_add, 4) - true).mean()
+    assert off[False] < 1.5 * off[True] < 1.5
+
+
+@pytest.mark.parametrize("e", [1, 4, 8])
+def test_bounds_of_all_bits(e):
+    rng = np.random.default_rng(e)
+    x, q = rng.standard_normal((300, 128)), rng.standard_normal((20, 128))
+    bits, _, _, error = K.onebit(x, None, "l2")
+    code, add, rescale = K.ex_codes(x, None, e, "l2")
+    q_add, q_err = K.query_terms(q, np.zeros(128), "l2")
+    dist = K.ex_estimate(bits, code, add, rescale, q, q_add, e)
+    low, true = K.ex_lower(dist, error, q_err, e), K.distances(x, q, "l2")
+    assert (low > true).mean() < 0.05 and (low <= dist).all()

@@ -109,7 +109,7 @@ def unit_abs(r: np.ndarray) -> np.ndarray:
     return np.abs(r) / np.where(norm > 0, norm, 1.0)
 
 
-RESCALE_CELLS = 1 << 22  # events that the search for the best scale holds at once
+RESCALE_CELLS = 1 << 20  # events that the search for the best scale holds at once
 
 
 def best_rescale(a: np.ndarray, ex_bits: int) -> np.ndarray:

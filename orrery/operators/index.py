@@ -5,8 +5,9 @@ vectors' columns joined to matrices: vec_id, page_id, then resident columns, the
 
 A search takes queries in parts of bounded size, which every task gets with the clusters they probe; index rows are neither
 shuffled nor grouped. Scans are limited to the probed clusters by ranges of cid, which Parquet's statistics understand. Two
-passes read resident columns only: the first gives each task's best estimates, the second all points whose lower bound
-doesn't exceed the query's threshold. Payload columns are read for the blocks that hold seeds or survivors.
+passes read resident columns only: the first gives each task's best estimates, the second the blocks that hold points whose
+lower bound doesn't exceed a query's threshold. Payload columns are read for the blocks that hold seeds or survivors; a task takes a
+block's queries in tiles and keeps each query's best, so pairs of queries and survivors are neither stored nor shuffled.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ RESIDENT = "bits binary,f_add double,f_rescale double,f_error double"
 PAYLOAD = "rest binary,ex_code binary,f_add_ex double,f_rescale_ex double,raw array<float>"
 RANGES = 32  # of cids in a scan's filter
 LISTED = 1000  # cids that a filter names one by one
+QUERIES = 1024  # that meet the points of a block at once
+PAIRS = 1 << 20  # coordinates of pairs of points and queries that are compared at once
+SENT_BLOCKS = 1 << 20  # names of blocks that a join sends to every task
 
 
 def _places(ids: np.ndarray, cid: pa.Array) -> np.ndarray:
@@ -189,6 +193,7 @@ class Asked:
     rows: np.ndarray  # of ``ids``
     centroids: np.ndarray  # of ``cids``
     tau: np.ndarray | None = None
+    last: np.ndarray | None = None  # distances of the k-th seeds, which nothing in the result exceeds
     seeds: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] | None = None  # queries and places by cid and block
 
     def of(self, cid: int) -> tuple[int, np.ndarray]:
@@ -293,38 +298,105 @@ class _Reader:
         self.a, self.config, self.turned, self.c = a, config, a.q @ rotation, a.centroids @ rotation
 
     def resident(self, batch: pa.RecordBatch, row: int):
-        """Rows of the queries, then (points, queries) of estimates and lower bounds; None where no query probes the cluster."""
-        at, rows = self.a.of(batch.column("cid")[row].as_py())
-        if not len(rows):
-            return None
-        v, m = self.turned[rows], self.config.prefix
+        """A tile of queries after the other: their rows, then (points, queries) of estimates and lower bounds; nothing where
+        no query probes the cluster."""
+        at, asking = self.a.of(batch.column("cid")[row].as_py())
+        if not len(asking):
+            return
+        m = self.config.prefix
         n = len(_numbers(batch, "f_add", row))
         bits = np.unpackbits(_bytes(batch, "bits", row, n), axis=1)
-        terms = kernels.query_terms(v, self.c[at], self.config.metric)
-        factors = (_numbers(batch, x, row) for x in ("f_add", "f_rescale", "f_error"))
-        if self.query_bits:
-            return (rows, *kernels.small_query_estimate(bits, *factors, v[:, :m], *terms, self.query_bits))
-        return (rows, *kernels.onebit_estimate(bits, *factors, v, *terms, m))
+        factors = [_numbers(batch, x, row) for x in ("f_add", "f_rescale", "f_error")]
+        for lo in range(0, len(asking), QUERIES):
+            rows = asking[lo : lo + QUERIES]
+            v = self.turned[rows]
+            terms = kernels.query_terms(v, self.c[at], self.config.metric)
+            if self.query_bits:
+                yield (rows, *kernels.small_query_estimate(bits, *factors, v[:, :m], *terms, self.query_bits))
+            else:
+                yield (rows, *kernels.onebit_estimate(bits, *factors, v, *terms, m))
+
+    def kept(self, batch: pa.RecordBatch, row: int):
+        """A tile of queries after the other: their rows, then (points, queries) of lower bounds and of a mark: is the point a
+        seed, or its bound not above the query's threshold."""
+        seeds = self.a.seeds.get((batch.column("cid")[row].as_py(), batch.column("block")[row].as_py()))
+        for rows, _, low in self.resident(batch, row):
+            keep = low <= self.a.tau[rows]
+            if seeds:
+                here = (seeds[0] >= rows[0]) & (seeds[0] <= rows[-1])
+                keep[seeds[1][here], np.searchsorted(rows, seeds[0][here])] = True
+            yield rows, low, keep
+
+    def refined(self, batch: pa.RecordBatch, row: int, k: int):
+        """A tile of queries after the other: queries, distances and places of what is kept of the block and can be among a
+        query's k best. A product of matrices finds these; only they are computed pair by pair."""
+        found = None
+        for rows, _, keep in self.kept(batch, row):
+            used = np.flatnonzero(keep.any(axis=1))
+            if not len(used):
+                continue
+            found = found or self._payload(batch, row)
+            together, one_by_one = found
+            d, off = together(used, rows)
+            keep = keep[used]
+            edge = self.a.last[rows]
+            if len(used) > k:
+                edge = np.minimum(edge, np.partition(np.where(keep, d, np.inf), k - 1, axis=0)[k - 1])
+            i, j = np.nonzero(keep & ~(d > edge + 2 * off))
+            yield rows[j], one_by_one(used[i], rows[j]), used[i]
 
     def payload(self, batch: pa.RecordBatch, row: int, points: np.ndarray, queries: np.ndarray) -> np.ndarray:
         """Distances of pairs of a block's points and queries: exact, or from all bits."""
-        config = self.config
+        return self._payload(batch, row)[1](points, queries)
+
+    def _payload(self, batch: pa.RecordBatch, row: int):
+        """Two functions of a block's points and queries: (points, queries) of distances by a product of matrices, with what
+        they may be off by; and the distances of pairs, where equal pairs give equal values."""
+        config, a = self.config, self.a
         if config.store == "raw":
             x = _numbers(batch, "raw", row).reshape(-1, config.dim).astype(float)
-            return kernels.paired(x[points], self.a.q[queries], config.metric)
-        at, _ = self.a.of(batch.column("cid")[row].as_py())
-        add = _numbers(batch, "f_add_ex", row)
+            together = lambda points, queries: (kernels.distances(x[points], a.q[queries], config.metric), kernels.slack(x[points], a.q[queries]))
+            return together, _parted(lambda points, queries: kernels.paired(x[points], a.q[queries], config.metric), config.dim)
+        at, _ = a.of(batch.column("cid")[row].as_py())
+        add, rescale = _numbers(batch, "f_add_ex", row), _numbers(batch, "f_rescale_ex", row)
         n, e = len(add), config.ex_bits
         signs = _bytes(batch, "bits", row, n)
         if config.width > config.prefix:
             signs = np.concatenate((signs, _bytes(batch, "rest", row, n)), axis=1)
-        used, own = np.unique(points, return_inverse=True)
-        code = kernels.unpack_codes(_bytes(batch, "ex_code", row, n)[used], config.width, e)
-        whole = np.unpackbits(signs[used], axis=1).astype(float) * (1 << e) + code
-        v = self.turned[queries]
-        q_add, _ = kernels.query_terms(v, self.c[at], config.metric)
-        dot = np.einsum("ij,ij->i", whole[own], v) - ((1 << (e + 1)) - 1) / 2 * v.sum(1)
-        return add[points] + q_add + _numbers(batch, "f_rescale_ex", row)[points] * dot
+        code = kernels.unpack_codes(_bytes(batch, "ex_code", row, n), config.width, e)
+        whole = np.unpackbits(signs, axis=1).astype(float) * (1 << e) + code
+        middle = ((1 << (e + 1)) - 1) / 2
+
+        def together(points, queries):
+            v = self.turned[queries]
+            q_add, _ = kernels.query_terms(v, self.c[at], config.metric)
+            d = whole[points] @ v.T
+            d -= middle * v.sum(1)
+            d *= rescale[points, None]
+            d += add[points, None]
+            d += q_add
+            most = lambda x: float(np.abs(x).max(initial=0.0))
+            size = most(add[points]) + most(q_add) + most(rescale[points]) * 4 * middle * float(np.abs(v).sum(1).max(initial=0.0))
+            return d, 4 * (config.width + 8) * np.finfo(float).eps * size
+
+        def pairs(points, queries):
+            v = self.turned[queries]
+            q_add, _ = kernels.query_terms(v, self.c[at], config.metric)
+            dot = np.einsum("ij,ij->i", whole[points], v) - middle * v.sum(1)
+            return add[points] + q_add + rescale[points] * dot
+
+        return together, _parted(pairs, config.width)
+
+
+def _parted(pairs, width: int):
+    """A function of points and queries, applied to bounded parts of them."""
+    step = max(1, PAIRS // width)
+
+    def run(points: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        found = [pairs(points[at : at + step], queries[at : at + step]) for at in range(0, len(points), step)]
+        return np.concatenate(found) if found else np.zeros(0)
+
+    return run
 
 
 _ESTIMATED = ["cid", "block", "vec_id", "page_id", "bits", "f_add", "f_rescale", "f_error"]
@@ -351,16 +423,13 @@ def estimates(postings: DataFrame, queries: DataFrame, cents: DataFrame, config:
             reader = _Reader(sent.value, config, query_bits)
             for batch in batches:
                 for row in range(batch.num_rows):
-                    got = reader.resident(batch, row)
-                    if got is None:
-                        continue
-                    rows, est, low = got
-                    n, nq = est.shape
-                    i, j = np.repeat(np.arange(n), nq), np.tile(np.arange(nq), n)
-                    flat = [reader.a.ids[rows[j]], _numbers(batch, "vec_id", row)[i], np.full(n * nq, batch.column("cid")[row].as_py()), _numbers(batch, "page_id", row)[i], est.ravel(), low.ravel()]
-                    if boosted:
-                        flat.append(reader.payload(batch, row, i, rows[j]))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], names=[x.split()[0] for x in schema.split(", ")])
+                    for rows, est, low in reader.resident(batch, row):
+                        n, nq = est.shape
+                        i, j = np.repeat(np.arange(n), nq), np.tile(np.arange(nq), n)
+                        flat = [reader.a.ids[rows[j]], _numbers(batch, "vec_id", row)[i], np.full(n * nq, batch.column("cid")[row].as_py()), _numbers(batch, "page_id", row)[i], est.ravel(), low.ravel()]
+                        if boosted:
+                            flat.append(reader.payload(batch, row, i, rows[j]))
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], names=[x.split()[0] for x in schema.split(", ")])
 
         part = table.where(only(F.col("cid"), some.cids)).select(columns).mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
@@ -374,8 +443,26 @@ def search(postings: DataFrame, queries: DataFrame, cents: DataFrame, config: In
     exactly the probed points whose lower bound doesn't exceed it. With ``drain_alpha`` below 1 the bound for the rest is
     the distance at rank round(alpha * k). Results don't depend on timing; ties go to the smaller id.
     """
-    hits, _ = examined(postings, queries, cents, config, options, coarse)
-    return ranked(hits, options.k)
+    pair(queries, config, "embedding")
+    spark = postings.sparkSession
+    if not config.ex_bits and config.store != "raw":
+        return ranked(_by_estimates(postings, queries, cents, config, options)[0], options.k)
+    table, hits = _blocks(postings), None
+    for some in asked(queries, cents, options, config.dim, config, coarse):
+        _threshold(table, some, config, options)
+        part = _named(_best(table, spark.sparkContext.broadcast(some), config, options.k, some.cids), some)
+        hits = part if hits is None else hits.unionByName(part)
+    return ranked(spark.createDataFrame([], "query_id long, vec_id long, dist double") if hits is None else hits, options.k)
+
+
+def _blocks(postings: DataFrame) -> DataFrame:
+    return postings if "block" in postings.columns else durable(to_blocks(postings))
+
+
+def _named(rows: DataFrame, some: Asked) -> DataFrame:
+    """A part's rows with the queries' ids for their places q."""
+    names = rows.sparkSession.createDataFrame(pa.table({"q": np.arange(len(some.ids)), "query_id": some.ids}))
+    return rows.join(F.broadcast(names), "q").drop("q")
 
 
 def _seeds(table: DataFrame, some: Asked, config: IndexConfig, k: int) -> pa.Table:
@@ -386,16 +473,13 @@ def _seeds(table: DataFrame, some: Asked, config: IndexConfig, k: int) -> pa.Tab
         reader, best = _Reader(sent.value, config), Best(k)
         for batch in batches:
             for row in range(batch.num_rows):
-                got = reader.resident(batch, row)
-                if got is None:
-                    continue
-                rows, est, _ = got
-                if len(est) > k:
-                    i, j = np.nonzero(est <= np.partition(est, k - 1, axis=0)[k - 1])
-                else:
-                    i, j = (x.ravel() for x in np.indices(est.shape))
-                same = lambda name, row=row, i=i, batch=batch: np.full(len(i), batch.column(name)[row].as_py())
-                best.add(rows[j], est[i, j], _numbers(batch, "vec_id", row)[i], same("cid"), same("block"), i)
+                for rows, est, _ in reader.resident(batch, row):
+                    if len(est) > k:
+                        i, j = np.nonzero(est <= np.partition(est, k - 1, axis=0)[k - 1])
+                    else:
+                        i, j = (x.ravel() for x in np.indices(est.shape))
+                    same = lambda name, row=row, i=i, batch=batch: np.full(len(i), batch.column(name)[row].as_py())
+                    best.add(rows[j], est[i, j], _numbers(batch, "vec_id", row)[i], same("cid"), same("block"), i)
         if found := best.take():
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["q", "dist", "vec_id", "cid", "block", "place"])
 
@@ -431,8 +515,8 @@ def _hits(found: tuple) -> pa.RecordBatch:
 
 
 def _threshold(table: DataFrame, some: Asked, config: IndexConfig, options: SearchConfig) -> None:
-    """Sets the part's seeds and tau, per query the distance at rank round(alpha * k) of its seeds; infinite if the probed
-    clusters hold fewer than k."""
+    """Sets the part's seeds, tau, per query the distance at rank round(alpha * k) of its seeds, and last, that at rank k; both
+    infinite if the probed clusters hold fewer than k."""
     spark, k = table.sparkSession, options.k
     seeds = _seeds(table, some, config, k)
     q, cid, block, place = (seeds.column(x).to_numpy() for x in ("q", "cid", "block", "place"))
@@ -444,9 +528,40 @@ def _threshold(table: DataFrame, some: Asked, config: IndexConfig, options: Sear
     rank = min(max(int(options.drain_alpha * k + 0.5), 1), k)
     order = np.lexsort((d, q))
     q, d = q[order], d[order]
-    at = np.arange(len(q)) - np.searchsorted(q, q) == rank - 1
-    some.tau = np.full(len(some.ids), np.inf)
-    some.tau[q[at]] = np.where(np.bincount(q, minlength=len(some.ids))[q[at]] >= k, d[at], np.inf)
+    place, whole = np.arange(len(q)) - np.searchsorted(q, q), np.bincount(q, minlength=len(some.ids))[q] >= k
+    some.tau, some.last = np.full(len(some.ids), np.inf), np.full(len(some.ids), np.inf)
+    for out, r in ((some.tau, rank), (some.last, k)):
+        at = whole & (place == r - 1)
+        out[q[at]] = d[at]
+
+
+def _best(table: DataFrame, sent, config: IndexConfig, k: int, cids: np.ndarray) -> DataFrame:
+    """(q, vec_id, dist): each task's k best of the seeds and survivors of each query. A pass over resident columns names the
+    blocks that hold any; the payload of these is read with them."""
+
+    def holding(batches):
+        reader = _Reader(sent.value, config)
+        for batch in batches:
+            some = [row for row in range(batch.num_rows) if any(keep.any() for _, _, keep in reader.kept(batch, row))]
+            if some:
+                yield pa.RecordBatch.from_arrays([batch.column(x).take(pa.array(some)) for x in ("cid", "block")], names=["cid", "block"])
+
+    probed = table.where(only(F.col("cid"), cids))
+    named = durable(probed.select([x for x in _ESTIMATED if x != "page_id"]).mapInArrow(holding, "cid long, block long"))
+    if named.count() <= SENT_BLOCKS:
+        named = F.broadcast(named)
+    columns = list(dict.fromkeys([*[x for x in _ESTIMATED if x != "page_id"], *_payload_columns(config)]))
+
+    def run(batches):
+        reader, best = _Reader(sent.value, config), Best(k)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                for q, d, place in reader.refined(batch, row, k):
+                    best.add(q, d, _numbers(batch, "vec_id", row)[place])
+        if found := best.take():
+            yield _hits(found)
+
+    return probed.select(columns).join(named, ["cid", "block"], "left_semi").select(columns).mapInArrow(run, "q long, vec_id long, dist double")
 
 
 def _survivors(table: DataFrame, some: Asked, sent, config: IndexConfig) -> DataFrame:
@@ -456,39 +571,34 @@ def _survivors(table: DataFrame, some: Asked, sent, config: IndexConfig) -> Data
         reader = _Reader(sent.value, config)
         for batch in batches:
             for row in range(batch.num_rows):
-                got = reader.resident(batch, row)
-                if got is None:
-                    continue
-                rows, _, low = got
                 here = [batch.column(x)[row].as_py() for x in ("cid", "block")]
-                keep = low <= reader.a.tau[rows]
-                if seeds := reader.a.seeds.get(tuple(here)):
-                    keep[seeds[1], np.searchsorted(rows, seeds[0])] = True
-                i, j = np.nonzero(keep)
-                if len(i):
-                    same = [np.full(len(i), x) for x in here]
-                    made = [rows[j], *same, i, _numbers(batch, "vec_id", row)[i], _numbers(batch, "page_id", row)[i], low[i, j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["q", "cid", "block", "place", "vec_id", "page_id", "low"])
+                for rows, low, keep in reader.kept(batch, row):
+                    i, j = np.nonzero(keep)
+                    if len(i):
+                        same = [np.full(len(i), x) for x in here]
+                        made = [rows[j], *same, i, _numbers(batch, "vec_id", row)[i], _numbers(batch, "page_id", row)[i], low[i, j]]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["q", "cid", "block", "place", "vec_id", "page_id", "low"])
 
     rows = table.where(only(F.col("cid"), some.cids)).select(_ESTIMATED)
     return rows.mapInArrow(run, "q long, cid long, block long, place long, vec_id long, page_id long, low double")
 
 
 def examined(postings: DataFrame, queries: DataFrame, cents: DataFrame, config: IndexConfig, options: SearchConfig, coarse=None) -> tuple[DataFrame, DataFrame]:
-    """(query_id, vec_id, dist) of what can enter the result, and (query_id, vec_id, cid, page_id, low) of the survivors."""
+    """(query_id, vec_id, dist) of what can enter the result, and (query_id, vec_id, cid, page_id, low) of the survivors.
+
+    A row for every survivor, for measuring: ``search`` stores none of them."""
     pair(queries, config, "embedding")
     spark = postings.sparkSession
     if not config.ex_bits and config.store != "raw":
         return _by_estimates(postings, queries, cents, config, options)
-    table = postings if "block" in postings.columns else durable(to_blocks(postings))
+    table = _blocks(postings)
     hits, kept = None, None
     for some in asked(queries, cents, options, config.dim, config, coarse):
         _threshold(table, some, config, options)
         sent = spark.sparkContext.broadcast(some)
         left = durable(_survivors(table, some, sent, config))
-        names = spark.createDataFrame(pa.table({"q": np.arange(len(some.ids)), "query_id": some.ids}))
         paid = _paid(table, left.select("q", "cid", "block", "place"), sent, config, options.k, some.cids)
-        a, b = paid.join(F.broadcast(names), "q").drop("q"), left.join(F.broadcast(names), "q").select("query_id", "vec_id", "cid", "page_id", "low")
+        a, b = _named(paid, some), _named(left, some).select("query_id", "vec_id", "cid", "page_id", "low")
         hits, kept = (a, b) if hits is None else (hits.unionByName(a), kept.unionByName(b))
     if hits is None:
         return spark.createDataFrame([], "vec_id long, dist double, query_id long"), spark.createDataFrame([], "query_id long, vec_id long, cid long, page_id long, low double")

@@ -182,6 +182,28 @@ def test_search_reads_what_is_probed(spark, data, tmp_path):
     assert [tuple(r)[:3] for r in got.orderBy("rank").collect()] == [tuple(r)[:3] for r in truth.orderBy("rank").collect()]
 
 
+@pytest.mark.parametrize("more", [{}, {"memdim": 64}, {"store": "raw"}, {"metric": "ip"}])
+def test_search_stores_no_survivors(spark, data, monkeypatch, more):
+    """More queries than a tile, every vector twice: the best of what the measuring way marks, and no row for a survivor stored."""
+    config = IndexConfig(128, seed=3, **more)
+    twice = data.unionByName(data.withColumn("vec_id", F.col("vec_id") + 300))
+    q = spark.range(5).crossJoin(data).select((F.col("id") * 300 + F.col("vec_id")).alias("vec_id"), "embedding")
+    cents = clustering.kmeans(data, 4, 2)
+    postings = index.build(clustering.assign(twice, cents).join(twice, "vec_id"), cents, config)
+    blocks = index.durable(index.to_blocks(postings))
+    options = SearchConfig(k=5, nprobe=4, drain_alpha=0.6)
+    stored = []
+    monkeypatch.setattr(index, "durable", lambda df, keep=index.durable: stored.append(keep(df)) or stored[-1])
+    found = index.search(blocks, q, cents, config, options).collect()
+    assert all(x.count() <= blocks.count() for x in stored)
+    monkeypatch.undo()
+    marked = index.marks(blocks, q, cents, config, options).where("kept")
+    assert marked.count() > 20 * len(found)
+    want = knn.ranked(marked.select("query_id", "vec_id", "dist"), 5).collect()
+    plain = lambda rows: sorted((r["query_id"], r["rank"], r["vec_id"], round(r["dist"], 9)) for r in rows)
+    assert len(found) == 7500 and plain(found) == plain(want)
+
+
 @pytest.mark.parametrize("kind", ["irq", "hnsw"])
 def test_coarse_choice(spark, data, kind):
     config = IndexConfig(128, inner_size=4, seed=2)

@@ -194,3 +194,15 @@ def test_bounds_of_all_bits(e):
     dist = K.ex_estimate(bits, code, add, rescale, q, q_add, e)
     low, true = K.ex_lower(dist, error, q_err, e), K.distances(x, q, "l2")
     assert (low > true).mean() < 0.05 and (low <= dist).all()
+
+
+def test_best_rescale_memory():
+    """Eight extra bits of 64 coordinates are 16,320 events a row: a batch of rows stays far below a worker's memory."""
+    import tracemalloc
+
+    a = K.unit_abs(np.random.default_rng(0).standard_normal((300, 64)))
+    tracemalloc.start()
+    K.best_rescale(a, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20

@@ -205,4 +205,4 @@ def test_best_rescale_memory():
     K.best_rescale(a, 8)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 200 << 20
+    assert peak < 100 << 20

@@ -22,6 +22,7 @@ class IndexConfig:
     num_clusters: int | None = None
     inner_size: int = 1000
     seed: int = 0
+    certain: bool = False  # raw vectors in double precision, and bounds that always hold: a search is exact
 
     def __post_init__(self) -> None:
         if self.metric not in ("l2", "ip"):
@@ -35,6 +36,8 @@ class IndexConfig:
         m = self.prefix
         if m % 64 or not 64 <= m <= self.width:
             raise ValueError("memdim is a multiple of 64 up to the padded width")
+        if self.certain and (self.store != "raw" or m < self.width):
+            raise ValueError("certain bounds take raw vectors and no prefix")
         if self.bits == 1 and m < self.width and self.store == "exbits":
             raise ValueError("one bit and a shorter prefix leave nothing to re-rank by")
 

@@ -78,10 +78,11 @@ def _or_inf(x: np.ndarray) -> np.ndarray:
     return np.where(x == 0, np.inf, x)
 
 
-def onebit(x: np.ndarray, c: np.ndarray | None, metric: str, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def onebit(x: np.ndarray, c: np.ndarray | None, metric: str, prefix: int | None = None, certain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Signs of the residuals to ``c`` and the factors add, rescale, error of estimates from them.
 
     ``c`` has a row for each row of ``x``, or is None for the origin. With a prefix, estimates see only the first ``prefix`` signs and extrapolate.
+    The error holds with high probability; ``certain``: always, by Cauchy and Schwarz, but for ``estimate_slack``.
     """
     c = np.zeros_like(x) if c is None else c
     r = x - c
@@ -95,7 +96,7 @@ def onebit(x: np.ndarray, c: np.ndarray | None, metric: str, prefix: int | None
     grow = 1.0 if prefix is None else width / m
     if prefix is None:
         uu = width / 4
-        error = EPS * norm * np.sqrt(np.maximum(0.0, (norm2 * uu / ru**2 - 1) / (width - 1)))
+        error = (np.sqrt(width - 1) if certain else EPS) * norm * np.sqrt(np.maximum(0.0, (norm2 * uu / ru**2 - 1) / (width - 1)))
     else:
         error = EPS * norm / np.sqrt(m)
     if metric == "l2":
@@ -233,6 +234,14 @@ def onebit_estimate(bits, add, rescale, error, q, q_add, q_err, prefix=None):
     return est, est - error[:, None] * q_err
 
 
+def estimate_slack(add: np.ndarray, rescale: np.ndarray, q: np.ndarray, c: np.ndarray) -> float:
+    """What rounding may put estimates, and distances beside them, off by."""
+    width = q.shape[1]
+    most = lambda x: float(np.abs(x).max(initial=0.0))
+    length = np.sqrt((q * q).sum(1).max(initial=0.0)) + np.sqrt((c * c).sum()) + most(rescale) * np.sqrt(width)
+    return float(16 * (width + 8) * np.finfo(float).eps * (length**2 + most(rescale) * np.abs(q).sum(1).max(initial=0.0) + most(add)))
+
+
 def ex_estimate(bits, code, add, rescale, q, q_add, ex_bits):
     """Distances from signs and extra bits."""
     dot = (bits.astype(float) * (1 << ex_bits) + code) @ q.T - ((1 << (ex_bits + 1)) - 1) / 2 * q.sum(1)

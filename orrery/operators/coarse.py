@@ -31,7 +31,9 @@ def inner_count(clusters: int, inner_size: int) -> int:
 def build(cents: DataFrame, config: IndexConfig, inner: DataFrame | None = None, refine: str = "exbits") -> Coarse:
     """Indexes (cid, centroid) for probing; ``inner`` is (cid, inner) if the parting is given, else it comes from k-means.
 
-    For inner products the centroids become unit vectors first, also for the inner means; their norms are kept.
+    For inner products the centroids become unit vectors first, also for the inner means; their norms are kept. With
+    ``refine`` "full" the nearest of the scanned centroids are found exactly: centroids stay in double precision, and the
+    bounds by which their signs leave some out always hold. With "exbits" both are approximate.
     """
     rows = cents.select(F.col("cid").cast("long").alias("vec_id"), F.col("centroid").cast("array<double>").alias("embedding"))
     norms = None
@@ -45,7 +47,7 @@ def build(cents: DataFrame, config: IndexConfig, inner: DataFrame | None = None,
     else:
         placed = inner.select(F.col("cid").cast("long").alias("vec_id"), F.col("inner").cast("long").alias("cid")).join(rows, "vec_id")
     means = durable(clustering.centroids(placed))
-    own = IndexConfig(config.dim, bits=9, seed=config.seed, store="raw" if refine == "full" else "exbits")
+    own = IndexConfig(config.dim, bits=9, seed=config.seed, store="raw" if refine == "full" else "exbits", certain=refine == "full")
     return Coarse(durable(index.to_blocks(index.build(placed, means, own))), means, norms, own, n)
 
 

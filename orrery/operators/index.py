@@ -95,17 +95,18 @@ def build(assigned: DataFrame, cents: DataFrame, config: IndexConfig) -> DataFra
     rotation = kernels.rotation_matrix(config.dim, config.seed)
     turned = c @ rotation
     m, e, raw = config.prefix, config.ex_bits, config.store == "raw"
+    number, kind = ("double", pa.float64()) if config.certain else ("float", pa.float32())
     scale = kernels.constant_rescale(config.width, e, config.seed) if config.faster and e else None
 
     def kernel(col: dict) -> dict:
         x = matrix(col["embedding"]) @ rotation
         near = turned[_places(ids, col["cid"])]
-        bits, add, rescale, error = kernels.onebit(x, near, config.metric, m)
+        bits, add, rescale, error = kernels.onebit(x, near, config.metric, None if config.certain else m, config.certain)
         signs = np.packbits(bits, axis=1)
         out = {n: col[n] for n in ("vec_id", "cid")}
         out |= {"bits": bytes_of(signs[:, : m // 8]), "f_add": add, "f_rescale": rescale, "f_error": error}
         none = pa.nulls(len(x), pa.binary())
-        out |= {"rest": none if raw else bytes_of(signs[:, m // 8 :]), "raw": col["embedding"] if raw else pa.nulls(len(x), pa.list_(pa.float32()))}
+        out |= {"rest": none if raw else bytes_of(signs[:, m // 8 :]), "raw": col["embedding"] if raw else pa.nulls(len(x), pa.list_(kind))}
         if e:
             code, add, rescale = kernels.ex_codes(x, near, e, config.metric, scale)
             out |= {"ex_code": bytes_of(kernels.pack_codes(code, e)), "f_add_ex": add, "f_rescale_ex": rescale}
@@ -113,8 +114,8 @@ def build(assigned: DataFrame, cents: DataFrame, config: IndexConfig) -> DataFra
             out |= {"ex_code": none, "f_add_ex": pa.nulls(len(x), pa.float64()), "f_rescale_ex": pa.nulls(len(x), pa.float64())}
         return out
 
-    rows = assigned.select(F.col("vec_id").cast("long"), F.col("cid").cast("long"), F.col("embedding").cast("array<float>"))
-    coded = map_arrow(rows, kernel, f"vec_id long,cid long,{RESIDENT},{PAYLOAD}")
+    rows = assigned.select(F.col("vec_id").cast("long"), F.col("cid").cast("long"), F.col("embedding").cast(f"array<{number}>"))
+    coded = map_arrow(rows, kernel, f"vec_id long,cid long,{RESIDENT},{PAYLOAD}".replace("raw array<float>", f"raw array<{number}>"))
     at = places(rows, cents, config.metric).select("vec_id", "cid", "pos")
     per_read, pages = page_layout(config.record_bytes())
     table = page_table(rows.groupBy("cid").agg(F.count("*").alias("n")), config.record_bytes()).select("cid", "first_page")
@@ -313,6 +314,9 @@ class _Reader:
             terms = kernels.query_terms(v, self.c[at], self.config.metric)
             if self.query_bits:
                 yield (rows, *kernels.small_query_estimate(bits, *factors, v[:, :m], *terms, self.query_bits))
+            elif self.config.certain:
+                est, low = kernels.onebit_estimate(bits, *factors, v, *terms)
+                yield rows, est, low - kernels.estimate_slack(*factors[:2], v, self.c[at])
             else:
                 yield (rows, *kernels.onebit_estimate(bits, *factors, v, *terms, m))
 

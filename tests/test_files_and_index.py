@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.config import EvalConfig, IndexConfig, SearchConfig
-from orrery.operators import clustering, evaluate, index, knn
+from orrery.operators import clustering, coarse, evaluate, index, knn
 from orrery.plans import pipeline
 from orrery.sources import vector_files as files
 from orrery.streaming import serving
@@ -217,6 +217,32 @@ def test_coarse_choice(spark, data, kind):
         index.search(postings, q, cents, config, SearchConfig(k=5, nprobe=12, coarse=kind, irq_mult=0.01))
 
 
+@pytest.mark.parametrize("case", ["ip"])
+def test_full_refinement_is_exact(spark, case):
+    """Probing refined at full precision finds the nearest of the scanned centroids, to the last digits of their distances."""
+    rng = np.random.default_rng(8)
+    c, q = rng.standard_normal((30, 64)) * rng.uniform(0.5, 2, (30, 1)), rng.standard_normal((1500, 64))
+    cents = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "cid long, centroid array<double>")
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "vec_id long, embedding array<double>")
+    config = IndexConfig(64, metric="ip" if case == "ip" else "l2", seed=5)
+    own = coarse.build(cents, config, cents.select("cid", (F.col("cid") % 3).alias("inner")), refine="full")
+    if case == "hnsw":
+        found = coarse.choose(asked, cents, config, SearchConfig(nprobe=4, coarse="hnsw", irq_mode="full"), own)
+    else:
+        found = coarse.probe(asked, own, 4, "kfixedmult" if case == "kfixedmult" else "full")
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = (unit(q), unit(c)) if case == "ip" else (q, c)
+    d = np.linalg.norm(a[:, None] - b, axis=2)
+    if case == "kfixedmult":
+        middle = np.array([b[i::3].mean(axis=0) for i in range(3)])
+        scanned = np.argsort(np.linalg.norm(a[:, None] - middle, axis=2), axis=1)[:, :2]
+        d[(np.arange(30) % 3 != scanned[:, :1]) & (np.arange(30) % 3 != scanned[:, 1:])] = np.inf
+    want = np.argsort(d, axis=1)[:, :4]
+    rows = sorted(tuple(r) for r in found.select("query_id", "rank", "cid", "dist").collect())
+    assert [r[2] for r in rows] == want.ravel().tolist()
+    assert np.abs(np.array([r[3] for r in rows]) - np.take_along_axis(d, want, 1).ravel()).max() < 1e-12
+
+
 def test_wrong_partners(spark, data):
     cents = clustering.kmeans(data, 3, 1)
     placed = clustering.assign(data, cents).join(data, "vec_id")

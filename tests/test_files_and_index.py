@@ -217,7 +217,7 @@ def test_coarse_choice(spark, data, kind):
         index.search(postings, q, cents, config, SearchConfig(k=5, nprobe=12, coarse=kind, irq_mult=0.01))
 
 
-@pytest.mark.parametrize("case", ["ip", "hnsw", "kfixedmult"])
+@pytest.mark.parametrize("case", ["ip", "hnsw", "kfixedmult", "full"])
 def test_full_refinement_is_exact(spark, case):
     """Probing refined at full precision finds the nearest of the scanned centroids, to the last digits of their distances."""
     rng = np.random.default_rng(8)

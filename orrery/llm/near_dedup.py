@@ -8,6 +8,8 @@
    never pairs among members. An edge counts if the full shingle sets have the wanted Jaccard similarity.
 4. At first each member meets only the smallest centre of all its buckets, which joins most. Then it meets the centres
    of its other buckets, unless they are of its component already; buckets of at most ``SMALL`` are compared throughout.
+   In a last turn a hash chooses two centres of each, so that what links with much of a bucket, but not with its smallest
+   member, need not wait for the join.
    What large buckets still have in several components is compared throughout by an exact join: of each set the rarest
    shingles, so many that every set similar enough has one of them, meet, and pairs whose lengths and places in the order
    rule the similarity out are left out, as are pairs whose parity sketches (the parity of the number of shingles on each
@@ -284,7 +286,7 @@ def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands:
         map_batches(docs.join(wanted, F.col("id") == F.col("cls"), "left_semi"), _setter(k), "cls long, set array<long>")
     )
     stars = docs.sparkSession.createDataFrame([], "u long, root long")
-    for turn in range(2):
+    for turn in range(3):
         open_, stars = _turn(open_, stars, sets, percent, turn)
         if open_.isEmpty():
             return stars
@@ -362,10 +364,14 @@ def _rest(rows: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> D
 
 def _turn(rows: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
     """Compares the members of each bucket with a centre of it, and those of small buckets with one another."""
-    pick = lambda c, name: F.min_by(c, "cls").alias(name)
     count = F.count("*").alias("c")
-    centres = rows.groupBy("b").agg(pick("cls", "v"), pick("n", "m"), pick("root", "to"), count)
-    if turn >= 1:
+    at = lambda by, place: rows.groupBy("b").agg(*[by(c, place).alias(name) for c, name in (("cls", "v"), ("n", "m"), ("root", "to"))], count)
+    if turn < 2:
+        centres = at(F.min_by, F.col("cls"))
+    else:
+        chance = F.struct(F.xxhash64("cls", "b"), F.col("cls"))
+        centres = at(F.min_by, chance).unionByName(at(F.max_by, chance))
+    if turn == 1:
         few = centres.where(F.col("c") <= SMALL).select("b")
         every = rows.join(few, "b").select("b", F.col("cls").alias("v"), F.col("n").alias("m"), F.col("root").alias("to"), F.lit(0).alias("c"))
         centres = centres.where(F.col("c") > SMALL).unionByName(every)

@@ -105,6 +105,33 @@ def test_near_dedup(docs):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (n, root, r["doc_id"] == root)
 
 
+def test_near_copies_do_not_wait_for_the_join(spark, monkeypatch):
+    """One to three words of a text changed: the smallest id links with few of the copies, other members with many."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(160):
+        copy = list(words)
+        for j in rng.sample(range(5, 145), 3 if i == 0 else rng.choice([1, 2, 2, 3])):
+            copy[j] = f"x{i}y{j}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = []
+    rest = near_dedup._rest
+    monkeypatch.setattr(near_dedup, "_rest", lambda rows, *more: left.append(rows) or rest(rows, *more))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(docs).collect()}
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(146)} for t in texts]
+    links = [(a, b) for a in range(160) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = list(range(160))
+    for _ in range(160):
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    assert [got[i] for i in range(160)] == want
+    root = {r["cls"]: r["root"] for rows in left for r in rows.select("cls", "root").distinct().collect()}
+    late = [1 for a, b in links if root.get(a, 0) != root.get(b, 0) and a in root and b in root]
+    assert len(late) * 20 < len(links), (len(late), len(links))
+
+
 def test_near_links_of_large_buckets(spark):
     """Pairs that share nothing but large buckets, of which they are no centre."""
     shared = " ".join(f"s{i}" for i in range(60))

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from orrery.storage import durable, release, shared_folder
+from orrery.storage import durable, release, replicated, shared_folder
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "UPPER", "WORD", "ascii_lower", "chunked", "durable", "held", "map_batches", "quoted", "release", "shared_folder", "table"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "UPPER", "WORD", "ascii_lower", "chunked", "durable", "held", "map_batches", "quoted", "release", "replicated", "shared_folder", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word: a run without space and the control characters tab to carriage return.

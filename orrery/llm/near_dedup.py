@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import durable, map_batches, release
+from orrery.llm.common import replicated, map_batches, release
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -240,14 +240,14 @@ def _is_stars(edges: DataFrame) -> bool:
 
 def components(links: DataFrame) -> DataFrame:
     """(u, v) to (u, root): the smallest node that each node with a link can reach, roots left out."""
-    edges = durable(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
+    edges = replicated(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     while not _is_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
         small = large.join(low, F.col("u") == F.col("x"))
-        edges = durable(
+        edges = replicated(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         )
         release(links.sparkSession)
@@ -269,7 +269,7 @@ def _joined(stars: DataFrame, links: DataFrame) -> DataFrame:
     roots = components(near.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")))
     moved = roots.select(F.col("u").alias("root"), F.col("root").alias("to"))
     kept = stars.join(moved, "root", "left").select("u", F.coalesce("to", "root").alias("root"))
-    return durable(kept.unionByName(roots).distinct())
+    return replicated(kept.unionByName(roots).distinct())
 
 
 def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands: int) -> DataFrame:
@@ -278,11 +278,11 @@ def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands:
     shared = rows.groupBy("b").agg(F.count("*").alias("c")).where("c > 1")
     # the rotated key is one to one: the join gets exchanges of its own, which AQE can split at a hot bucket
     again = lambda: (F.shiftleft("b", 1).bitwiseXOR(F.shiftrightunsigned("b", 63))).alias("t")
-    open_ = durable(
+    open_ = replicated(
         rows.select("cls", "n", "band", "b", again()).join(shared.select(again()), "t").select("cls", "n", "band", "b", F.col("cls").alias("root"))
     )
     wanted = open_.select("cls").distinct()
-    sets = durable(
+    sets = replicated(
         map_batches(docs.join(wanted, F.col("id") == F.col("cls"), "left_semi"), _setter(k), "cls long, set array<long>")
     )
     stars = docs.sparkSession.createDataFrame([], "u long, root long")
@@ -344,13 +344,13 @@ def _rest(rows: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> D
     sets go with the shingles, so that the join itself leaves out nearly all pairs that aren't similar enough.
     """
     spark = rows.sparkSession
-    theirs = durable(sets.join(rows.groupBy("cls").agg(F.min("root").alias("root")), "cls").select("cls", "root", "set"))
+    theirs = replicated(sets.join(rows.groupBy("cls").agg(F.min("root").alias("root")), "cls").select("cls", "root", "set"))
     cells = map_batches(theirs.select("set"), _counter, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(CELLS, dtype=np.int64)
     often[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     sent = spark.sparkContext.broadcast(often)
     kinds = ", ".join(f"{x} long" for x in ("cls", "root", "n", *_SKETCHES, "at", "s"))
-    rare = durable(map_batches(theirs, _rarest(sent, percent), kinds))
+    rare = replicated(map_batches(theirs, _rarest(sent, percent), kinds))
     sent.destroy()
     other = rare.select(F.col("cls").alias("v"), F.col("root").alias("to"), F.col("n").alias("m"), F.col("at").alias("from"), "s", *(F.col(x).alias("o" + x) for x in _SKETCHES))
     pairs = rare.join(other, "s").where("cls > v AND root <> to")
@@ -358,7 +358,7 @@ def _rest(rows: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> D
         pairs = pairs.where(fits)
     # what both have from their first common shingle on has to be enough
     pairs = pairs.where(F.least(F.col("n") - F.col("at"), F.col("m") - F.col("from")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
-    links = durable(_verified(durable(pairs.select(F.col("cls").alias("u"), "v").distinct()), sets, percent))
+    links = replicated(_verified(replicated(pairs.select(F.col("cls").alias("u"), "v").distinct()), sets, percent))
     return stars if links.isEmpty() else _joined(stars, links)
 
 
@@ -380,7 +380,7 @@ def _turn(rows: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, turn
     if turn == 0:
         pairs = pairs.groupBy("cls").agg(F.min("v").alias("v"))
     edges = pairs.select(F.greatest("cls", "v").alias("u"), F.least("cls", "v").alias("v")).distinct()
-    links = durable(_verified(edges, sets, percent))
+    links = replicated(_verified(edges, sets, percent))
     if not links.isEmpty():
         stars = _joined(stars, links)
     left = rows.drop("root").join(stars.select(F.col("u").alias("cls"), "root"), "cls", "left")
@@ -388,7 +388,7 @@ def _turn(rows: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, turn
     several = left.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), count).where("lo < hi")
     if turn >= 1:  # small buckets have been compared throughout
         several = several.where(F.col("c") > SMALL)
-    left = durable(left.join(several.select("b"), "b", "left_semi"))
+    left = replicated(left.join(several.select("b"), "b", "left_semi"))
     release(rows.sparkSession)
     return left, stars
 
@@ -412,9 +412,9 @@ def near_dedup(
     with a null id has component_id null and is kept, linked with nothing; no rows give no rows.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = durable(map_batches(plain, _sketcher(k, bands, rows, percent), "id long, n long, key binary, bands array<long>"))
+    sketch = replicated(map_batches(plain, _sketcher(k, bands, rows, percent), "id long, n long, key binary, bands array<long>"))
     named = sketch.where("n > 0 AND id IS NOT NULL")
-    classes = durable(
+    classes = replicated(
         named.groupBy("key").agg(F.min("id").alias("cls"), F.max("n").alias("n"), F.first("bands").alias("bands"))
     )
     stars = near_links(classes.select("cls", "n", "bands"), plain, k, percent, bands)

@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,6 +31,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def replicated(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept on the disks of two executors each, until the frame is no longer used.
+
+    For what lives no longer than an operator's next steps: it survives the loss of an executor, but not of all that hold a
+    row. Nothing goes to the shared folder, where Spark starts processes for each file if that is a local one.
+    """
+    alone = df.sparkSession.sparkContext.master.split("[")[0] == "local"
+    return df.localCheckpoint(True, StorageLevel.DISK_ONLY if alone else StorageLevel.DISK_ONLY_2)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder, without what the optimiser knew of their making.
 

@@ -34,3 +34,15 @@ def test_entry_module(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["hnsw_alias"])
+def test_probing_where_estimates_mislead(name, spark):
+    """For some vectors of sf0.1 the third nearest centroid's lower bound by signs exceeds its distance by enough to lose it."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+    mine, theirs = same_rows(QUERIES[name](spark, folder), con, SQL[name])
+    assert mine == theirs

@@ -36,7 +36,7 @@ def test_entry_module(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["hnsw_alias", "irq_kfixed_probe"])
+@pytest.mark.parametrize("name", ["hnsw_alias", "irq_kfixed_probe", "irq_full_probe"])
 def test_probing_where_estimates_mislead(name, spark):
     """For some vectors of sf0.1 the third nearest centroid's lower bound by signs exceeds its distance by enough to lose it."""
     import duckdb
